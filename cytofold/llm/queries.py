@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, piece_codec, simhash, toxicity
+from . import exact_dedup, language_id, license_scan, merkle, mixing, oracles, piece_codec, simhash, toxicity
 from .common import documents, fold
 
 
@@ -41,11 +41,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-OP5_SQL = """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-"""
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), F.round("target", 4).alias("target"), "taken")
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,9 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_merkle": op7_merkle,
+    "op8_mixing": op8_mixing,
     "op9_piece_codec": op9_piece_codec,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op5_exact_dedup": oracles.OP5, "op7_merkle": oracles.OP7, "op8_mixing": oracles.OP8}
