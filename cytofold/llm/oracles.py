@@ -57,3 +57,32 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
     CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) END AS near_next
 FROM sets
 """
+
+#: Each 100-byte string with its least place, by hexadecimal digits.
+OP1 = """
+WITH base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+strings AS (SELECT doc_id, t, unnest(range(0, greatest(len(t) // 2 - 99, 0))) AS i FROM base),
+named AS (SELECT doc_id, i, md5_number(substr(t, 2 * i + 1, 200)) AS s FROM strings),
+repeats AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM named) WHERE k > 1),
+edges AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM repeats),
+islands AS (SELECT doc_id, i, sum(CASE WHEN before + 100 >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY ALL),
+gaps AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM
+    (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, -1, 0 FROM base)),
+kept AS (SELECT doc_id, string_agg(substr(t, 2 * a + 1, 2 * (coalesce(b, len(t) // 2) - a)), '' ORDER BY a) AS t FROM gaps JOIN base USING (doc_id) GROUP BY doc_id),
+told AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM spans GROUP BY doc_id)
+SELECT b.doc_id, (len(b.t) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(x.t)) AS kept_sha256
+FROM base b JOIN kept x USING (doc_id) LEFT JOIN told USING (doc_id)
+"""
+
+OP6 = r"""
+WITH base AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM base),
+named AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 12], ' ')) AS s FROM windows),
+repeats AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM named) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM repeats),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM base),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (doc_id)
+"""

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, merkle, mixing, oracles, piece_codec, simhash, toxicity
+from . import exact_dedup, fm_dedup, language_id, license_scan, merkle, mixing, oracles, piece_codec, simhash, suffix_dedup, toxicity
 from .common import documents, fold
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.fit(documents(spark, sf_dir).select("doc_id", "text"), labels.where(fold(n=5) != 0))
@@ -41,6 +45,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
@@ -60,13 +68,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_merkle": op7_merkle,
     "op8_mixing": op8_mixing,
     "op9_piece_codec": op9_piece_codec,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op5_exact_dedup": oracles.OP5, "op7_merkle": oracles.OP7, "op8_mixing": oracles.OP8}
+ORACLES = {"op1_suffix_dedup": oracles.OP1, "op6_substring_dedup": oracles.OP6, "op5_exact_dedup": oracles.OP5, "op7_merkle": oracles.OP7, "op8_mixing": oracles.OP8}
