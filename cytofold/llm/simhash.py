@@ -1,20 +1,26 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 Fingerprints: words between white space, A-Z lower-cased; shingles of some words, repeats included; a bit is 1 where
-over half of the shingles' XXH64 (seed 42) have it. Equal fingerprints are one node with the smallest doc_id.
-
-Links: two fingerprints that differ in at most r of 64 bits agree on at least one of r + 1 blocks of bits, so each
-fingerprint goes to r + 1 buckets, one for each block's value, and all links are found inside buckets. In a bucket
-the fingerprints, turned so that the block leads, are a binary trie: pairs of its nodes are descended together, the
-bits in which they differ are added up, and a pair is left as soon as the sum exceeds r. Only a spanning forest of a
-bucket's links leaves the task, so copies and tight groups don't multiply; no link between components is lost.
+over half of the shingles' XXH64 (seed 42) have it. With letters=True a text's features are its distinct words instead,
+runs of letters and digits in lower case: an edit of a few words then moves few bits however short the text is.
+Equal fingerprints are one node with the smallest doc_id.
+
+Links: of r + k blocks of bits, two fingerprints that differ in at most r bits agree on k at least. So each
+fingerprint goes to one bucket for each choice of k blocks and the blocks' values, and all links are found inside
+buckets. k grows with the logarithm of the number of fingerprints, so that buckets stay small; any k finds the
+same links. In a bucket the fingerprints, their bits in an order in which the chosen blocks lead, are a binary trie:
+pairs of its nodes are descended together, the bits in which they differ are added up, and a pair is left as soon as
+the sum exceeds r. Only a spanning forest of a bucket's links leaves the task, so copies and tight groups don't
+multiply; no link between components is lost.
 
 Null texts have no words: fingerprint 0. Rows with one doc_id are kept each. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +31,8 @@ from .common import cut, shuffle_parts
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Node pairs that one step of the descent holds; the rest wait.
-AT_ONCE = 1 << 18
+#: Node pairs that one step of the descent holds (the rest wait); fingerprints that a bucket should have on average.
+AT_ONCE, BUCKET = 1 << 18, 128
 
 
 def simhash(text: str | None, words: int = 4) -> int:
@@ -45,6 +51,17 @@ def simhash(text: str | None, words: int = 4) -> int:
     return _majority(np.array([of(joined[a:b], 42) for a, b in zip(starts[i : i + step], ends[i : i + step], strict=True)], np.uint64) for i in range(0, len(starts), step))
 
 
+_LETTERS = re.compile(r"[^\W_]+")
+
+
+def word_simhash(text: str | None) -> int:
+    """The fingerprint of the distinct words, runs of letters and digits in lower case."""
+    parts = set(_LETTERS.findall((text or "").lower()))
+    if not parts:
+        return 0
+    return _majority([np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "replace"), 42) for p in parts], np.uint64)])
+
+
 def _majority(blocks) -> int:
     ones, n = np.zeros(64, np.int64), 0
     for h in blocks:
@@ -53,25 +70,41 @@ def _majority(blocks) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, into: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, into: str = "fp", letters: bool = False) -> DataFrame:
     """docs without text, plus the fingerprint as a signed long."""
     kept = [c for c in docs.columns if c not in (text, into)]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{into}` bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([simhash(t.as_py(), words) for t in batch.column(text)], np.uint64).view(np.int64)
+            made = np.array([word_simhash(t.as_py()) if letters else simhash(t.as_py(), words) for t in batch.column(text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made)], names=[*kept, into])
 
     return docs.select(*(docs[c] for c in [*kept, text])).mapInArrow(run, schema)
 
 
-def blocks(radius: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of radius + 1 blocks that cover all bits."""
-    edges = [bits * i // (radius + 1) for i in range(radius + 2)]
+def blocks(count: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of count blocks that cover all bits."""
+    edges = [bits * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def agreeing(fingerprints: int, radius: int) -> int:
+    """How many blocks to choose, so that a bucket has some hundred fingerprints on average; 64 bits bound it."""
+    k = 1
+    while k < 6 and fingerprints / 2 ** (64 * k // (radius + k)) > BUCKET:
+        k += 1
+    return k
+
+
+def _led(keys: np.ndarray, chosen: tuple[int, ...], cuts: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
+    """keys with the chosen blocks as the highest bits, and how many bits these are."""
+    made = np.zeros(len(keys), np.uint64)
+    for low, n in [cuts[i] for i in chosen] + [c for i, c in enumerate(cuts) if i not in chosen]:
+        made = (made << np.uint64(n)) | ((keys >> np.uint64(low)) & np.uint64((1 << n) - 1))
+    return made, sum(cuts[i][1] for i in chosen)
+
+
 def trie_links(keys: np.ndarray, lead: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of keys, sorted and distinct, that agree on the lead highest bits and differ in at most radius others.
 
@@ -140,38 +173,44 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(nodes: DataFrame, fp: str = "fp", radius: int = 4) -> DataFrame:
+def near_links(nodes: DataFrame, fp: str = "fp", radius: int = 4, agree: int = 1) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all that differ in at most radius bits, a forest for each bucket."""
-    cuts = blocks(radius)
-    turned = F.array(*(F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(`{fp}`, {low}) & {(1 << n) - 1}L").alias("value")) for k, (low, n) in enumerate(cuts)))
-    spread = nodes.select(F.col(fp).alias("fp")).where("fp is not null").distinct().select("fp", F.explode(turned).alias("at")).select("fp", "at.block", "at.value")
-    spread = spread.repartition(shuffle_parts(nodes.sparkSession), "block", "value").sortWithinPartitions("block", "value")
+    cuts = blocks(radius + agree)
+    choices = list(combinations(range(radius + agree), agree))
+
+    def value(chosen: tuple[int, ...]) -> str:
+        made = "0L"
+        for i in chosen:
+            low, n = cuts[i]
+            made = f"(shiftleft({made}, {n}) | (shiftrightunsigned(fp, {low}) & {(1 << n) - 1}L))"
+        return made
+
+    led = F.array(*(F.struct(F.lit(k).alias("choice"), F.expr(value(chosen)).alias("value")) for k, chosen in enumerate(choices)))
+    spread = nodes.select(F.col(fp).alias("fp")).where("fp is not null").distinct().select("fp", F.explode(led).alias("at")).select("fp", "at.choice", "at.value")
+    spread = spread.repartition(shuffle_parts(nodes.sparkSession), "choice", "value").sortWithinPartitions("choice", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         at: int | None = None
 
         def solve() -> Iterator[pa.RecordBatch]:
-            low, n = cuts[at]
-            keys = np.concatenate(held)
-            turn = (low + n) % 64
-            if turn:  # the block becomes the highest bits
-                keys = (keys >> np.uint64(turn)) | (keys << np.uint64(64 - turn))
-            keys.sort()
-            root = forest(len(keys), trie_links(keys, n, radius))
+            fps = np.concatenate(held)
+            keys, lead = _led(fps, choices[at], cuts)
+            order = np.argsort(keys)
+            fps = fps[order].view(np.int64)
+            root = forest(len(keys), trie_links(keys[order], lead, radius))
             i = np.flatnonzero(root != np.arange(len(keys)))
-            back = (keys << np.uint64(turn)) | (keys >> np.uint64(64 - turn)) if turn else keys
-            yield pa.RecordBatch.from_arrays([pa.array(back[root[i]].view(np.int64)), pa.array(back[i].view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps[root[i]]), pa.array(fps[i])], names=["a", "b"])
 
         # Whole buckets are gathered up to a size and then joined together; a bucket is never parted.
         last = None
         for batch in batches:
-            fps, block, value = (np.asarray(batch.column(c)) for c in ("fp", "block", "value"))
-            change = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1])) + 1
+            fps, choice, values = (np.asarray(batch.column(c)) for c in ("fp", "choice", "value"))
+            change = np.flatnonzero((choice[1:] != choice[:-1]) | (values[1:] != values[:-1])) + 1
             for a, b in zip([0, *change], [*change, len(fps)], strict=True):
                 if a == b:
                     continue
-                key = (int(block[a]), int(value[a]))
+                key = (int(choice[a]), int(values[a]))
                 if held and (key[0] != at or key != last and sum(map(len, held)) >= AT_ONCE):
                     yield from solve()
                     held = []
@@ -183,11 +222,21 @@ def near_links(nodes: DataFrame, fp: str = "fp", radius: int = 4) -> DataFrame:
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, radius: int = 4, letters: bool = False) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most radius differing bits."""
-    rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words), "simhash")
+    rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, letters=letters), "simhash")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes, radius=radius))
+    roots = components(near_links(nodes, radius=radius, agree=agreeing(nodes.count(), radius)))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 6) -> DataFrame:
+    """docs without the rows that are near-duplicates, by their distinct words, of a row with a smaller doc_id.
+
+    Of rows that repeat a doc_id all are kept or none; rows whose doc_id is null are kept.
+    """
+    stay = near_duplicates(docs.where(F.col(doc_id).isNotNull()), text, doc_id, radius=radius, letters=True).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(stay, docs[doc_id] == stay["_stay"], "left_semi")
+    return named.unionByName(docs.where(F.col(doc_id).isNull()))
