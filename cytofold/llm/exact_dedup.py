@@ -77,9 +77,9 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: st
     found = rows.select("id", "digest").join(merged.select("digest", F.col("id").alias("keep_id"), "n"), "digest")
     # Verification: slices of a digest's hits against copies of the row that stays.
     hits = merged.where("n > 1").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
-    sized = base.join(hits.select("digest", F.col("id").alias("keep_id"), "slices"), "digest")
+    sized = cut(base.join(hits.select("digest", F.col("id").alias("keep_id"), "slices"), "digest"), "hits")
     sliced = sized.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int"))
-    stay = base.join(hits.select("digest", F.col("id").alias("keep_id"), "slices"), (base.digest == hits.digest) & base.id.eqNullSafe(F.col("keep_id"))).select(base.digest, base.text.alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    stay = sized.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     stay = stay.dropDuplicates(["digest", "slice"])
     odd = cut(sliced.join(stay, ["digest", "slice"]).where("text <> kept_text").select("id", "digest", "text"), "collisions")
     if odd.isEmpty():
