@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PER_LABEL, FEATURES = 3000, 2000
+PER_LABEL, FEATURES = 2000, 2000
 #: Weights of the squared change under a swap and of the squared weights; steps of the descent.
 SWAP, RIDGE, STEPS = 4.0, 4e-4, 200
 #: Group names that may be exchanged for each other, by language (fixed values).
@@ -92,9 +93,20 @@ def train(texts: list[str], toxic: list[int], swap: float = SWAP, groups: dict[s
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return Classifier({}, 5.0 if len(y) and y[0] else -5.0)
-    bags = [set(_WORD.findall(t.lower())) for t in texts]
-    rows = [{f for w in bag for f in features(w)} for bag in bags]
-    ones, all_ = Counter(f for r, t in zip(rows, y, strict=True) if t for f in r), Counter(f for r in rows for f in r)
+    # Texts are held as numbers of their words; features are made anew for each text, so that few strings are held.
+    number: dict[str, int] = {}
+    bags = [array("i", (number.setdefault(w, len(number)) for w in sorted(set(_WORD.findall(t.lower()))))) for t in texts]
+    vocabulary = list(number)
+    in_texts = np.bincount(np.concatenate([np.frombuffer(b, np.int32) for b in bags if len(b)] or [np.zeros(0, np.int32)]), minlength=len(vocabulary))
+    least = max(3, len(y) / 1000)
+    row = lambda bag: {f for w in bag for f in features(vocabulary[w])[in_texts[w] < least :]}  # noqa: E731  a rare word is no feature, its beginnings may be
+    ones: Counter = Counter()
+    all_: Counter = Counter()
+    for bag, t in zip(bags, y, strict=True):
+        found = row(bag)
+        all_.update(found)
+        if t:
+            ones.update(found)
     n1, n = y.sum(), len(y)
 
     def apart(f: str) -> float:
@@ -102,22 +114,20 @@ def train(texts: list[str], toxic: list[int], swap: float = SWAP, groups: dict[s
         p = all_[f] / n
         return abs(ones[f] / n1 - p) / math.sqrt(p * (1 - p) / n1 + 1e-12)
 
-    names = sorted((f for f, c in all_.items() if max(3, n / 1000) <= c < n), key=lambda f: (-apart(f), f))[:FEATURES]
+    names = sorted((f for f, c in all_.items() if least <= c < n), key=lambda f: (-apart(f), f))[:FEATURES]
+    del all_, ones
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((n, len(names) + 1), np.float32)
     x[:, -1] = 1
-    for i, r in enumerate(rows):
-        x[i, [at[f] for f in r if f in at]] = 1
     changes = []
-    for bag, r in zip(bags, rows, strict=True):
-        if (other := swapped(bag, groups)) is not None:
+    for i, bag in enumerate(bags):
+        words = {vocabulary[w] for w in bag}
+        mine = [at[f] for f in {f for w in words for f in features(w)} if f in at]
+        x[i, mine] = 1
+        if (other := swapped(words, groups)) is not None:
             d = np.zeros(len(names) + 1, np.float32)
-            for f in r:
-                if f in at:
-                    d[at[f]] += 1
-            for f in {f for w in other for f in features(w)}:
-                if f in at:
-                    d[at[f]] -= 1
+            d[mine] = 1
+            d[[at[f] for f in {f for w in other for f in features(w)} if f in at]] -= 1
             if d.any():
                 changes.append(d)
     ridge = np.full(x.shape[1], RIDGE, np.float32)
@@ -164,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     sample = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
     texts, toxic = [], []
     for row in sample.select("y", F.xxhash64("id").alias("at"), "text").orderBy("at", "text").toLocalIterator():
-        texts.append(" ".join(set(_WORD.findall(row.text.lower()))))
+        texts.append(" ".join(sorted(set(_WORD.findall(row.text.lower())))))
         toxic.append(row.y)
     return train(texts, toxic)
 
