@@ -99,7 +99,7 @@ def train(texts: list[str], toxic: list[int], swap: float = SWAP, groups: dict[s
     vocabulary = list(number)
     in_texts = np.bincount(np.concatenate([np.frombuffer(b, np.int32) for b in bags if len(b)] or [np.zeros(0, np.int32)]), minlength=len(vocabulary))
     least = max(3, len(y) / 1000)
-    row = lambda bag: {f for w in bag for f in features(vocabulary[w])[in_texts[w] < least :]}  # noqa: E731  a rare word is no feature, its beginnings may be
+    row = lambda bag: {f for w in bag for f in features(vocabulary[w])[int(in_texts[w] < least) :]}  # noqa: E731  a rare word is no feature, its beginnings may be
     ones: Counter = Counter()
     all_: Counter = Counter()
     for bag, t in zip(bags, y, strict=True):
