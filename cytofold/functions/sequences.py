@@ -24,6 +24,11 @@ CODES = {
 }
 
 
+def upper(seq: Column) -> Column:
+    """a-z in upper case; no character becomes two, so places stay."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def complement(seq: Column) -> Column:
     """Base by base; other characters stay, case is kept."""
     return F.translate(seq, IUB + IUB.lower(), COMPLEMENT + COMPLEMENT.lower())
@@ -42,7 +47,7 @@ def base_mask(base: Column) -> Column:
     """Bits A=1 C=2 G=4 T=8 of the bases that a code stands for; 0 for others."""
     bit = {"A": 1, "C": 2, "G": 4, "T": 8}
     pairs = [x for code, bases in BASES.items() for x in (F.lit(code), F.lit(sum(bit[b] for b in bases)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(base)), F.lit(0))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), upper(base)), F.lit(0))
 
 
 def iub_match(a: Column, b: Column) -> Column:
@@ -62,12 +67,12 @@ def motif_positions(seq: Column, motif: str, skip_others: bool = False) -> Colum
 
 
 def motif_count(seq: Column, motif: str) -> Column:
-    return F.regexp_count(F.upper(seq), F.lit(f"(?={iub_pattern(motif)})"))
+    return F.regexp_count(upper(seq), F.lit(f"(?={iub_pattern(motif)})"))
 
 
 def first_match(seq: Column, motif: str) -> Column:
     """1-based place of the first match of an ambiguous motif, 0 if there is none."""
-    return F.regexp_instr(F.upper(seq), F.lit(iub_pattern(motif)))
+    return F.regexp_instr(upper(seq), F.lit(iub_pattern(motif)))
 
 
 def last_match(seq: Column, motif: str) -> Column:
@@ -77,7 +82,7 @@ def last_match(seq: Column, motif: str) -> Column:
 
 def base_composition(seq: Column) -> Column:
     """struct a, c, g, t, other."""
-    up = F.upper(seq)
+    up = upper(seq)
     counts = {b: F.length(up) - F.length(F.replace(up, F.lit(b.upper()), F.lit(""))) for b in "acgt"}
     other = F.length(up)
     for c in counts.values():
@@ -88,7 +93,7 @@ def base_composition(seq: Column) -> Column:
 def bisulphite_mismatches(read: Column, reference: Column) -> Column:
     """Places of the shorter where read and reference differ; a T in the read matches C, too."""
     n = F.least(F.length(read), F.length(reference))
-    one = lambda s: F.split(F.substring(F.upper(s), F.lit(1), n), "")
+    one = lambda s: F.split(F.substring(upper(s), F.lit(1), n), "")
     unlike = F.zip_with(one(read), one(reference), lambda r, g: F.when((r == g) | ((r == "T") & (g == "C")), 0).otherwise(1))
     return F.when(n > 0, F.aggregate(unlike, F.lit(0), lambda a, b: a + b)).otherwise(0)
 
@@ -112,7 +117,7 @@ def codon_table(code: str = "standard") -> dict[str, str]:
 
 def codons(seq: Column) -> Column:
     """Whole codons from the first base on."""
-    plain = F.replace(F.upper(seq), F.lit("U"), F.lit("T"))
+    plain = F.replace(upper(seq), F.lit("U"), F.lit("T"))
     return F.regexp_extract_all(plain, F.lit("(?s)(...)"), F.lit(1))
 
 
@@ -125,7 +130,7 @@ def translated(seq: Column, code: str | Mapping[str, str] = "standard") -> Colum
 
 def gcg_checksum(seq: Column) -> Column:
     """Sum of upper-case codes times their place in lines of 57, modulo 10,000."""
-    letters = F.when(F.length(seq) > 0, F.split(F.upper(seq), "")).otherwise(F.array().cast("array<string>"))
+    letters = F.when(F.length(seq) > 0, F.split(upper(seq), "")).otherwise(F.array().cast("array<string>"))
     weighed = F.transform(letters, lambda c, i: (F.pmod(i, F.lit(57)) + 1).cast("bigint") * F.ascii(c))
     return F.pmod(F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(10000))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.sequences import bisulphite_mismatches, reverse_complement
+from ..functions.sequences import bisulphite_mismatches, reverse_complement, upper
 from .intervals import point_in_interval
 
 #: The flag bit of reads on the reverse strand (fixed value).
@@ -22,8 +22,8 @@ def read_calls(reads: DataFrame, chunks: DataFrame, every_c: bool = False, exact
     width = size["size"] if size else 1
     reverse = F.col("flag") == REVERSE if exact_flag else F.col("flag").bitwiseAND(REVERSE) != 0
     keyed = reads.withColumn("_start", (F.floor((F.col("pos") - 1) / width) * width + 1).cast("int"))
-    both = keyed.join(chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), F.upper("seq").alias("_ref")), (keyed.chrom == F.col("_c")) & (F.col("_start") == F.col("_s")))
-    letters = F.split(F.upper("seq"), "")
+    both = keyed.join(chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), upper("seq").alias("_ref")), (keyed.chrom == F.col("_c")) & (F.col("_start") == F.col("_s")))
+    letters = F.split(upper("seq"), "")
     rows = both.withColumn("_reverse", reverse).select("read_id", "chrom", "pos", "_reverse", "_ref", (F.col("pos") - F.col("_s")).alias("_off"), F.posexplode(letters).alias("_i", "_base")).where("_base <> ''")
     at = lambda d: F.substring("_ref", F.col("_off") + F.col("_i") + 1 + d, F.lit(1))
     before = F.when(F.col("_off") + F.col("_i") + 1 > 1, at(-1)).otherwise("")
@@ -46,9 +46,9 @@ def slice_calls(rows: DataFrame, one_based: bool = True) -> DataFrame:
     unmethylated anywhere else.
     """
     minus = F.col("strand") == "-"
-    ref = F.when(minus, reverse_complement(F.upper("genome"))).otherwise(F.upper("genome"))
+    ref = F.when(minus, reverse_complement(upper("genome"))).otherwise(upper("genome"))
     place = F.col("_i")
-    rows = rows.withColumn("_ref", ref).withColumn("_n", F.length("seq")).select("read_id", "chrom", "start", "strand", "_n", "_ref", F.posexplode(F.split(F.upper("seq"), "")).alias("_i", "_base")).where("_base <> ''")
+    rows = rows.withColumn("_ref", ref).withColumn("_n", F.length("seq")).select("read_id", "chrom", "start", "strand", "_n", "_ref", F.posexplode(F.split(upper("seq"), "")).alias("_i", "_base")).where("_base <> ''")
     hit = F.substring("_ref", place + 1, F.lit(2)) == "CG"
     pos = F.when(F.col("strand") == "-", F.col("start") + F.col("_n") - 2 - place).otherwise(F.col("start") + place) + (0 if one_based else 1)
     return rows.where(hit).select("read_id", "chrom", pos.cast("int").alias("pos"), (F.col("_base") == "C").alias("meth"))

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+_UPPER = {c: c - 32 for c in range(97, 123)}
+
+
 @dataclass(frozen=True)
 class Trim:
     shortest_prefix: int = 6  # of an adaptor that is looked for
@@ -52,7 +55,7 @@ class Finder:
         """(start, length of the longest prefix, adaptor, identity) of the valid hits, by start."""
         if self.start is None:
             return []
-        up, found = read.upper(), []
+        up, found = read.translate(_UPPER), []  # places stay, whatever the characters
         for m in self.start.finditer(up, self.how.skip):
             s = m.start()
             n = max(n for n in range(self.how.shortest_prefix, len(up) - s + 1) if up[s : s + n] in self.prefix)

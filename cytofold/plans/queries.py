@@ -433,12 +433,13 @@ def fragment_classes(spark, d):
 # Sequences and reads.
 
 
-@query(f"{READS} SELECT doc_id, len(regexp_extract_all(seq, 'CG')) AS n_cg, len(regexp_extract_all(seq, 'TA[CT]')) AS n_tay FROM reads")
+@query(f"{READS} SELECT doc_id, len(regexp_extract_all(seq, 'CG')) AS n_cg, len(regexp_extract_all(seq, 'GA[CT]')) AS n_gay FROM reads")
 def motif_counts(spark, d):
-    return v_reads(spark, d).select("doc_id", seq_.motif_count(F.col("seq"), "CG").cast("bigint").alias("n_cg"), seq_.motif_count(F.col("seq"), "TAY").cast("bigint").alias("n_tay"))
+    return v_reads(spark, d).select("doc_id", seq_.motif_count(F.col("seq"), "CG").cast("bigint").alias("n_cg"), seq_.motif_count(F.col("seq"), "GAY").cast("bigint").alias("n_gay"))
 
 
-@query(f"{READS} SELECT doc_id, unnest(list_transform(list_filter(range(1, length(seq)), lambda i: seq[i:i + 1] = 'CG'), lambda i: i::INT)) AS pos FROM reads")
+@query(f"""{READS}, p AS (SELECT doc_id, unnest(string_split(seq, 'CG')) AS piece, generate_subscripts(string_split(seq, 'CG'), 1) AS k FROM reads),
+    q AS (SELECT doc_id, k, sum(length(piece) + 2) OVER (PARTITION BY doc_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY doc_id) AS n FROM p) SELECT doc_id, (upto - 1)::INT AS pos FROM q WHERE k < n""")
 def motif_positions(spark, d):
     return v_reads(spark, d).select("doc_id", F.explode(seq_.motif_positions(F.col("seq"), "CG")).alias("pos"))
 
@@ -460,8 +461,9 @@ def translated_reads(spark, d):
     return v_reads(spark, d).select("doc_id", F.md5(seq_.translated(clean_).cast("binary")).alias("digest"), seq_.gcg_checksum(clean_).alias("checksum"))
 
 
-@query(f"""{READS}, g AS (SELECT doc_id::VARCHAR AS chrom, seq FROM reads), c AS (SELECT chrom, unnest(list_filter(range(1, length(seq) - 2), lambda i: seq[i:i + 3] = 'CCGG')) + 1 AS start, length(seq) AS n FROM g),
-    s AS (SELECT chrom, start, n FROM c UNION SELECT chrom, 1, length(seq) FROM g WHERE length(seq) > 0), f AS (SELECT chrom, start::INT AS start, coalesce(lead(start) OVER (PARTITION BY chrom ORDER BY start) - 1, n)::INT AS stop, row_number() OVER (PARTITION BY chrom ORDER BY start) - 1 AS bin_id FROM s)
+@query(f"""{READS}, g AS (SELECT doc_id::VARCHAR AS chrom, seq FROM reads WHERE length(seq) > 0), p AS (SELECT chrom, unnest(string_split(seq, 'CCGG')) AS piece, generate_subscripts(string_split(seq, 'CCGG'), 1) AS k FROM g),
+    q AS (SELECT chrom, k, sum(length(piece) + 4) OVER (PARTITION BY chrom ORDER BY k) AS upto, max(k) OVER (PARTITION BY chrom) AS n FROM p), s AS (SELECT chrom, upto - 2 AS start FROM q WHERE k < n UNION SELECT chrom, 1 FROM g),
+    f AS (SELECT chrom, start::INT AS start, coalesce(lead(start) OVER (PARTITION BY chrom ORDER BY start) - 1, length(seq))::INT AS stop, row_number() OVER (PARTITION BY chrom ORDER BY start) - 1 AS bin_id FROM s JOIN g USING (chrom))
     SELECT chrom, bin_id, start, stop AS "end" FROM f""")
 def restriction_fragments(spark, d):
     genome = v_reads(spark, d).select(F.col("doc_id").cast("string").alias("chrom"), "seq")
@@ -469,7 +471,7 @@ def restriction_fragments(spark, d):
     return bins_.fragments(bins_.site_positions(bins_.chunked(genome), ["C^CGG"]), lengths)
 
 
-@query(f"""{READS}, h AS (SELECT doc_id, seq, strpos(seq, 'AGATCG') AS at FROM reads) SELECT doc_id, CASE WHEN at > 0 THEN at - 1 ELSE length(seq) END::INT AS trim_end FROM h""")
+@query(f"""{READS}, h AS (SELECT doc_id, seq, strpos(seq, 'AGATCG') AS place FROM reads) SELECT doc_id, (CASE WHEN place > 0 THEN place - 1 ELSE length(seq) END)::INT AS trim_end FROM h""")
 def trimmed_reads(spark, d):
     """One adaptor of the shortest length that is looked for: an exact hit cuts."""
     made = clean.cleaned(v_reads(spark, d), ["AGATCG"], clean.Trim(shortest_prefix=6, identity=100.0, repeats=-1))
