@@ -45,14 +45,13 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, pos: str = "pos",
     on = (probe[by] == cells["_by"]) & (F.col("_probe.level") == F.col("_level")) & (F.col("_probe.cell") == F.col("_cell")) & F.col(pos).between(F.col(start), F.col(end))
     if how == "inner":
         return probe.join(cells, on).drop("_probe", "_by", "_level", "_cell")
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
     if how in ("left_semi", "left_anti"):
         hit = point_in_interval(points.select(by, pos).distinct(), intervals, pos, by, start, end).select(F.col(by).alias("_by"), F.col(pos).alias("_pos")).distinct()
         return points.join(hit, (points[by] == hit["_by"]) & (points[pos] == hit["_pos"]), how)
     if how == "left":
         hit = point_in_interval(points.select(by, pos).distinct(), intervals, pos, by, start, end).withColumnsRenamed({by: "_by", pos: "_pos"})
         return points.join(hit, (points[by] == hit["_by"]) & (points[pos] == hit["_pos"]), "left").drop("_by", "_pos")
-    raise ValueError(f"{how}: {keyed.columns}")
+    raise ValueError(how)
 
 
 def overlaps(a: DataFrame, b: DataFrame, by: str = "chrom") -> DataFrame:
@@ -76,10 +75,10 @@ def best_beyond(points: DataFrame, features: DataFrame, at: str, anchor: str, sc
     features needs by, anchor and feat_no; equal scores go to the smaller feat_no. Null where there is none.
     """
     sign = 1 if after else -1
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
-    # "Before" is "after" with the axis turned round.
-    p = keyed.select(F.col(by).alias("_by"), "_row", (F.col(at).cast("bigint") * sign).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<score:double,feat_no:bigint>").alias("_best"))
-    f = features.select(F.col(by).alias("_by"), F.lit(None).cast("bigint").alias("_row"), (F.col(anchor).cast("bigint") * sign).alias("_at"), F.lit(0).alias("_kind"), F.struct(score.cast("double").alias("score"), F.col("feat_no").cast("bigint").alias("feat_no")).alias("_best"))
+    # What is found depends on (by, at) alone, and is joined back by them. "Before" is "after" with the axis turned round.
+    p = points.select(F.col(by).alias("_by"), F.col(at).cast("bigint").alias("_place")).where("_by is not null and _place is not null").distinct()
+    p = p.select("_by", (F.col("_place") * sign).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<score:double,feat_no:bigint>").alias("_best"))
+    f = features.select(F.col(by).alias("_by"), (F.col(anchor).cast("bigint") * sign).alias("_at"), F.lit(0).alias("_kind"), F.struct(score.cast("double").alias("score"), F.col("feat_no").cast("bigint").alias("feat_no")).alias("_best"))
     every = p.unionByName(f).withColumn("_block", F.floor(F.col("_at") / block))
     # Features at the point's own place aren't beyond it: they sort after it when the window runs from the far end.
     far = Window.partitionBy("_by", "_block").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
@@ -88,8 +87,8 @@ def best_beyond(points: DataFrame, features: DataFrame, at: str, anchor: str, sc
     blocks = p.select("_by", F.floor(F.col("_at") / block).alias("_block")).distinct().join(sums, ["_by", "_block"], "full")
     beyond = Window.partitionBy("_by").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("_carry", F.min("_least").over(beyond)).select("_by", "_block", "_carry")
-    best = inner.join(carried, ["_by", "_block"], "left").select("_row", F.least("_near", "_carry").alias(into))
-    return keyed.join(best, "_row", "left").drop("_row")
+    best = inner.join(carried, ["_by", "_block"], "left").select("_by", (F.col("_at") * sign).alias("_place"), F.least("_near", "_carry").alias(into))
+    return points.join(best, (points[by] == best["_by"]) & (points[at] == best["_place"]), "left").drop("_by", "_place")
 
 
 def merge_runs(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", sums: tuple = ()) -> DataFrame:

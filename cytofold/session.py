@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "cytofold", master: str | None = None, **conf: str) -> SparkSession:
-    """AQE, Arrow and UTC on; further settings as keywords with _ for dots."""
+def session(app: str = "cytofold", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
+    """AQE, Arrow and UTC on; conf: further settings."""
     b = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     b = b.config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.sql.session.timeZone", "UTC")
-    for key, value in conf.items():
-        b = b.config(key.replace("_", "."), value)
+    for key, value in (conf or {}).items():
+        b = b.config(key, value)
     return (b.master(master) if master else b).getOrCreate()

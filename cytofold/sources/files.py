@@ -250,11 +250,12 @@ def location(text: str) -> tuple[str, list[tuple[int, int, str]]]:
                     found += part(inner)
             at += 1
             return found
-        m = re.compile(r"(?:[\w.]+:)?[<>]?\(?(\d+)(?:\.\d+\))?(?:(?:\.\.|\^|\.)[<>]?\(?(?:\d+\.)?(\d+)\)?)?").match(text, at)
-        if not m or m.end() == at:
+        m = re.compile(r"(?:[\w.]+:)?[<>]?(?:\((\d+)\.\d+\)|(\d+))(?:(?:\.\.|\^|\.)[<>]?(?:\(\d+\.(\d+)\)|(\d+)))?").match(text, at)
+        if not m:
             raise ValueError(f"not a place: {text[at:at + 40]}")
         at = m.end()
-        return [(int(m[1]), int(m[2] or m[1]), strand)]
+        first = int(m[1] or m[2])
+        return [(first, int(m[3] or m[4] or first), strand)]
 
     segments = part("+")
     return segments[0][2], segments

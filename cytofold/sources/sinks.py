@@ -60,7 +60,7 @@ def seqmonk(counts: DataFrame, bins: DataFrame) -> DataFrame:
     """(chrom, start, line): bins re-based end to end, with hits."""
     from ..operators.intervals import rebased
 
-    rows = rebased(bins).join(counts.groupBy("chrom", "bin_id").agg(F.sum(F.col("meth") + F.col("unmeth")).alias("hits")), ["chrom", "bin_id"], "left").na.fill(0, ["hits"])
+    rows = rebased(bins.select("chrom", "bin_id", "start", "end")).join(counts.groupBy("chrom", "bin_id").agg(F.sum(F.col("meth") + F.col("unmeth")).alias("hits")), ["chrom", "bin_id"], "left").na.fill(0, ["hits"])
     return rows.select("chrom", "start", tabbed("chrom", "new_start", "new_end", "hits").alias("line"))
 
 
