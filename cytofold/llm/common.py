@@ -32,10 +32,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cytofold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the table is written: the shuffle files behind it go at once
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def whole(text="text"):
     """Text with null read as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -40,9 +40,11 @@ class DigestIndex:
         self.spark, self.keep = spark, keep
         self.folder = folder or f"{shared_dir(spark)}/cytofold/digests-{uuid.uuid4().hex}"
         self.runs: list[list[str]] = [[]]
+        self.written = 0
 
     def _write(self, df: DataFrame, level: int) -> str:
-        at = f"{self.folder}/level{level}-{len(self.runs[level]) if level < len(self.runs) else 0}"
+        at = f"{self.folder}/level{level}-{self.written}"
+        self.written += 1
         df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(at)
         return at
 
@@ -95,5 +97,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: st
 
 def keepers(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """docs without the rows whose bytes a row that stays has; rows that repeat id and text stay once."""
-    marked = groups(docs, text, doc_id, keep).select(F.col("doc_id").alias("_id"), "digest").where(F.col("_id").eqNullSafe(F.col("keep_id"))).distinct()
-    return docs.join(marked, docs[doc_id].eqNullSafe(F.col("_id")) & (sha256(F.coalesce(docs[text], F.lit(""))) == F.col("digest"))).select(*(docs[c] for c in docs.columns))
+    marked = groups(docs, text, doc_id, keep).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct().alias("kept_")
+    rows = docs.alias("row_")
+    same = F.col(f"row_.`{doc_id}`").eqNullSafe(F.col("kept_.doc_id")) & (sha256(F.coalesce(F.col(f"row_.`{text}`"), F.lit(""))) == F.col("kept_.digest"))
+    return rows.join(marked, same, "left_semi")

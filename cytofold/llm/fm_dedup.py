@@ -103,20 +103,20 @@ def resolve(chunk: repeats.Chunk, window: int = WINDOW) -> tuple[np.ndarray, np.
     of = np.array([passages.setdefault(d, len(passages)) for d in chunk.data], np.int64)  # rows come by key: the first has the least
     _, at = np.unique(of, return_index=True)
     least = chunk.key[at]
-    numbers: dict[bytes, int] = {}
-    read = [[numbers.setdefault(w, len(numbers) + 1) for w in d.split(b" ")] for d in passages]
-    sizes = np.array([len(x) for x in read], np.int64)
-    flat = np.fromiter((w for x in read for w in [*x, 0]), np.int64, int(sizes.sum()) + len(read))
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-    index = FMIndex(flat, len(numbers) + 1, window)
+    words = b" \n ".join(passages).split(b" ") + [b"\n"]  # no word is a line end
+    numbers = {w: i for i, w in enumerate(dict.fromkeys([b"\n", *words]))}
+    flat = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    begin = np.concatenate(([0], np.flatnonzero(flat == 0) + 1))
+    sizes, begin = np.diff(begin) - 1, begin[:-1]
+    index = FMIndex(flat, len(numbers), window)
     holder = np.repeat(least, sizes + 1)[index.suffixes]
     edges = np.flatnonzero(index.starts[window] == np.arange(len(flat)))
     first_holder = np.minimum.reduceat(holder, edges)
     class_of = np.cumsum(index.starts[window] == np.arange(len(flat))) - 1
     width = int(sizes.max()) - window + 1
-    repeat = np.zeros((len(read), width), bool)
+    repeat = np.zeros((len(sizes), width), bool)
     by_size = np.argsort(-sizes, kind="stable")
-    low, high = np.zeros(len(read), np.int64), np.full(len(read), len(flat), np.int64)
+    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(flat), np.int64)
     for step in range(int(sizes.max())):
         live = by_size[: np.searchsorted(-sizes[by_size], -step, "left")]  # those longer than step
         place = sizes[live] - 1 - step
@@ -144,9 +144,10 @@ def _windows(window: int, data: bytes, n: int) -> list[bytes]:
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, group: int = repeats.GROUP) -> DataFrame:
     """(doc_id, text, runs): runs of places (first, last) where passages of window words start that an earlier document has."""
     base = repeats.keyed(docs, text, doc_id)
-    shards = repeats.contexts(base, repeats.Words(window, anchor)).repartition(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
+    found = cut(repeats.contexts(base, repeats.Words(window, anchor), within=False), "passages")
+    shards = found.where("data is not null").repartition(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
     runs = cut(repeats.resolved(shards, partial(resolve, window=window), partial(_windows, window), group), "fm-runs")
-    return repeats.with_runs(base, repeats.judged(runs, within=False))
+    return repeats.with_runs(base, repeats.judged(found, runs, within=False))
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, **how) -> DataFrame:

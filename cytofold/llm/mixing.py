@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 WEIGHTS, CAP, PASSES, SLICE = (5, 2, 1), 3.0, 4, 50_000
 
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; rows that agree in id, source and text are taken alike."""
     plan = mix(docs, text, source, doc_id, **how).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").cast("int").alias("copies"))
-    d, p = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("d"), plan.alias("p")
-    both = d.join(p, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("p.doc_id")) & F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")) & (F.col("d._hash") == F.col("p.text_hash")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("p.copies")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    hash_, copy = fresh(docs, "_hash"), fresh(docs, "_copy")
+    d, p = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("d"), plan.alias("p")
+    both = d.join(p, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("p.doc_id")) & F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")) & (F.col(f"d.`{hash_}`") == F.col("p.text_hash")))
+    return both.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)

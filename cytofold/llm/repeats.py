@@ -4,8 +4,11 @@ Every window (W consecutive symbols) picks the symbol run of length k in it whos
 windows pick equal anchors at the same offset, so a window can recur only if its anchor does. Steps:
 
 1. anchors: each document gives one row (hash, document, place) for each anchor, with the windows that picked it;
-2. rows whose hash occurs once are dropped: their windows are unique;
-3. the rest go back to their texts, by document, and leave as contexts: the symbols of the anchor's windows;
+2. rows whose hash occurs once are dropped: their windows are unique. Hashes that a task meets more than once in
+   some hundred documents are known to recur: one row is dealt by its hash, the others anywhere, so a hash that a third
+   of all documents have is no task's alone;
+3. the rest go back to their texts, by document, and leave as contexts: the symbols of the anchor's windows. A
+   context that a task has met in a smaller document leaves as a run of repeated windows at once;
 4. an operator's resolver gets contexts with equal anchors together and says which windows are repeats;
 5. a document's repeated windows come back to its text.
 
@@ -20,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +34,10 @@ _LOW = np.uint64((1 << 20) - 1)
 STEP, JOINED, BATCH = 1 << 19, 1 << 20, 20_000
 #: Contexts that a resolver gets at once, and the most of one anchor that it gets at all.
 CHUNK, GROUP = 30_000, 200_000
+#: Contexts that a task remembers; a full memory is emptied, which only lets more rows through.
+SEEN = 400_000
+#: Marks a place whose anchor is known to recur.
+_SURE = 1 << 62
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -43,12 +51,17 @@ class Bytes:
     def __init__(self, window: int, anchor: int):
         self.window, self.anchor = window, anchor
 
-    def read(self, text: str) -> tuple[np.ndarray, bytes]:
+    def read(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+
+    def cutter(self, text: str) -> Callable[[int, int], bytes]:
         data = text.encode("utf-8", "replace")
-        return np.frombuffer(data, np.uint8), data
+        return lambda a, b: data[a:b]
+
+    def lead(self, data: bytes) -> bytes:
+        return data
 
-    def cut(self, data: bytes, a: int, b: int) -> bytes:
-        return data[a:b]
+    lead_type = pa.binary()
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
         """Of the anchor-length run at each place."""
@@ -85,12 +98,20 @@ class Words:
     def __init__(self, window: int, anchor: int):
         self.window, self.anchor, self.known = window, anchor, _Hashes()
 
-    def read(self, text: str) -> tuple[np.ndarray, list[bytes]]:
+    def read(self, text: str) -> np.ndarray:
         parts = text.encode("utf-8", "replace").split()
-        return np.fromiter(map(self.known.__getitem__, parts), np.uint64, len(parts)), parts
+        return np.fromiter(map(self.known.__getitem__, parts), np.uint64, len(parts))
+
+    def cutter(self, text: str) -> Callable[[int, int], bytes]:
+        parts = text.encode("utf-8", "replace").split()
+        whole = b" ".join(parts)
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))).tolist()
+        return lambda a, b: whole[starts[a] : starts[b] - 1]
+
+    def lead(self, data: bytes) -> int:
+        return xxhash.xxh64_intdigest(data, 3) - (1 << 63)
 
-    def cut(self, parts: list[bytes], a: int, b: int) -> bytes:
-        return b" ".join(parts[a:b])
+    lead_type = pa.int64()
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
         n = max(0, len(symbols) - self.anchor + 1)
@@ -158,12 +179,20 @@ def _anchor_rows(of: Bytes | Words) -> Callable:
         def made(keys: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
             h, doc, p, a, b = anchored(np.concatenate(parts), bounds, of)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array(_pack(p, a, b))], names=["hash", "key", "at"])
+            key, at = np.array(keys, np.int64)[doc], _pack(p, a, b)
+            if len(h):
+                order = np.argsort(h, kind="stable")
+                again = h[order[1:]] == h[order[:-1]]
+                at[order[1:][again]] |= _SURE
+                at[order[:-1][again]] |= _SURE
+                other = order[1:][again]
+                h[other] = _mix(key[other].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at[other].view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(at)], names=["hash", "key", "at"])
 
         keys, parts, size = [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                symbols, _ = of.read(text.as_py())
+                symbols = of.read(text.as_py())
                 if len(symbols) < of.window:
                     continue
                 keys.append(key)
@@ -179,8 +208,9 @@ def _anchor_rows(of: Bytes | Words) -> Callable:
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash those whose neighbour has the same hash."""
+    """Of rows sorted by hash those that are known to recur or whose neighbour has the same hash."""
     held, same = None, False  # the last row isn't judged before the next is seen; same: as the one before it
+    plain = _SURE - 1
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -188,28 +218,40 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             h, key, at = (np.concatenate(([x], y)) for x, y in zip(held, (h, key, at), strict=True))
         equal = h[1:] == h[:-1]
-        keep = np.concatenate(([same if held is not None else False], equal))
+        keep = np.concatenate(([same], equal)) | (at >= _SURE)
         keep[:-1] |= equal
         held, same = (h[-1], key[-1], at[-1]), bool(keep[-1])
         keep = keep[:-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(at[:-1][keep])], names=["key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(at[:-1][keep] & plain)], names=["key", "at"])
     if held is not None and same:
-        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], names=["key", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2] & plain], pa.int64())], names=["key", "at"])
 
 
-def _context_rows(of: Bytes | Words) -> Callable:
+def _context_rows(of: Bytes | Words, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lead", "key", "first", "offset", "more", "data"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [of.lead_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         rows: list[tuple] = []
+        seen: dict[bytes, int] = {}  # the document in which a context was met first; documents come in order
+        window, anchor = of.window, of.anchor
         for batch in batches:
             for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                _, parts = of.read(text.as_py())
-                for at in places.as_py():
+                piece = of.cutter(text.as_py())
+                for at in sorted(places.as_py()):
                     p, back, more = at >> 16, at >> 8 & 255, at & 255
                     a = p - back
-                    rows.append((of.cut(parts, p, p + of.anchor), key, a, back, more, of.cut(parts, a, a + more + of.window)))
+                    data = piece(a, a + more + window)
+                    digest = xxhash.xxh3_128_digest(data)
+                    before = seen.get(digest)
+                    if before is not None and (before < key or within):
+                        rows.append((None, key, a, back, more, None))
+                        continue
+                    if before is None:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen[digest] = key
+                    rows.append((of.lead(piece(p, p + anchor)), key, a, back, more, data))
                 if len(rows) >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
@@ -219,15 +261,16 @@ def _context_rows(of: Bytes | Words) -> Callable:
     return run
 
 
-def contexts(base: DataFrame, of: Bytes | Words) -> DataFrame:
-    """(lead, key, first, offset, more, data) of the anchors that recur: the anchor's symbols, the document, the first of
-    its windows, the anchor's place in it, how many more windows follow, and the windows' symbols."""
+def contexts(base: DataFrame, of: Bytes | Words, within: bool) -> DataFrame:
+    """(lead, key, first, offset, more, data) of the anchors that recur: the anchor's symbols (or their hash), the document, the
+    first of its windows, the anchor's place in it, how many more windows follow, and the windows' symbols. Without
+    lead and data: these windows are repeats. within: a document's own earlier places count."""
     parts = shuffle_parts(base.sparkSession)
     rows = base.select("key", "text").mapInArrow(_anchor_rows(of), "hash bigint, key bigint, at bigint")
     rows = rows.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_recurring, "key bigint, at bigint")
     places = rows.groupBy("key").agg(F.collect_list("at").alias("places"))  # at most a document's length
-    texts = base.select("key", "text").join(places, "key").select("key", "text", "places")
-    return texts.mapInArrow(_context_rows(of), "lead binary, key bigint, first bigint, offset int, more int, data binary")
+    texts = base.select("key", "text").join(places, "key").select("key", "text", "places").sortWithinPartitions("key")
+    return texts.mapInArrow(_context_rows(of, within), f"lead {'binary' if of.lead_type == pa.binary() else 'bigint'}, key bigint, first bigint, offset int, more int, data binary")
 
 
 class Chunk:
@@ -264,7 +307,7 @@ def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole groups, and the rows of the last one so far
         size = open_ = 0  # rows held, and those of them in the last group
-        last: bytes | None = None
+        last: bytes | int | None = None
         large = False
 
         def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,15 +323,16 @@ def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lead = batch.column("lead").to_pylist()
-            cuts = [i for i in range(1, len(lead)) if lead[i] != lead[i - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(lead)], strict=True):
+            lead = batch.column("lead")
+            cuts = (np.flatnonzero(pc.not_equal(lead.slice(1), lead.slice(0, len(lead) - 1))) + 1).tolist()
+            lead = [lead[i].as_py() for i in [0, *cuts]]
+            for first, a, b in zip(lead, [0, *cuts], [*cuts, batch.num_rows], strict=True):
                 part = batch.slice(a, b - a)
-                if lead[a] != last:
+                if first != last:
                     if size >= CHUNK:
                         yield from solve(held)
                         held, size = [], 0
-                    last, open_, large = lead[a], 0, False
+                    last, open_, large = first, 0, False
                 if large:
                     yield from single(part)
                     continue
@@ -306,9 +350,10 @@ def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.
     return found.mapInArrow(run, "key bigint, first bigint, last bigint, window binary")
 
 
-def judged(runs: DataFrame, within: bool) -> DataFrame:
-    """(key, first, last) of repeated windows, those of large groups judged by aggregation; within: earlier places of one document count."""
+def judged(found: DataFrame, runs: DataFrame, within: bool) -> DataFrame:
+    """(key, first, last) of repeated windows: those known from contexts, the resolver's, and those of large groups, judged by aggregation."""
     plain = runs.where("window is null").select("key", "first", "last")
+    plain = plain.union(found.where("data is null").select("key", "first", F.expr("first + more")))
     single = runs.where("window is not null").select("key", "first", "window")
     least = single.groupBy("window").agg(F.min(F.struct("key", "first")).alias("least"))
     repeat = F.struct("key", "first") > F.col("least") if within else F.col("key") > F.col("least.key")

@@ -117,10 +117,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     """(doc_id, text, runs): runs of places (first, last) where repeated strings of window bytes start."""
     base = repeats.keyed(docs, text, doc_id)
     of = repeats.Bytes(window, anchor)
-    found = cut(repeats.contexts(base, of), "suffixes")
-    buckets = found.repartitionByRange(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
+    found = cut(repeats.contexts(base, of, within=True), "suffixes")
+    buckets = found.where("data is not null").repartitionByRange(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
     runs = cut(repeats.resolved(buckets, partial(resolve, window=window, anchor=anchor), partial(_windows, window), group), "suffix-runs")
-    return repeats.with_runs(base, repeats.judged(runs, within=True))
+    return repeats.with_runs(base, repeats.judged(found, runs, within=True))
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, **how) -> DataFrame:
