@@ -205,9 +205,20 @@ def chi_square_p_df2(spark, d):
     return diff.chi_square(win_counts(spark, d).where("sample_no < 3")).where("df = 2").select("chrom", "bin_id", F.round("p", 6).alias("p"))
 
 
-@query()
+def _pruned(steps: int = 6) -> str:
+    """SQL of the step-by-step pruning; each step drops a sample or is the last, so as many steps as samples do."""
+    parts = ["u0 AS (SELECT * FROM dense WHERE meth + unmeth >= 1)"]
+    for i in range(steps):
+        parts.append(f"s{i} AS (SELECT *, sum(meth) OVER w / sum(meth + unmeth) OVER w AS share, count(*) OVER w AS k FROM u{i} WINDOW w AS (PARTITION BY chrom, bin_id))")
+        parts.append(f"u{i + 1} AS (SELECT * EXCLUDE (share, k) FROM s{i} WHERE k < 2 OR ((meth + unmeth) * share >= 5 AND (meth + unmeth) * (1 - share) >= 5))")
+    parts.append(f"e AS (SELECT *, sum(meth) OVER w / sum(meth + unmeth) OVER w AS share FROM u{steps} WINDOW w AS (PARTITION BY chrom, bin_id))")
+    parts.append("c AS (SELECT chrom, bin_id, count(*)::INT AS samples, sum((meth - (meth + unmeth) * share) ** 2 / ((meth + unmeth) * share) + (unmeth - (meth + unmeth) * (1 - share)) ** 2 / ((meth + unmeth) * (1 - share))) AS chi FROM e GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+@query(f"{ALL}, {_pruned()} SELECT b.chrom, b.bin_id, CASE WHEN samples >= 2 THEN round(chi, 6) ELSE 0.0 END AS chi, (CASE WHEN samples >= 2 THEN samples - 1 ELSE 0 END)::INT AS df, coalesce(samples, 0)::INT AS samples FROM bins b LEFT JOIN c USING (chrom, bin_id)")
 def chi_square_pruned(spark, d):
-    return diff.chi_square_pruned(used(dense_counts_(spark, d))).select("chrom", "bin_id", F.round("chi", 6).alias("chi"), "df", "samples", F.round("p", 6).alias("p"))
+    return diff.chi_square_pruned(used(dense_counts_(spark, d))).select("chrom", "bin_id", F.round("chi", 6).alias("chi"), "df", "samples")
 
 
 @query(f"{WIN}, k AS (SELECT * FROM wins), {CHI} SELECT chrom, bin_id, round(share, 6) AS share, round(least(share, 1 - share) * least, 6) AS least_expected, hits::BIGINT AS hits FROM tot")
@@ -248,7 +259,9 @@ def anova(spark, d):
     return diff.anova(win_counts(spark, d)).select("chrom", "bin_id", F.round("ss_total", 6).alias("ss_total"), F.round("ss_treat", 6).alias("ss_treat"), "df1", "df2", F.round("f", 4).alias("f"))
 
 
-@query()
+@query(f"""{WIN}, k AS (SELECT * FROM wins), {ANOVA}, f AS (SELECT *, CASE WHEN ss_total > 1e-12 AND ss_treat > 1e-12 AND df2 > 0 AND ss_total > ss_treat THEN atan(sqrt(ss_treat * df2 / ((ss_total - ss_treat) * df1) / df2)) END AS t FROM a),
+    g2 AS (SELECT chrom, bin_id, group_no, sum(meth) / sum(meth + unmeth) AS pooled FROM x GROUP BY ALL), top AS (SELECT chrom, bin_id, group_no FROM g2 QUALIFY row_number() OVER (PARTITION BY chrom, bin_id ORDER BY pooled DESC, group_no) = 1)
+    SELECT chrom, bin_id, round(CASE df2 WHEN 1 THEN 1 - 2 * t / pi() WHEN 2 THEN 1 - sin(t) WHEN 3 THEN 1 - 2 / pi() * (t + sin(t) * cos(t)) WHEN 4 THEN 1 - sin(t) * (1 + cos(t) ** 2 / 2) END, 6) AS p, group_no AS greater FROM f JOIN top USING (chrom, bin_id)""")
 def anova_p(spark, d):
     return diff.bin_stats(win_counts(spark, d), "a").select("chrom", "bin_id", F.round("p", 6).alias("p"), "greater")
 
@@ -318,7 +331,10 @@ def depth_histogram(spark, d):
     return depth_.histogram(depth_.position_depth(v_calls(spark, d), v_cpgs(spark, d)))
 
 
-@query()
+@query(f"""{DEPTH}, h AS (SELECT meth + unmeth AS depth, count(*) AS positions FROM d GROUP BY ALL), f AS (SELECT r.range AS depth, coalesce(positions, 0) AS positions FROM range((SELECT max(depth) + 1 FROM h)) r LEFT JOIN h ON h.depth = r.range),
+    n AS (SELECT *, max(positions) OVER () AS most, CASE WHEN positions = 0 AND lag(positions, 1, 1) OVER (ORDER BY depth) = 0 THEN 0 ELSE 1 END AS fresh FROM f), g AS (SELECT *, sum(fresh) OVER (ORDER BY depth) AS run FROM n),
+    z AS (SELECT *, count(*) OVER (PARTITION BY run) AS size, min(depth) OVER (PARTITION BY run) AS first FROM g)
+    SELECT depth, CASE WHEN positions = 0 AND size > 3 THEN '[...]' ELSE depth || chr(9) || positions || chr(9) || repeat('*', (positions * 50 // most)::INT) END AS line FROM z WHERE positions > 0 OR size <= 3 OR depth = first""")
 def depth_bars(spark, d):
     return depth_.bars(depth_.histogram(depth_.position_depth(v_calls(spark, d), v_cpgs(spark, d))))
 
@@ -405,7 +421,15 @@ def feature_relations(spark, d):
     return pairs.select("region_no", "feat_no", annotate.relation(*(F.col(c) for c in ("s", "e", "lo", "hi", "strand"))).alias("relation"))
 
 
-@query()
+SHORES = "greatest(lo - 2000, 1) AS sl, hi + 2000 AS sh, greatest(lo - 4000, 1) AS fl, hi + 4000 AS fh"
+
+
+@query(f"""{FR}, c AS (SELECT r.region_no, r.s, r.e, f.feat_no, abs(f.lo - r.s) AS distance FROM regs r JOIN feats f ON r.chrom = f.chrom AND f.type = '1-URGENT'),
+    n AS (SELECT region_no, min_by(feat_no, distance * 1000000000.0 + feat_no) AS feat_no FROM c GROUP BY region_no),
+    x AS (SELECT n.region_no, n.feat_no, least(s, e) AS a, greatest(s, e) AS b, lo, hi, {SHORES} FROM n JOIN regs USING (region_no) JOIN feats USING (feat_no))
+    SELECT region_no, feat_no, CASE WHEN a NOT BETWEEN fl AND fh AND b NOT BETWEEN fl AND fh THEN '-' WHEN a BETWEEN lo AND hi AND b BETWEEN lo AND hi THEN 'CpGI_core'
+        WHEN (a BETWEEN lo AND hi AND b BETWEEN hi AND sh) OR (a BETWEEN sl AND lo AND b BETWEEN lo AND hi) THEN 'CpGI_coreshore' WHEN (a BETWEEN sl AND lo AND b BETWEEN sl AND lo) OR (a BETWEEN hi AND sh AND b BETWEEN hi AND sh) THEN 'CpGI_shore'
+        WHEN (a BETWEEN fl AND sl AND b BETWEEN sl AND lo) OR (a BETWEEN hi AND sh AND b BETWEEN sh AND fh) THEN 'CpGI_shoreshelf' WHEN (a BETWEEN fl AND sl AND b BETWEEN fl AND sl) OR (a BETWEEN sh AND fh AND b BETWEEN sh AND fh) THEN 'CpGI_shelf' ELSE 'CpGI_shelfoverlap' END AS class FROM x""")
 def island_classes(spark, d):
     islands = v_features(spark, d).where("type = '1-URGENT'")
     near = annotate.proximal(v_regions(spark, d), islands)
@@ -455,7 +479,12 @@ def base_composition(spark, d):
     return v_reads(spark, d).select("doc_id", seq_.base_composition(F.col("seq")).alias("x")).select("doc_id", "x.a", "x.c", "x.g", "x.t")
 
 
-@query()
+CODONS = ", ".join(f"'{k}': '{v}'" for k, v in sorted(seq_.codon_table().items()))
+
+
+@query(f"""WITH reads AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{AS_BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents), t AS (SELECT MAP {{{CODONS}}} AS codons),
+    u AS (SELECT doc_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS k FROM reads WHERE length(seq) > 0), s AS (SELECT doc_id, sum(((k - 1) % 57 + 1) * ascii(c)) % 10000 AS checksum FROM u GROUP BY ALL)
+    SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(seq, '...'), lambda x: t.codons[x]), '')) AS digest, coalesce(checksum, 0)::BIGINT AS checksum FROM reads CROSS JOIN t LEFT JOIN s USING (doc_id)""")
 def translated_reads(spark, d):
     clean_ = F.regexp_replace("seq", "[^ACGT]", "")
     return v_reads(spark, d).select("doc_id", F.md5(seq_.translated(clean_).cast("binary")).alias("digest"), seq_.gcg_checksum(clean_).alias("checksum"))
@@ -484,7 +513,8 @@ def trimmed_reads_full(spark, d):
     return made.select("doc_id", "trim_start", "trim_end", "valid", F.size("hits").alias("n_hits"))
 
 
-@query()
+@query(f"""{READS}, p AS (SELECT a.doc_id, string_split(a.seq, '') AS x, string_split(b.seq, '') AS y, least(length(a.seq), length(b.seq)) AS n FROM reads a JOIN reads b ON b.doc_id = a.doc_id + 1)
+    SELECT doc_id, (CASE WHEN n = 0 THEN 0 ELSE len(list_filter(list_zip(x[1:n], y[1:n]), lambda z: z[1] <> z[2] AND NOT (z[1] = 'T' AND z[2] = 'C'))) END)::INT AS mismatches FROM p""")
 def bisulphite_mismatches(spark, d):
     r = v_reads(spark, d)
     both = r.join(r.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other")), "doc_id")
