@@ -94,6 +94,28 @@ def proximal(regions: DataFrame, features: DataFrame) -> DataFrame:
     return _named(regions.join(both.select("region_no", pick.alias("_p")), "region_no").select(*regions.columns, "_p.distance", "_p.feat_no").where("feat_no is not null"), features, ["start", "end"])
 
 
+def fragment_based(regions: DataFrame, starts: DataFrame, islands: DataFrame) -> DataFrame:
+    """regions that have both a nearest start and an island (the nearest one downstream, else the one closest by), with
+    each one's span and its distance along the forward strand."""
+    near = nearest(regions, starts).select("region_no", F.col("feat_no").alias("tss_no"), F.col("f_start").alias("tss_start"), F.col("f_end").alias("tss_end"))
+    first = nearest(regions, islands).select("region_no", F.col("feat_no").alias("_a"), F.col("f_start").alias("_as"), F.col("f_end").alias("_ae"))
+    other = proximal(regions, islands).select("region_no", F.col("feat_no").alias("_b"), F.col("f_start").alias("_bs"), F.col("f_end").alias("_be"))
+    both = regions.join(near, "region_no").join(first, "region_no", "left").join(other, "region_no", "left")
+    both = both.select(*regions.columns, "tss_no", "tss_start", "tss_end", F.coalesce("_a", "_b").alias("island_no"), F.coalesce("_as", "_bs").alias("island_start"), F.coalesce("_ae", "_be").alias("island_end")).where("island_no is not null")
+    far = lambda hi: F.col("s") - F.col(hi) + 1
+    return both.withColumn("tss_distance", far("tss_end")).withColumn("island_distance", far("island_end"))
+
+
+def introns(segments: Column) -> Column:
+    """Spans between a feature's segments, which are sorted by start."""
+    gaps = F.transform(F.slice(segments, 2, 1 << 20), lambda s, i: F.struct((F.get(segments, i)["end"] + 1).alias("start"), (s["start"] - 1).alias("end")))
+    return F.filter(gaps, lambda g: g["start"] <= g["end"])
+
+
+def spliced_length(segments: Column) -> Column:
+    return F.aggregate(segments, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"] + 1)
+
+
 def upstream_of(genes: DataFrame, others: DataFrame) -> DataFrame:
     """genes (feat_no, chrom, start, end, strand) with the nearest other feature before their start on their strand: near_no, distance > 0."""
     g = genes.select(F.col("feat_no").alias("gene_no"), "chrom", "start", "end", "strand")

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.sequences import motif_positions
+from ..functions.sequences import base_composition, motif_positions
+from .sizes import small
 
 
 def parse_site(text: str) -> tuple[str, int]:
@@ -64,6 +65,22 @@ def with_cpgs(bins: DataFrame, cpgs: DataFrame, compat: bool = False) -> DataFra
     return made
 
 
+def region_sequences(regions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """regions (chrom, start, end, …) with the bases under them; none may be longer than the chunks' overlap."""
+    first = chunks.select("size").first()
+    size = first["size"] if first else 1
+    keyed = regions.withColumn("_chunk", (F.floor((F.col("start") - 1) / size) * size + 1).cast("int"))
+    c = chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), F.col("seq").alias("_seq"))
+    both = keyed.join(c, (keyed.chrom == F.col("_c")) & (F.col("_chunk") == F.col("_s")))
+    return both.withColumn("seq", F.substring("_seq", F.col("start") - F.col("_s") + 1, F.col("end") - F.col("start") + 1)).drop("_c", "_s", "_seq", "_chunk")
+
+
+def composition(regions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Numbers of bases a, c, g, t and others over all regions, by chromosome."""
+    x = region_sequences(regions, chunks).select("chrom", base_composition(F.col("seq")).alias("x"))
+    return x.groupBy("chrom").agg(*(F.sum(f"x.{b}").alias(b) for b in ("a", "c", "g", "t", "other")))
+
+
 def windows(lengths: DataFrame, width: int) -> DataFrame:
     """(chrom, bin_id, start, end): windows of one width over each chromosome."""
     ids = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / width)))
@@ -78,7 +95,7 @@ def user_bins(rows: DataFrame, chromosomes: DataFrame | None = None) -> DataFram
     """(chrom, bin_id, start, end) of rows chrom, start, end in the order line_no; fails on start > end and unknown chromosomes."""
     if chromosomes is not None:
         known = chromosomes.select("chrom", F.lit(True).alias("_known"))
-        rows = rows.join(F.broadcast(known), "chrom", "left")
+        rows = rows.join(small(known), "chrom", "left")
         rows = rows.withColumn("chrom", F.when(F.col("_known"), F.col("chrom")).otherwise(F.raise_error(F.concat(F.lit("unknown chromosome "), F.col("chrom"))))).drop("_known")
     start = F.when(F.col("start") <= F.col("end"), F.col("start")).otherwise(F.raise_error(F.lit("a bin ends before it starts")))
     return rows.select("chrom", F.col("line_no").cast("bigint").alias("bin_id"), start.cast("int").alias("start"), F.col("end").cast("int").alias("end"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import proportion
 from .intervals import point_in_interval
+from .sizes import small
 
 
 def methylated(n: str = "n") -> list[Column]:
@@ -37,7 +38,7 @@ def bin_counts(calls: DataFrame, bins: DataFrame, n: str = "", first_hit_back: b
 
 def dense(counts: DataFrame, bins: DataFrame, samples: DataFrame) -> DataFrame:
     """A row for each bin and sample, zeros included; samples is one short list."""
-    every = bins.select("chrom", "bin_id").crossJoin(F.broadcast(samples.select("sample_no", "group_no")))
+    every = bins.select("chrom", "bin_id").crossJoin(small(samples.select("sample_no", "group_no")))
     found = counts.select("chrom", "bin_id", "sample_no", "meth", "unmeth")
     return every.join(found, ["chrom", "bin_id", "sample_no"], "left").na.fill(0, ["meth", "unmeth"])
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.sizes import small
+
 
 def read_lines(spark: SparkSession, *paths: str, numbered: bool = False) -> DataFrame:
     """(file, value[, line_no]); numbers follow the order of files and of lines in them, without gathering them."""
@@ -17,7 +19,7 @@ def read_lines(spark: SparkSession, *paths: str, numbered: bool = False) -> Data
     ids = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
     first = ids.groupBy("_part").agg(F.count("*").alias("n"))  # one row for each split
     before = first.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).select("_part", "_before")
-    return ids.join(F.broadcast(before), "_part").select("file", "value", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("line_no"))
+    return ids.join(small(before), "_part").select("file", "value", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("line_no"))
 
 
 def fields(value: str = "value", sep: str = r"\s+") -> Column:
@@ -27,7 +29,7 @@ def fields(value: str = "value", sep: str = r"\s+") -> Column:
 def known(rows: DataFrame, chromosomes: DataFrame | None, only: str | None = None) -> DataFrame:
     """Rows of listed chromosomes, and of one only if asked for; the list is short."""
     if chromosomes is not None:
-        rows = rows.join(F.broadcast(chromosomes.select("chrom").distinct()), "chrom", "left_semi")
+        rows = rows.join(small(chromosomes.select("chrom").distinct()), "chrom", "left_semi")
     return rows.where(F.col("chrom") == only) if only is not None else rows
 
 

@@ -190,3 +190,28 @@ def test_comparison(spark, chunks, lengths):
     assert workflows.compare(calls, samples, workflows.Comparison(mode="P", window=10)).count() == 2
     joined = workflows.fragment_bins(chunks, lengths, workflows.Comparison(shortest=1, longest=30, join_adjacent=True))
     assert rows(joined, "start", "end", "n_cpg") == [(4, 20, 4)]
+
+
+def test_regions_and_segments(spark, chunks):
+    r = spark.createDataFrame([("T", 4, 9), ("T", 16, 20)], "chrom string, start int, end int")
+    assert rows(bins.region_sequences(r, chunks), "seq") == [("CGGTTC",), ("GACGT",)]
+    assert rows(bins.composition(r, chunks)) == [("T", 1, 3, 4, 3, 0)]
+    segments = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((10, 20), (21, 25), (30, 40))))
+    x = spark.range(1).select(annotate.introns(segments).alias("i"), annotate.spliced_length(segments).alias("n")).first()
+    assert ([tuple(g) for g in x.i], x.n) == ([(26, 29)], 27)
+
+
+def test_fragment_based(spark):
+    regions = spark.createDataFrame([(1, "a", 100, 120), (2, "b", 100, 120)], "region_no int, chrom string, s int, e int")
+    starts = spark.createDataFrame([(1, "a", 200, 210, "+")], "feat_no int, chrom string, start int, end int, strand string")
+    islands = spark.createDataFrame([(7, "a", 20, 30, "+"), (8, "b", 200, 300, "+")], starts.schema)
+    got = annotate.fragment_based(regions, starts, islands)
+    assert rows(got, "region_no", "tss_no", "island_no", "tss_distance", "island_distance") == [(1, 1, 7, -109, 71)]
+
+
+def test_long_lists_are_not_broadcast(spark):
+    from cytofold.operators.sizes import small
+
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(small(spark.range(5), 10)).lower()
+    assert "broadcast" not in plan(small(spark.range(50), 10)).lower()
