@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import cut, shared_dir
 
 #: Rows of a digest that one slice verifies.
-SLICE = 512
+SLICE = 64
 
 
 def sha256(text: Column) -> Column:

@@ -46,12 +46,18 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     order = Window.partitionBy("lang").orderBy("at", "id")
     picked = rows.select("lang", "id", F.xxhash64("id").alias("at")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE).join(F.broadcast(often.select("lang")), "lang", "left_semi")
     # At most LANGUAGES x PER_LANGUAGE ids: small by its bounds.
-    sample = rows.join(F.broadcast(picked.select("lang", "id", "rank")), ["lang", "id"]).where("length(trim(text)) > 0").orderBy("lang", "rank")
+    sample = rows.join(F.broadcast(picked.select("lang", "id", "rank")), ["lang", "id"]).where("length(trim(text)) > 0")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [words(t.as_py()).encode("utf-8", "replace")[-DICTIONARY:] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.binary())], names=["lang", "rank", "words"])
+
+    # A text comes as what a dictionary can hold of its words.
+    rows_ = sample.select("lang", "rank", "text").mapInArrow(ends, "lang string, rank int, words binary")
     texts: dict[str, list[bytes]] = {}
-    for row in sample.select("lang", "text").toLocalIterator():
-        have = texts.setdefault(row.lang, [])
-        if sum(map(len, have)) < 4 * DICTIONARY * DICTIONARIES:
-            have.append(words(row.text).encode("utf-8", "replace"))
+    for row in rows_.orderBy("lang", "rank", "words").toLocalIterator():
+        texts.setdefault(row.lang, []).append(bytes(row.words))
     made = {}
     for name, parts in sorted(texts.items()):
         share = -(-len(parts) // DICTIONARIES)

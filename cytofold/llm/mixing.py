@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut, fresh
 
-WEIGHTS, CAP, PASSES, SLICE = (5, 2, 1), 3.0, 4, 50_000
+WEIGHTS, CAP, PASSES, SLICE = (5, 2, 1), 3.0, 4, 2_000
 
 
 def words(text: Column) -> Column:

@@ -172,9 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         picked = part if picked is None else picked.union(part)
     # At most 2 x PER_LABEL ids: small by its bound.
     sample = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [" ".join(sorted(set(_WORD.findall(t.as_py().lower())))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], names=["y", "at", "words"])
+
+    # A text comes as its distinct words.
+    rows = sample.select("y", F.xxhash64("id").alias("at"), "text").mapInArrow(bags, "y int, at bigint, words string")
     texts, toxic = [], []
-    for row in sample.select("y", F.xxhash64("id").alias("at"), "text").orderBy("at", "text").toLocalIterator():
-        texts.append(" ".join(sorted(set(_WORD.findall(row.text.lower())))))
+    for row in rows.orderBy("at", "words").toLocalIterator():
+        texts.append(row.words)
         toxic.append(row.y)
     return train(texts, toxic)
 
