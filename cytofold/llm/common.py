@@ -8,10 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import ship
+
 #: White space as the word contracts define it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow for functions of this package, which executors get first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import cut, shuffle_parts
+from .common import arrow, cut, shuffle_parts
 
 WINDOW, ANCHOR = 13, 5
 
@@ -172,4 +172,4 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
                 kinds = [pa.int64(), pa.int64(), pa.string(), span, pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
-    return repeated(docs, text, doc_id, window, **how).mapInArrow(run, schema)
+    return arrow(repeated(docs, text, doc_id, window, **how), run, schema)

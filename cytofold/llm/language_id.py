@@ -25,6 +25,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import arrow
+
 PER_LANGUAGE, DICTIONARY, DICTIONARIES, LANGUAGES = 300, 1 << 16, 2, 64
 #: Bytes that are compressed together, the level, and the characters under which a text is repeated.
 BLOCK, LEVEL, SHORT = 1 << 12, 6, 300
@@ -54,7 +56,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.binary())], names=["lang", "rank", "words"])
 
     # A text comes as what a dictionary can hold of its words.
-    rows_ = sample.select("lang", "rank", "text").mapInArrow(ends, "lang string, rank int, words binary")
+    rows_ = arrow(sample.select("lang", "rank", "text"), ends, "lang string, rank int, words binary")
     texts: dict[str, list[bytes]] = {}
     for row in rows_.orderBy("lang", "rank", "words").toLocalIterator():
         texts.setdefault(row.lang, []).append(bytes(row.words))
@@ -109,4 +111,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str =
             columns = [pa.array([x[k] for x in made], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *new])
 
-    return docs.select(*(docs[c] for c in [*kept, text])).mapInArrow(run, schema)
+    return arrow(docs.select(*(docs[c] for c in [*kept, text])), run, schema)

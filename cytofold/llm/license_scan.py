@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import arrow
+
 THRESHOLD, STEP = 0.8, 32
 #: Base phrases and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -66,7 +68,7 @@ def frequencies(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, te
                 count.update(filter(wanted.__contains__, words(t.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count], pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
+    rows = arrow(docs.select(text), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
     found = {r.word.encode(): r.n for r in rows}
     return {w: found.get(w, 0) for w in wanted}
 
@@ -140,4 +142,4 @@ def scan_documents(docs: DataFrame, text: str = "text", templates: dict[str, lis
             columns = [pa.array([x[k] for x in made], kinds[kind]) for k, kind in enumerate(COLUMNS.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *COLUMNS])
 
-    return docs.select(*(docs[c] for c in [*kept, text])).mapInArrow(run, schema)
+    return arrow(docs.select(*(docs[c] for c in [*kept, text])), run, schema)

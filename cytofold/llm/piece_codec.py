@@ -25,6 +25,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow
+
 SPACE = "▁"
 #: Units and neighbour tests that one worker keeps; a full dictionary is emptied.
 KEPT = 600_000
@@ -297,4 +299,4 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
                     columns.append(pa.array([c.encode(t.as_py()) for t in texts], new[3][1]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(n for n, _, _ in new)])
 
-    return docs.mapInArrow(run, schema)
+    return arrow(docs, run, schema)

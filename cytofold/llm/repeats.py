@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, shuffle_parts
+from .common import arrow, cut, shuffle_parts
 
 _LOW = np.uint64((1 << 20) - 1)
 #: Windows that are looked at together; symbols of documents that are joined for it; contexts that leave at once.
@@ -266,11 +266,11 @@ def contexts(base: DataFrame, of: Bytes | Words, within: bool) -> DataFrame:
     first of its windows, the anchor's place in it, how many more windows follow, and the windows' symbols. Without
     lead and data: these windows are repeats. within: a document's own earlier places count."""
     parts = shuffle_parts(base.sparkSession)
-    rows = base.select("key", "text").mapInArrow(_anchor_rows(of), "hash bigint, key bigint, at bigint")
-    rows = rows.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_recurring, "key bigint, at bigint")
+    rows = arrow(base.select("key", "text"), _anchor_rows(of), "hash bigint, key bigint, at bigint")
+    rows = arrow(rows.repartition(parts, "hash").sortWithinPartitions("hash"), _recurring, "key bigint, at bigint")
     places = rows.groupBy("key").agg(F.collect_list("at").alias("places"))  # at most a document's length
     texts = base.select("key", "text").join(places, "key").select("key", "text", "places").sortWithinPartitions("key")
-    return texts.mapInArrow(_context_rows(of, within), f"lead {'binary' if of.lead_type == pa.binary() else 'bigint'}, key bigint, first bigint, offset int, more int, data binary")
+    return arrow(texts, _context_rows(of, within), f"lead {'binary' if of.lead_type == pa.binary() else 'bigint'}, key bigint, first bigint, offset int, more int, data binary")
 
 
 class Chunk:
@@ -347,7 +347,7 @@ def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.
                     held, size, large = [], 0, True
         yield from solve(held)
 
-    return found.mapInArrow(run, "key bigint, first bigint, last bigint, window binary")
+    return arrow(found, run, "key bigint, first bigint, last bigint, window binary")
 
 
 def judged(found: DataFrame, runs: DataFrame, within: bool) -> DataFrame:

@@ -1,9 +1,11 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 Fingerprints: words between white space, A-Z lower-cased; shingles of some words, repeats included; a bit is 1 where
-over half of the shingles' XXH64 (seed 42) have it. With letters=True a text's features are its distinct words instead,
-runs of letters and digits in lower case: an edit of a few words then moves few bits however short the text is.
-Equal fingerprints are one node with the smallest doc_id.
+over half of the shingles' XXH64 (seed 42) have it. Equal fingerprints are one node with the smallest doc_id.
+
+With tables > 0 a text's features are its distinct words, runs of letters and digits in lower case, and its distinct
+pairs of neighbours: an edit of a few words then moves few bits however short the text is. Of these each text gets as
+many fingerprints as there are tables, by hashes that are independent; texts are linked if one of them says so.
 
 Links: of r + k blocks of bits, two fingerprints that differ in at most r bits agree on k at least. So each
 fingerprint goes to one bucket for each choice of k blocks and the blocks' values, and all links are found inside
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, shuffle_parts
+from .common import arrow, cut, shuffle_parts
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -54,12 +56,36 @@ def simhash(text: str | None, words: int = 4) -> int:
 _LETTERS = re.compile(r"[^\W_]+")
 
 
-def word_simhash(text: str | None) -> int:
-    """The fingerprint of the distinct words, runs of letters and digits in lower case."""
-    parts = set(_LETTERS.findall((text or "").lower()))
+class _Hashes(dict):
+    """XXH64 (seed 42) of words; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
+        if len(self) >= 300_000:
+            self.clear()
+        if len(word) <= 40:
+            self[word] = h
+        return h
+
+
+def _stirred(z: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit numbers (splitmix64's last step)."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def word_simhash(text: str | None, tables: int = 1, known: _Hashes | None = None) -> list[int]:
+    """The fingerprints of a text's distinct words and neighbouring pairs."""
+    parts = _LETTERS.findall((text or "").lower())
     if not parts:
-        return 0
-    return _majority([np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "replace"), 42) for p in parts], np.uint64)])
+        return [0] * tables
+    known = _Hashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+    features = np.unique(np.concatenate((h, _stirred(h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]))))
+    step = 1 << 14
+    blocks_ = [features[i : i + step] for i in range(0, len(features), step)]
+    return [_majority(_stirred(x + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if t else x for x in blocks_) for t in range(tables)]
 
 
 def _majority(blocks) -> int:
@@ -70,17 +96,20 @@ def _majority(blocks) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, into: str = "fp", letters: bool = False) -> DataFrame:
-    """docs without text, plus the fingerprint as a signed long."""
-    kept = [c for c in docs.columns if c not in (text, into)]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{into}` bigint"
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, tables: int = 0) -> DataFrame:
+    """docs without text, plus the fingerprints fp0, fp1, … as signed longs: one of shingles, or one for each table."""
+    new = [f"fp{t}" for t in range(max(1, tables))]
+    kept = [c for c in docs.columns if c not in (text, *new)]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{n} bigint" for n in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
-            made = np.array([word_simhash(t.as_py()) if letters else simhash(t.as_py(), words) for t in batch.column(text)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made)], names=[*kept, into])
+            made = [word_simhash(t.as_py(), tables, known) if tables else [simhash(t.as_py(), words)] for t in batch.column(text)]
+            prints = np.array(made, np.uint64).reshape(-1, len(new)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(prints[:, i]) for i in range(len(new)))], names=[*kept, *new])
 
-    return docs.select(*(docs[c] for c in [*kept, text])).mapInArrow(run, schema)
+    return arrow(docs.select(*(docs[c] for c in [*kept, text])), run, schema)
 
 
 def blocks(count: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -219,24 +248,33 @@ def near_links(nodes: DataFrame, fp: str = "fp", radius: int = 4, agree: int = 1
         if held:
             yield from solve()
 
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    return arrow(spread, run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, radius: int = 4, letters: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, radius: int = 4, tables: int = 0) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most radius differing bits."""
-    rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, letters=letters), "simhash")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes, radius=radius, agree=agreeing(nodes.count(), radius)))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 6) -> DataFrame:
-    """docs without the rows that are near-duplicates, by their distinct words, of a row with a smaller doc_id.
+    rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, tables=tables), "simhash")
+    nodes = cut(rows.groupBy("fp0").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    agree = agreeing(nodes.count(), radius)
+    edges = near_links(nodes, "fp0", radius, agree)
+    for t in range(1, tables):
+        # Further tables' links as links between the first table's fingerprints: one of each stands for its texts.
+        stands = rows.groupBy(f"fp{t}").agg(F.min("fp0").alias("stand"))
+        found = near_links(stands, f"fp{t}", radius, agree)
+        ends = [stands.select(F.col(f"fp{t}").alias(c), F.col("stand").alias(f"{c}_stand")) for c in ("a", "b")]
+        edges = edges.union(found.join(ends[0], "a").join(ends[1], "b").select("a_stand", "b_stand"))
+        edges = edges.union(rows.select("fp0", f"fp{t}").distinct().join(stands, f"fp{t}").select("fp0", "stand"))
+    roots = components(edges)
+    rooted = nodes.join(roots, nodes.fp0 == roots.node, "left").select("fp0", "least", F.coalesce("root", "fp0").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp0", "component_id")
+    return rows.join(named, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 6, tables: int = 2) -> DataFrame:
+    """docs without the rows that are near-duplicates, by their words and pairs, of a row with a smaller doc_id.
 
     Of rows that repeat a doc_id all are kept or none; rows whose doc_id is null are kept.
     """
-    stay = near_duplicates(docs.where(F.col(doc_id).isNotNull()), text, doc_id, radius=radius, letters=True).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(stay, docs[doc_id] == stay["_stay"], "left_semi")
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    known = docs.where(F.col(doc_id).isNotNull())
+    stay = near_duplicates(known, text, doc_id, radius=radius, tables=tables).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    return known.join(stay, known[doc_id] == stay["_stay"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

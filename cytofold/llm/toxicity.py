@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import arrow
+
 PER_LABEL, FEATURES = 2000, 2000
 #: Weights of the squared change under a swap and of the squared weights; steps of the descent.
 SWAP, RIDGE, STEPS = 4.0, 4e-4, 200
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], names=["y", "at", "words"])
 
     # A text comes as its distinct words.
-    rows = sample.select("y", F.xxhash64("id").alias("at"), "text").mapInArrow(bags, "y int, at bigint, words string")
+    rows = arrow(sample.select("y", F.xxhash64("id").alias("at"), "text"), bags, "y int, at bigint, words string")
     texts, toxic = [], []
     for row in rows.orderBy("at", "words").toLocalIterator():
         texts.append(row.words)
@@ -201,4 +203,4 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
                 made = [own.score(t.as_py(), kept) for t in part.column(text)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64()), pa.array([int(s >= 0.5) for s in made], pa.int32())], names=[*part.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return arrow(docs, run, schema)

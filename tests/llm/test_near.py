@@ -113,3 +113,23 @@ def test_one_of_each_group_stays(spark):
     docs += [(None, "no id", None, None, 1), (7777, None, "en", None, 1)]
     stay = {r.doc_id for r in simhash.representatives(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
     assert stay == {g[0] for g in groups.values()} | {None, 7777}
+
+
+def test_links_of_two_tables(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    docs = []
+    for i in range(25):
+        w = [rng.choice(words) for _ in range(60)]
+        for k in range(4):
+            v = list(w)
+            for _ in range(3 * k):
+                v[rng.randrange(60)] = rng.choice(words)
+            docs.append((10 * i + k, " ".join(v)))
+    docs += [(1000, None), (1001, "!!"), (1002, "One"), (1003, "one.")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), radius=6, tables=2).collect()}
+    prints = {d: simhash.word_simhash(t, 2) for d, t in docs}
+    links = [(a, b) for a in prints for b in prints if any((x ^ y).bit_count() <= 6 for x, y in zip(prints[a], prints[b], strict=True))]
+    assert got == brute_components(links)
+    first = {a: b for a, b in brute_components([(a, b) for a in prints for b in prints if (prints[a][0] ^ prints[b][0]).bit_count() <= 6]).items()}
+    assert first != got  # the second table does find more
