@@ -1 +1,24 @@
 """Spark-first analytics over genomic intervals, methylation calls and reads."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+
+def ship(spark) -> None:
+    """Send the package's modules to the executors, once for each context, so that their Python finds them anywhere."""
+    context = getattr(spark, "sparkContext", None)
+    if context is None or getattr(context, "_cytofold_sent", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="cytofold-")
+    path = os.path.join(folder, "cytofold.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.join("cytofold", os.path.relpath(os.path.join(at, name), here)))
+    context.addPyFile(path)
+    context._cytofold_sent = True

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import ship
+
 
 _UPPER = {c: c - 32 for c in range(97, 123)}
 
@@ -112,6 +114,7 @@ def cleaned(reads: DataFrame, adaptors: list[str], how: Trim = Trim(), seq: str
             hits = [[{"start": a, "length": n, "adaptor": i, "identity": x} for a, n, i, x in finder.hits(s or "")] for s in p[seq]]
             yield p.assign(trim_start=[s[0] for s in spans], trim_end=[s[1] for s in spans], valid=[s[2] for s in spans], hits=hits)
 
+    ship(reads.sparkSession)
     return reads.select(*kept).mapInPandas(run, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .. import ship
 from ..functions.sequences import proportion
 from ..functions.stats import chi_square_p, f_p, fisher_point, pruned_chi_square
 
@@ -49,6 +50,7 @@ def expected(counts: DataFrame) -> DataFrame:
 
 def chi_square(counts: DataFrame) -> DataFrame:
     """(chi, df, p) by bin: expected from the share of all samples, terms from the used ones."""
+    ship(counts.sparkSession)
     n = F.col("meth") + F.col("unmeth")
     whole = Window.partitionBy(*BIN)
     share = F.try_divide(F.sum("meth").over(whole).cast("double"), F.sum(n).over(whole).cast("double"))
@@ -65,6 +67,7 @@ def _pruned(meth: pd.Series, unmeth: pd.Series, used: pd.Series) -> pd.DataFrame
 
 def chi_square_pruned(counts: DataFrame) -> DataFrame:
     """(chi, df, p, samples) by bin with samples of too small expected counts dropped step by step; p is 1 if under 2 remain."""
+    ship(counts.sparkSession)
     lists = counts.groupBy(*BIN).agg(F.array_sort(F.collect_list(F.struct("sample_no", "meth", "unmeth", "used"))).alias("s"))
     made = lists.select(*BIN, _pruned("s.meth", "s.unmeth", "s.used").alias("x")).select(*BIN, "x.*")
     return made.withColumn("p", F.when((F.col("df") > 0) & (F.col("chi") > 0), chi_square_p("chi", "df")).otherwise(1.0))
@@ -89,6 +92,7 @@ def anova(counts: DataFrame) -> DataFrame:
 
     Needs two groups with two samples each; other groups join the sums. Without variance, or between no groups, f is null.
     """
+    ship(counts.sparkSession)
     x = counts.where("used and meth + unmeth > 0").withColumn("x", F.col("meth") / (F.col("meth") + F.col("unmeth")))
     groups = x.groupBy(*BIN, "group_no").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.sum("meth").alias("m"), F.sum(F.col("meth") + F.col("unmeth")).alias("t"))
     groups = groups.withColumn("pooled", F.col("m") / F.col("t"))

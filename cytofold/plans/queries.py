@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import ship
 from ..functions import sequences as seq_
 from ..operators import annotate, bins as bins_, calling, clean, counts as counts_, depth as depth_, diff, intervals
 from ..sources import sinks, tables
@@ -33,6 +34,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

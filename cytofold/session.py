@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from . import ship
+
 
 def session(app: str = "cytofold", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """AQE, Arrow and UTC on; conf: further settings."""
@@ -11,4 +13,6 @@ def session(app: str = "cytofold", master: str | None = None, conf: dict[str, st
     b = b.config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.sql.session.timeZone", "UTC")
     for key, value in (conf or {}).items():
         b = b.config(key, value)
-    return (b.master(master) if master else b).getOrCreate()
+    spark = (b.master(master) if master else b).getOrCreate()
+    ship(spark)
+    return spark

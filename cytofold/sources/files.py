@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import ship
+
 
 class File(InputPartition):
     def __init__(self, path: str):
@@ -343,5 +345,6 @@ class FlatFile(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     for source in (SeqFile, Reads, Bam, FlatFile):
         spark.dataSource.register(source)
