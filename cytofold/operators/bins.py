@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -114,23 +112,21 @@ def amalgamated(bins: DataFrame, least: int, weight: str = "n_cpg") -> DataFrame
     """One pass from left to right: a bin takes in its adjacent successor if one of them has too few CpGs and both together
     have enough; then the pass goes on behind it. (chrom, start, end, weight, merged)"""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            p = p.sort_values("start").reset_index(drop=True)
-            rows, i = [], 0
-            values = list(p[["chrom", "start", "end", weight]].itertuples(index=False, name=None))
-            while i < len(values):
-                chrom, start, end, n = values[i]
-                if i + 1 < len(values) and values[i + 1][1] == end + 1 and min(n, values[i + 1][3]) < least <= n + values[i + 1][3]:
-                    rows.append((chrom, start, values[i + 1][2], n + values[i + 1][3], 2))
-                    i += 2
-                else:
-                    rows.append((chrom, start, end, n, 1))
-                    i += 1
-            yield pd.DataFrame(rows, columns=["chrom", "start", "end", weight, "merged"])
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        values = list(p.sort_values("start")[["chrom", "start", "end", weight]].itertuples(index=False, name=None))
+        rows, i = [], 0
+        while i < len(values):
+            chrom, start, end, n = values[i]
+            if i + 1 < len(values) and min(n, values[i + 1][3]) < least <= n + values[i + 1][3]:
+                rows.append((chrom, start, values[i + 1][2], n + values[i + 1][3], 2))
+                i += 2
+            else:
+                rows.append((chrom, start, end, n, 1))
+                i += 1
+        return pd.DataFrame(rows, columns=["chrom", "start", "end", weight, "merged"])
 
     # Runs of adjacent bins are judged apart: no bin is merged over a gap.
     order = Window.partitionBy("chrom").orderBy("start")
     step = F.when(F.col("start") == F.lag("end").over(order) + 1, 0).otherwise(1)
     runs = bins.select("chrom", F.col("start").cast("int"), F.col("end").cast("int"), F.col(weight).cast("bigint").alias(weight)).withColumn("_step", step).withColumn("_run", F.sum("_step").over(order))
-    return runs.groupBy("chrom", "_run").applyInPandas(lambda p: next(run(iter([p]))), f"chrom string, start int, end int, {weight} bigint, merged int")
+    return runs.groupBy("chrom", "_run").applyInPandas(run, f"chrom string, start int, end int, {weight} bigint, merged int")
