@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # IUB codes, their complements and the bases they stand for.
 IUB = "ACGTURYKMSWBDHVN"
@@ -128,6 +128,12 @@ def translated(seq: Column, code: str | Mapping[str, str] = "standard") -> Colum
     return F.array_join(F.transform(codons(seq), lambda c: F.coalesce(F.try_element_at(known, c), F.lit("X"))), "")
 
 
+def codon_usage(df: DataFrame, seq: str = "seq", code: str = "standard") -> DataFrame:
+    """(codon, residue, n) over all rows."""
+    rows = df.select(F.explode(codons(F.col(seq))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
+    return rows.select("codon", translated(F.col("codon"), code).alias("residue"), "n")
+
+
 def gcg_checksum(seq: Column) -> Column:
     """Sum of upper-case codes times their place in lines of 57, modulo 10,000."""
     letters = F.when(F.length(seq) > 0, F.split(upper(seq), "")).otherwise(F.array().cast("array<string>"))

@@ -119,6 +119,12 @@ def with_mask(counts: DataFrame, limits: Limits) -> DataFrame:
     return counts.withColumn("failed", failed).withColumn("used", F.col("failed") == 0)
 
 
+def with_cpg_hits(counts: DataFrame, by_cpg: DataFrame, least_hits: int = 1) -> DataFrame:
+    """counts plus cpgs_hit: the sample's CpGs in the bin (see cpg_counts) with so many hits."""
+    hit = by_cpg.where((F.col("slot") > 0) & (F.col("meth") + F.col("unmeth") >= least_hits)).groupBy("chrom", "bin_id", "sample_no").agg(F.count("*").cast("int").alias("cpgs_hit"))
+    return counts.join(hit, ["chrom", "bin_id", "sample_no"], "left").na.fill(0, ["cpgs_hit"])
+
+
 def bin_gate(stats: DataFrame, least_cpgs: int = 0, least_hits: int = 1, most_p: float = 1.0, least_samples: int = 2) -> DataFrame:
     """Bins (n_cpg, hits, p, df) that are shown: windows without CpGs pass, others need all of the limits."""
     fits = (F.col("n_cpg") >= least_cpgs) & (F.col("hits") >= least_hits) & (F.col("p") <= most_p) & (F.col("df") + 1 >= least_samples)

@@ -84,6 +84,12 @@ def four_to_one(lines: DataFrame, sep: str = "~") -> DataFrame:
     return made.select("record", F.array_join(F.transform("x", lambda v: v["value"]), sep).alias("value"))
 
 
+def feature_lines(features: DataFrame) -> DataFrame:
+    """(feat_no, line) for each segment of each feature: chromosome, type, id, strand, its span and the segment's."""
+    rows = features.withColumn("_s", F.explode_outer("segments")) if "segments" in features.columns else features.withColumn("_s", F.struct("start", "end"))
+    return rows.select("feat_no", tabbed("chrom", "type", "id", "strand", "start", "end", F.col("_s.start"), F.col("_s.end")).alias("line"))
+
+
 def annotated(rows: DataFrame) -> DataFrame:
     """(region_no, line): kept tokens, distance, relation, name, span, biotype; - where there is nothing."""
     name = F.coalesce("name", "id", F.lit("<No Name>")) if {"name", "id"} <= set(rows.columns) else F.lit("<No Name>")

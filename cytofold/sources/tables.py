@@ -194,6 +194,16 @@ def sites(text: str) -> list[str]:
     return [s.strip() for s in text.splitlines() if s.strip()]
 
 
+def adaptors(text: str, from_five: int = 0) -> list[str]:
+    """Adaptors of a list or of FASTA records, cut at the 5' end, each once and in order."""
+    lines = [line.strip() for line in text.splitlines()]
+    if any(line.startswith(">") for line in lines):
+        found = ["".join(part.split("\n")[1:]) for part in "\n".join(lines).split(">")[1:]]
+    else:
+        found = [line for line in lines if line and not line.startswith("#")]
+    return [a for a in dict.fromkeys(x.upper()[from_five:] for x in found) if a]
+
+
 def format_of(first_line: str) -> str:
     """An annotation file's format by its first line."""
     for sign, kind in (("LOCUS", "genbank"), ("ID   ", "embl"), ("##gff-version", "gff3"), ("##description", "gtf"), ("#!genome", "gtf")):

@@ -166,3 +166,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("select bin_id, sample, meth, unmeth from live")) == [(0, "s1", 1, 1), (0, "s2", 1, 0), (2, "s1", 1, 0)]
+
+
+def test_adaptors_usage_and_dump(spark):
+    from cytofold.functions.sequences import codon_usage
+    from cytofold.operators import counts
+
+    assert tables.adaptors(">a\nACG\nT\n>b\nacgt\n>c\nGG") == ["ACGT", "GG"]
+    assert tables.adaptors("# x\nAACC\nAACC\nTT\n", from_five=1) == ["ACC", "T"]
+    usage = codon_usage(spark.createDataFrame([("ATGATGTA",), ("TGA",)], "seq string"))
+    assert rows(usage) == [("ATG", "M", 2), ("TGA", "*", 1)]
+    got = tables.gtf(lines(spark, *GTF))
+    assert ("1\texon\tT1\t+\t11\t40\t31\t40",) in rows(sinks.feature_lines(got), "line")
+    dense = spark.createDataFrame([("1", 0, 1, 1, 3, 0, 4), ("1", 0, 2, 1, 0, 0, 4)], "chrom string, bin_id bigint, sample_no int, group_no int, meth bigint, unmeth bigint, n_cpg int")
+    by_cpg = spark.createDataFrame([("1", 0, 1, 0, 0, 9, 9), ("1", 0, 1, 1, 5, 2, 0), ("1", 0, 1, 2, 9, 1, 0)], "chrom string, bin_id bigint, sample_no int, slot int, pos int, meth bigint, unmeth bigint")
+    hit = counts.with_cpg_hits(dense, by_cpg, 2)
+    assert rows(hit, "sample_no", "cpgs_hit") == [(1, 1), (2, 0)]
+    masked = counts.with_mask(hit, counts.Limits(least_hits=1, least_cpg_hits=1))
+    assert rows(masked, "sample_no", "failed") == [(1, 0), (2, 7)]
