@@ -145,8 +145,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     """(doc_id, text, runs): runs of places (first, last) where passages of window words start that an earlier document has."""
     base = repeats.keyed(docs, text, doc_id)
     found = cut(repeats.contexts(base, repeats.Words(window, anchor), within=False), "passages")
-    shards = found.where("data is not null").repartition(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
-    runs = cut(repeats.resolved(shards, partial(resolve, window=window), partial(_windows, window), group), "fm-runs")
+    hot = repeats.hot_leads(found, group)
+    plain = found.where("data is not null").join(hot, "lead", "left_anti")
+    shards = plain.repartition(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
+    runs = repeats.resolved(shards, partial(resolve, window=window)).union(repeats.singled(found, hot, partial(_windows, window)))
+    runs = cut(runs, "fm-runs")
     return repeats.with_runs(base, repeats.judged(found, runs, within=False))
 
 

@@ -13,8 +13,9 @@ windows pick equal anchors at the same offset, so a window can recur only if its
 5. a document's repeated windows come back to its text.
 
 All steps but the resolver stream; rows move three times: places twice, texts once in step 3 and once in step 5.
-Groups of one anchor that are too large for a task leave it as single windows, which are compared by a plain
-aggregation: that is exact, too, and has no groups but equal windows.
+Anchors with more contexts than a task should compare are counted first; their contexts don't meet but are taken
+apart into windows where they lie, which are compared by a plain aggregation with partial sums: that is exact, too, and has
+no groups but equal windows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ _LOW = np.uint64((1 << 20) - 1)
 #: Windows that are looked at together; symbols of documents that are joined for it; contexts that leave at once.
 STEP, JOINED, BATCH = 1 << 19, 1 << 20, 20_000
 #: Contexts that a resolver gets at once, and the most of one anchor that it gets at all.
-CHUNK, GROUP = 30_000, 200_000
+CHUNK, GROUP = 30_000, 50_000
+#: Slices over which the places of one window of a hot anchor are dealt.
+SLICES = 64
 #: Contexts that a task remembers; a full memory is emptied, which only lets more rows through.
 SEEN = 400_000
 #: Marks a place whose anchor is known to recur.
@@ -301,63 +304,66 @@ def runs_of(repeat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 OUT = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
 
 
-def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]], windows: Callable[[bytes, int], list[bytes]], group: int = GROUP) -> DataFrame:
-    """(key, first, last, window): runs of repeated windows; or, of groups over the limit, each window with its symbols, to be judged."""
+def hot_leads(found: DataFrame, group: int = GROUP) -> DataFrame:
+    """(lead) of the anchors with more contexts than one task should compare, as a written table."""
+    return cut(found.where("data is not null").groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > group).select("lead"), "hot-anchors")
+
+
+def singled(found: DataFrame, hot: DataFrame, windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
+    """(key, first, last, window): each window of the hot anchors' contexts with its symbols, made where the contexts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                rows = [(r["key"], r["first"] + j, r["first"] + j, w) for r in batch.slice(i, 2000).to_pylist() for j, w in enumerate(windows(r["data"], r["more"] + 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+
+    contexts_ = found.where("data is not null").join(hot, "lead", "left_semi").select("key", "first", "more", "data")
+    return arrow(contexts_, run, "key bigint, first bigint, last bigint, window binary")
+
+
+def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(key, first, last, window): runs of repeated windows of contexts that lie together and in order by lead; window is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole groups, and the rows of the last one so far
-        size = open_ = 0  # rows held, and those of them in the last group
+        size = 0
         last: bytes | int | None = None
-        large = False
 
-        def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                key, first, end = resolver(Chunk(pa.Table.from_batches(parts)))
+        def solve() -> Iterator[pa.RecordBatch]:
+            if held:
+                key, first, end = resolver(Chunk(pa.Table.from_batches(held)))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first), pa.array(end), pa.nulls(len(key), pa.binary())], schema=OUT)
 
-        def single(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for i in range(0, part.num_rows, 2000):
-                rows = [(r["key"], r["first"] + j, r["first"] + j, w) for r in part.slice(i, 2000).to_pylist() for j, w in enumerate(windows(r["data"], r["more"] + 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             lead = batch.column("lead")
             cuts = (np.flatnonzero(pc.not_equal(lead.slice(1), lead.slice(0, len(lead) - 1))) + 1).tolist()
-            lead = [lead[i].as_py() for i in [0, *cuts]]
-            for first, a, b in zip(lead, [0, *cuts], [*cuts, batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if first != last:
-                    if size >= CHUNK:
-                        yield from solve(held)
-                        held, size = [], 0
-                    last, open_, large = first, 0, False
-                if large:
-                    yield from single(part)
-                    continue
-                held.append(part)
-                size += part.num_rows
-                open_ += part.num_rows
-                if open_ > group:
-                    whole, rest = pa.Table.from_batches(held), size - open_
-                    yield from solve(whole.slice(0, rest).to_batches())
-                    for x in whole.slice(rest).to_batches():
-                        yield from single(x)
-                    held, size, large = [], 0, True
-        yield from solve(held)
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                name = lead[a].as_py()
+                if name != last and size >= CHUNK:
+                    yield from solve()
+                    held, size = [], 0
+                last = name
+                held.append(batch.slice(a, b - a))
+                size += b - a
+        yield from solve()
 
     return arrow(found, run, "key bigint, first bigint, last bigint, window binary")
 
 
 def judged(found: DataFrame, runs: DataFrame, within: bool) -> DataFrame:
-    """(key, first, last) of repeated windows: those known from contexts, the resolver's, and those of large groups, judged by aggregation."""
+    """(key, first, last) of repeated windows: those known from contexts, the resolver's, and those of hot anchors, judged by aggregation."""
     plain = runs.where("window is null").select("key", "first", "last")
     plain = plain.union(found.where("data is null").select("key", "first", F.expr("first + more")))
     single = runs.where("window is not null").select("key", "first", "window")
-    least = single.groupBy("window").agg(F.min(F.struct("key", "first")).alias("least"))
+    least = single.groupBy("window").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    # A window that very many places have is dealt out over slices, each with the least place.
+    least = least.select("window", "least", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    dealt = single.withColumn("slice", F.pmod(F.xxhash64("key", "first"), F.lit(SLICES)).cast("int"))
     repeat = F.struct("key", "first") > F.col("least") if within else F.col("key") > F.col("least.key")
-    return plain.union(single.join(least, "window").where(repeat).select("key", "first", F.col("first").alias("last")))
+    return plain.union(dealt.join(least, ["window", "slice"]).where(repeat).select("key", "first", F.col("first").alias("last")))
 
 
 def with_runs(base: DataFrame, runs: DataFrame) -> DataFrame:

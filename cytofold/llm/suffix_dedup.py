@@ -118,8 +118,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     base = repeats.keyed(docs, text, doc_id)
     of = repeats.Bytes(window, anchor)
     found = cut(repeats.contexts(base, of, within=True), "suffixes")
-    buckets = found.where("data is not null").repartitionByRange(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
-    runs = cut(repeats.resolved(buckets, partial(resolve, window=window, anchor=anchor), partial(_windows, window), group), "suffix-runs")
+    hot = repeats.hot_leads(found, group)
+    plain = found.where("data is not null").join(hot, "lead", "left_anti")
+    buckets = plain.repartitionByRange(shuffle_parts(docs.sparkSession), "lead").sortWithinPartitions("lead")
+    runs = repeats.resolved(buckets, partial(resolve, window=window, anchor=anchor)).union(repeats.singled(found, hot, partial(_windows, window)))
+    runs = cut(runs, "suffix-runs")
     return repeats.with_runs(base, repeats.judged(found, runs, within=True))
 
 
