@@ -58,7 +58,8 @@ def _drawn(rows: DataFrame, sources: DataFrame, last: bool, seed: int) -> DataFr
     fit = fit.alias("r").join(whole.alias("s"), same).select("r.*", "all_size", "all_rows")
     p = F.least(F.col("rest") / F.col("all_size"), F.lit(1 - 1e-9))
     ranked = fit.withColumn("odds", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    ranked = ranked.withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * F.ceil(F.col("all_rows") / SLICE)))
+    # Inclusion odds are one for a source, so ranks grow with u, whose slices are of one size.
+    ranked = ranked.withColumn("slice", F.floor(F.col("u") * F.ceil(F.col("all_rows") / SLICE)))
     sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     near = ranked.alias("r").join(sums.alias("s"), same & (F.col("r.slice") == F.col("s.slice"))).select("r.*", "before").where("before < rest")
