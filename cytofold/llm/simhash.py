@@ -15,6 +15,9 @@ pairs of its nodes are descended together, the bits in which they differ are add
 the sum exceeds r. Only a spanning forest of a bucket's links leaves the task, so copies and tight groups don't
 multiply; no link between components is lost.
 
+representatives() takes these links as a search for candidates only: texts that links join are compared by the exact
+Jaccard similarity of their sets of five-word shingles, and only pairs that reach the threshold are linked in the end.
+
 Null texts have no words: fingerprint 0. Rows with one doc_id are kept each. Empty tables give empty results.
 """
 
@@ -35,6 +38,8 @@ from .components import components
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Node pairs that one step of the descent holds (the rest wait); fingerprints that a bucket should have on average.
 AT_ONCE, BUCKET = 1 << 18, 128
+#: Different texts of a group of candidates that are compared in one place; larger groups are cut into tiles of this size, each compared with each.
+TILE = 1000
 
 
 def simhash(text: str | None, words: int = 4) -> int:
@@ -270,11 +275,91 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 6, tables: int = 2) -> DataFrame:
-    """docs without the rows that are near-duplicates, by their words and pairs, of a row with a smaller doc_id.
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles, as simhash() takes them, as sorted XXH64 (seed 42); a text of up to words words is one shingle."""
+    parts = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    of, grams = xxhash.xxh64_intdigest, (b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1)))
+    return np.unique(np.fromiter((of(g, 42) for g in grams), np.uint64))
+
+
+def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each set the smallest number of its component; sets are linked if their Jaccard similarity reaches the threshold."""
+    n = len(sets)
+    root, sizes = np.arange(n), np.fromiter(map(len, sets), np.int64, n)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    # Where each shingle is: the owners of shingle x are owners[first[x] : first[x] + held[x]].
+    owners, held = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")], np.bincount(ids)
+    first, at = np.cumsum(held) - held, np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(n):
+        if (root[i:] == root[i]).all():
+            continue
+        mine = ids[at[i] : at[i + 1]]
+        count = held[mine]
+        places = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owners[places], minlength=n)
+        near = root[both >= threshold * np.maximum(sizes + sizes[i] - both, 1) - 1e-9]
+        if len(near):
+            root[np.isin(root, near)] = near.min()
+    return root
+
+
+def alike_links(units: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): digests of units (group, digest, shingles), links that join all of a group that reach the threshold."""
+    tiles = units.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mine = units.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
+    both = mine.select("group", "digest", "shingles", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).where("tiles = 1 or tile <> other")
+    both = both.select("group", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "digest", "shingles")
+    both = both.repartition(shuffle_parts(units.sparkSession), "group", "p", "q").sortWithinPartitions("group", "p", "q", "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digests, sets = None, [], []
+
+        def solve() -> pa.RecordBatch:
+            root = alike(sets, threshold)
+            i = np.flatnonzero(root != np.arange(len(sets)))
+            return pa.RecordBatch.from_arrays([pa.array([digests[j] for j in root[i]], pa.binary()), pa.array([digests[j] for j in i], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for *key, digest, held in zip(*(batch.column(c).to_pylist() for c in ("group", "p", "q", "digest", "shingles")), strict=True):
+                if key != last and sets:
+                    yield solve()
+                    digests, sets = [], []
+                last = key
+                digests.append(digest)
+                sets.append(np.frombuffer(held, np.uint64))
+        if sets:
+            yield solve()
+
+    return arrow(both, run, "a binary, b binary").distinct()
+
 
-    Of rows that repeat a doc_id all are kept or none; rows whose doc_id is null are kept.
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 6, tables: int = 2, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without the rows that are near-duplicates of a row with a smaller doc_id.
+
+    Near-duplicates are joined by links of texts whose shingles of some words have a Jaccard similarity of at least
+    threshold; such pairs are looked for among texts that near_duplicates() joins by their words and pairs. Of rows that
+    repeat a doc_id all are kept or none; rows whose doc_id is null are kept.
     """
     known = docs.where(F.col(doc_id).isNotNull())
-    stay = near_duplicates(known, text, doc_id, radius=radius, tables=tables).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    found = cut(near_duplicates(known, text, doc_id, radius=radius, tables=tables).select("doc_id", F.col("component_id").alias("group")), "near-groups")
+    sizes = found.groupBy("group").agg(F.count("*").alias("n"))
+    alone = found.join(sizes.where("n = 1"), "group", "left_semi").select("doc_id")
+    members = found.join(sizes.where("n > 1"), "group", "left_semi").select(F.col("doc_id").alias("_id"), "group").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t.as_py(), words).tobytes() for t in batch.column("text")]
+            digests = [xxhash.xxh3_128_digest(x) for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(made, pa.binary())], names=["group", "doc_id", "digest", "shingles"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    texts = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, F.col("doc_id") == F.col("_id")).select("group", "doc_id", "text")
+    texts = cut(arrow(texts, run, f"group {kind}, doc_id {kind}, digest binary, shingles binary"), "near-shingles")
+    links = alike_links(texts.groupBy("group", "digest").agg(F.any_value("shingles").alias("shingles")), threshold)
+    roots = components(links)
+    named = texts.groupBy("digest").agg(F.min("doc_id").alias("least")).join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("digest", "first")
+    stay = alone.union(texts.select("doc_id", "digest").join(named, "digest").where("doc_id = first").select("doc_id")).select(F.col("doc_id").alias("_stay")).distinct()
     return known.join(stay, known[doc_id] == stay["_stay"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -133,3 +133,45 @@ def test_links_of_two_tables(spark):
     assert got == brute_components(links)
     first = {a: b for a, b in brute_components([(a, b) for a in prints for b in prints if (prints[a][0] ^ prints[b][0]).bit_count() <= 6]).items()}
     assert first != got  # the second table does find more
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [1000, 7])
+def test_only_texts_that_reach_the_threshold_go(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    docs = {}
+    for i in range(6):
+        w = rng.sample(words, 80)
+        docs[100 * i] = " ".join(w)
+        for k in range(1, 9):  # copies with one to eight words changed in different places
+            v = list(w)
+            for j in range(k):
+                v[9 * j + 6] = f"{v[9 * j + 6]}x{k}"
+            docs[100 * i + k] = " ".join(v)
+        for k in range(6):  # the same words and mostly the same pairs, in another order
+            m = 8 + 9 * k
+            docs[100 * i + 20 + k] = " ".join(x for a in range(0, 80, 4) for x in (w[m:] + w[:m])[(a + 4) % 80 : (a + 4) % 80 + 4][:: 1 if a % 8 else -1])
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), radius=6, tables=2).collect()}
+    links = [(a, b) for a in docs for b in docs if near[a] == near[b] and jaccard(docs[a], docs[b]) >= 0.8]
+    want = {a for a, b in brute_components(links).items() if a == b}
+    got = [r.doc_id for r in simhash.representatives(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(set(near.values())) < len(want) < len(docs)  # some candidates are left alone, some go
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alike(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.choice(30, rng.integers(0, 25)).astype(np.uint64)) for _ in range(40)]
+    sets += [np.delete(s, 0) for s in sets if len(s) > 5]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i == j or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) > 0]
+    assert simhash.alike(sets, 0.8).tolist() == [brute_components(links)[i] for i in range(len(sets))]
