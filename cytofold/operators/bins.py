@@ -64,13 +64,20 @@ def with_cpgs(bins: DataFrame, cpgs: DataFrame, compat: bool = False) -> DataFra
 
 
 def region_sequences(regions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """regions (chrom, start, end, …) with the bases under them; none may be longer than the chunks' overlap."""
+    """regions (chrom, start, end, …) with the bases under them, put together from all chunks that a region touches."""
     first = chunks.select("size").first()
-    size = first["size"] if first else 1
-    keyed = regions.withColumn("_chunk", (F.floor((F.col("start") - 1) / size) * size + 1).cast("int"))
+    size = first["size"] if first else 1 << 30
+    place = regions.where("start >= 1").select("chrom", "start", "end").distinct()
+    low, high = (F.floor((F.col(c) - 1) / size) for c in ("start", "end"))
+    keyed = place.select("chrom", "start", "end", F.explode(F.sequence(low, F.greatest(low, high))).alias("_n")).withColumn("_chunk", (F.col("_n") * size + 1).cast("int"))
     c = chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), F.col("seq").alias("_seq"))
     both = keyed.join(c, (keyed.chrom == F.col("_c")) & (F.col("_chunk") == F.col("_s")))
-    return both.withColumn("seq", F.substring("_seq", F.col("start") - F.col("_s") + 1, F.col("end") - F.col("start") + 1)).drop("_c", "_s", "_seq", "_chunk")
+    # Of each chunk the bases that no later chunk begins with; regions are joined back by their place.
+    start, end = F.greatest("start", "_s"), F.least(F.col("end"), F.col("_s") + size - 1)
+    pieces = both.select("chrom", "start", "end", F.struct("_s", F.substring("_seq", start - F.col("_s") + 1, end - start + 1).alias("_part")).alias("_piece"))
+    whole = pieces.groupBy("chrom", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda x: x["_part"]), "").alias("seq"))
+    kept = [c for c in regions.columns if c != "seq"]
+    return regions.select(*kept).join(whole, ["chrom", "start", "end"]).select(*kept, "seq")
 
 
 def composition(regions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import bisulphite_mismatches, reverse_complement, upper
+from .bins import region_sequences
 from .intervals import point_in_interval
 
 #: The flag bit of reads on the reverse strand (fixed value).
@@ -18,13 +19,12 @@ def read_calls(reads: DataFrame, chunks: DataFrame, every_c: bool = False, exact
     reference G behind a C the read's G is methylated, its A unmethylated; the call stands at the C. CIGARs are not
     looked at. first_3p marks the call nearest to a reverse read's 3' end. exact_flag: the flag must be 16, not hold it.
     """
-    size = chunks.select("size").first()
-    width = size["size"] if size else 1
     reverse = F.col("flag") == REVERSE if exact_flag else F.col("flag").bitwiseAND(REVERSE) != 0
-    keyed = reads.withColumn("_start", (F.floor((F.col("pos") - 1) / width) * width + 1).cast("int"))
-    both = keyed.join(chunks.select(F.col("chrom").alias("_c"), F.col("chunk_start").alias("_s"), upper("seq").alias("_ref")), (keyed.chrom == F.col("_c")) & (F.col("_start") == F.col("_s")))
-    letters = F.split(upper("seq"), "")
-    rows = both.withColumn("_reverse", reverse).select("read_id", "chrom", "pos", "_reverse", "_ref", (F.col("pos") - F.col("_s")).alias("_off"), F.posexplode(letters).alias("_i", "_base")).where("_base <> ''")
+    # A read's reference, with a base before and behind it: calls may need both.
+    start, end = F.greatest(F.col("pos") - 1, F.lit(1)), F.col("pos") + F.length("seq")
+    keyed = reads.where("pos >= 1").select("read_id", "chrom", "pos", reverse.alias("_reverse"), upper("seq").alias("_read"), start.alias("start"), end.alias("end"))
+    both = region_sequences(keyed, chunks).withColumn("_ref", upper("seq"))
+    rows = both.select("read_id", "chrom", "pos", "_reverse", "_ref", (F.col("pos") - F.col("start")).alias("_off"), F.posexplode(F.split("_read", "")).alias("_i", "_base")).where("_base <> ''")
     at = lambda d: F.substring("_ref", F.col("_off") + F.col("_i") + 1 + d, F.lit(1))
     before = F.when(F.col("_off") + F.col("_i") + 1 > 1, at(-1)).otherwise("")
     forward_hit = ~F.col("_reverse") & (at(0) == "C") & (F.lit(every_c) | (at(1) == "G")) & F.col("_base").isin("C", "T")

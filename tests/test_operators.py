@@ -215,3 +215,18 @@ def test_long_lists_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(small(spark.range(5), 10)).lower()
     assert "broadcast" not in plan(small(spark.range(50), 10)).lower()
+
+
+@pytest.mark.parametrize("size", [3, 7, 100])
+def test_regions_and_reads_over_many_chunks(spark, size):
+    small = bins.chunked(spark.createDataFrame([("T", T)], "chrom string, seq string"), size=size, overlap=2)
+    places = [(a, b) for a in (1, 4, 7, 8, 15) for b in (a, a + 5, len(T)) if b <= len(T)] * 2
+    r = spark.createDataFrame([("T", a, b, i) for i, (a, b) in enumerate(places)] + [("U", 1, 4, 99)], "chrom string, start int, end int, n int")
+    assert sorted((x.n, x.seq) for x in bins.region_sequences(r, small).collect()) == [(i, T[a - 1 : b].upper()) for i, (a, b) in enumerate(places)]
+    got = bins.composition(r.where("start = 1 and n < 3"), small).first()
+    want = "".join(T[a - 1 : b].upper() for a, b in places[:3])
+    assert (got.a, got.c, got.g, got.t) == tuple(want.count(x) for x in "ACGT")
+    # Every CpG is called, from reads of the whole genome on both strands.
+    reads = spark.createDataFrame([(1, "T", 1, 0, T), (2, "T", 1, 16, T)], "read_id bigint, chrom string, pos int, flag int, seq string")
+    cpgs = [i + 1 for i in range(len(T)) if T[i : i + 2].upper() == "CG"]
+    assert sorted((x.read_id, x.pos) for x in calling.read_calls(reads, small).collect()) == [(k, p) for k in (1, 2) for p in cpgs]
