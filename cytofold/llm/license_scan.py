@@ -7,6 +7,10 @@ ones first; two sets with so many words in common share one of the template's fi
 the block has at least c words of templates (length filter), and what is left behind the shared word on both sides
 reaches c (positional filter). What passes is counted exactly, so every matching pair of block and template is found.
 
+Templates of one family differ by a word or two, so a set match alone doesn't tell them apart. With telling, a match
+counts only if its block has one of the label's telling runs, whole and as consecutive words: TELLING has the runs by
+which the labels of TEMPLATES are told from their neighbours. A passage whose telling run is edited gets no label.
+
 Beside the templates, fixed phrases are looked up as consecutive words. Templates and phrases are parameters and
 small; the frequencies that come to the driver are those of the templates' words.
 
@@ -31,18 +35,35 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-4.0": ["licensed under a creative commons attribution 4.0 international license"],
+    "cc-by-4.0": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by-nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"],
     "cc-by-sa-4.0": ["licensed under cc by-sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"],
     "cc0": ["the person who associated a work with this deed has dedicated the work to the public domain"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"],
     "gpl-3.0": ["licensed under the gnu general public license version 3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc": ["and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation"],
     "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "mpl-2.0": ["licensed under the mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
+_GPL = ("gnu general public license version {}", "gnu general public license as published by the free software foundation either version {}", "gnu general public license as published by the free software foundation version {}")
+#: Of each label the runs of words one of which a block must have, beside a template's words (fixed values).
+TELLING = {
+    "apache-2.0": ["apache license version 2.0", "apache org licenses license 2.0"],
+    "bsd": ["redistribution and use in source and binary forms"],
+    "cc-by-4.0": ["cc by 4.0", "creative commons attribution 4.0"],
+    "cc-by-nc-4.0": ["cc by-nc 4.0", "creative commons attribution noncommercial 4.0", "creative commons attribution non commercial 4.0"],
+    "cc-by-sa-4.0": ["cc by-sa 4.0", "creative commons attribution sharealike 4.0", "creative commons attribution share alike 4.0"],
+    "cc0": ["dedicated the work to the public domain"],
+    "gpl-2.0": [x.format(2) for x in _GPL],
+    "gpl-3.0": [x.format(3) for x in _GPL],
+    "isc": ["provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": ["gnu lesser general public license"],
+    "mit": ["mit license", "to deal in the software without restriction"],
+    "mpl-2.0": ["mozilla public license version 2.0", "mozilla public license v 2.0"],
+    "unlicense": ["free and unencumbered software released into the public domain"],
+}
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -74,7 +95,8 @@ def frequencies(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, te
 
 
 class Scanner:
-    def __init__(self, count: dict[bytes, int], templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD):
+    def __init__(self, count: dict[bytes, int], templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, telling: dict[str, list[str]] | None = None):
+        self.telling = None if telling is None else {label: [b" %b " % b" ".join(words(r)) for r in runs] for label, runs in telling.items()}
         self.order = {w: i for i, w in enumerate(sorted(count, key=lambda w: (count[w], w)))}
         self.templates = [(label, sorted(s, key=self.order.__getitem__), s, math.ceil(threshold * len(s) - 1e-9)) for label, s in template_sets(templates)]
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
@@ -117,10 +139,17 @@ class Scanner:
                         found.append((start, label, both / len(whole)))
         return found
 
+    def told(self, parts: list[bytes], start: int, label: str) -> bool:
+        """Whether the block has a telling run of the label; labels without runs need none."""
+        if self.telling is None or label not in self.telling:
+            return True
+        block = b" %b " % b" ".join(parts[start : start + 2 * STEP])
+        return any(run in block for run in self.telling[label])
+
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         parts = words(text)
         places, base = self.base(parts)
-        matches = self.matches(parts)
+        matches = [m for m in self.matches(parts) if self.told(parts, m[0], m[1])]
         score = max([1.0 if places else 0.0, *(m[2] for m in matches)])
         return len(parts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {m[1] for m in matches})), score
 
@@ -129,9 +158,9 @@ class Scanner:
 COLUMNS = {"n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"}
 
 
-def scan_documents(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_documents(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, telling: dict[str, list[str]] | None = None) -> DataFrame:
     """docs without text, plus COLUMNS; columns of these names are replaced."""
-    scanner = Scanner(frequencies(docs, templates, text), templates, phrases, threshold)
+    scanner = Scanner(frequencies(docs, templates, text), templates, phrases, threshold, telling)
     kept = [c for c in docs.columns if c != text and c not in COLUMNS]
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept) + ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items())
     kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}

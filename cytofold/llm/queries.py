@@ -37,7 +37,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return license_scan.scan_documents(documents(spark, sf_dir).select("doc_id", "text"), telling=license_scan.TELLING)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

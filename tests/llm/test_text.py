@@ -213,3 +213,33 @@ def test_scans(spark):
         assert r.base_labels == ",".join(sorted(base))
         assert r.labels == ",".join(sorted(base | {m[1] for m in matches}))
         assert set(scanner.matches(license_scan.words(t))) == matches
+
+
+GRANT = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or later"
+NEAR_MISSES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+    ("You can redistribute " + GRANT.format("", 2), "gpl,gpl-2.0"),
+    ("You can redistribute " + GRANT.format("", 3), "gpl,gpl-3.0"),
+    ("You can redistribute " + GRANT.format("Lesser ", 3), "lgpl"),
+    ("You can redistribute " + GRANT.format("Affero ", 3), ""),
+    ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("Licensed under the Mozilla Public License, version 2.0", "mpl-2.0"),
+    ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+    ("Released under the BSD license", ""),
+    ("Released under the MIT license", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided as is", ""),
+    ("under the Educational License; you may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+]
+
+
+def test_labels_of_near_misses():
+    count = {w: 0 for _, s in license_scan.template_sets() for w in s}
+    scanner = license_scan.Scanner(count, telling=license_scan.TELLING)
+    for lead in (0, 20, 50):
+        got = [scanner.scan("filler " * lead + text + " tail" * 40)[5] for text, _ in NEAR_MISSES]
+        assert got == [labels for _, labels in NEAR_MISSES]
