@@ -1,7 +1,8 @@
 """Exact dedup by a log-structured merge index, with DataFrame functions only.
 
 A memtable is what one input task reads; it is flushed as a run, a Parquet file of (digest, id) sorted by digest that
-carries a Bloom filter and the least and largest digest of each page, so a lookup skips runs and pages without a hit.
+carries a Bloom filter and the least and largest digest of each page. Filters and levels are written for later lookups
+only: groups() flushes once, compacts once and joins all rows to the result, and lookup() is a semi-join that probes none.
 Compaction merges all runs of the levels below into one, range-partitioned by digest, and keeps of each digest the
 identifier that stays and how many there were; partial sums are made before rows move. Runs are immutable and lie
 in the shared folder, so a lost executor repeats its own tasks only.
