@@ -5,17 +5,23 @@ target stops at cap times its source's words and the excess is shared by weight
 min(weight x level, cap x words) for one level, which is the largest of the levels that each number of stopped sources
 would give.
 
-Copies: with r = target / words of the source, each document is taken floor(r) times for certain. For what is left of
-the target a sample is drawn: documents are ranked by their random odds u / (1 - u) divided by their inclusion odds
-p / (1 - p), where p is the share of the words left in those of the documents that fit into it; the first ones, as far
-as they fit, are taken once more. A document that doesn't fit ends its pass; the next pass draws with what is
-left from the documents that still fit, and the last one takes its first document if that comes nearer. u comes from the
-id, so reruns agree.
-
-Running sums over a source are made in slices of its ranks, so a source with a third of all rows is no single task's.
+Copies: with r = target / words of the source, each document is taken floor(r) times for certain. What is left of the
+target, rest, is drawn as a sample of fixed size (rest words) with unequal probabilities: a document of s words is
+taken once more with probability p = min(1, rate x s), where the rate is such that the p x s of a source add up to
+rest. Documents are ranked by random odds u / (1 - u) divided by inclusion odds p / (1 - p), those with p = 1 first, and
+the sample is the ranking's beginning, as long as it fits into rest, closed by the one document behind it whose size comes
+nearest to the words that are still missing. So long documents, whose loss would cost most words, are drawn more often
+than short ones. A document of more than rest words has p = 0.
+u comes from the id and the text, so reruns agree.
+
+The ranking isn't sorted: a rank is a number of BITS bits, and where a source's ranking is cut is found digit by digit,
+from sums over the values of each digit. Each step looks at the rows of the cut's own digit only, and its sums are made
+before rows move. What meets in a task is at most 2 ** DIGIT sums of a source, whatever its number of rows. Tables that
+are joined to rows have one row a source.
 
 A null text has size 0; null sources are one source; documents of size 0 are never sampled, which costs nothing. Rows
-that repeat an id have the same u and are ranked side by side. An empty table gives an empty result.
+equal in id, text and source have one rank and are taken all or not at all. Other columns, whatever their names, play no
+part. Very long texts are counted as a whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,21 +30,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut, fresh
 
-WEIGHTS, CAP, PASSES, SLICE = (5, 2, 1), 3.0, 4, 2_000
+WEIGHTS, CAP = (5, 2, 1), 3.0
+#: Bits of a rank, and of a digit.
+BITS, DIGIT = 48, 6
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """In (0, 1), from the id: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from id and text: 52 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, source_rows, target) from (source, size)."""
+    """(source, source_size, source_rows, target, whole, rest) from (source, size): whole copies for certain, rest words to draw."""
     rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     # Below, one row for each source.
     turn = F.pmod(F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1, F.lit(len(weights)))
@@ -46,49 +54,96 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> Dat
     by_level = Window.orderBy(F.col("most") / F.col("weight"), F.asc_nulls_last("source"))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("level", (F.sum("source_size").over(every) - F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, 0)) + F.col("most")) / F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-    return rows.withColumn("target", F.least(F.col("weight") * F.max("level").over(every), F.col("most"))).select("source", "source_size", "source_rows", "target")
-
-
-def _drawn(rows: DataFrame, sources: DataFrame, last: bool, seed: int) -> DataFrame:
-    """One pass: rows (row, source, size, u) that are taken, given sources (source, rest)."""
-    same = F.col("r.source").eqNullSafe(F.col("s.source"))
-    fit = rows.alias("r").join(sources.alias("s"), same).select("r.*", "rest").where("size > 0 and rest > 0")
-    fit = fit if last else fit.where("size <= rest")
-    whole = fit.groupBy("source").agg(F.sum("size").alias("all_size"), F.count("*").alias("all_rows"))
-    fit = fit.alias("r").join(whole.alias("s"), same).select("r.*", "all_size", "all_rows")
-    p = F.least(F.col("rest") / F.col("all_size"), F.lit(1 - 1e-9))
-    ranked = fit.withColumn("odds", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    # Inclusion odds are one for a source, so ranks grow with u, whose slices are of one size.
-    ranked = ranked.withColumn("slice", F.floor(F.col("u") * F.ceil(F.col("all_rows") / SLICE)))
-    sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    near = ranked.alias("r").join(sums.alias("s"), same & (F.col("r.slice") == F.col("s.slice"))).select("r.*", "before").where("before < rest")
-    within = Window.partitionBy("source", "slice").orderBy("odds", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    summed = near.withColumn("upto", F.col("before") + F.sum("size").over(within))
-    return summed.where("upto - size / 2 < rest" if last else "upto <= rest").select("row", "source", "size")
+    rows = rows.withColumn("target", F.least(F.col("weight") * F.max("level").over(every), F.col("most")))
+    rows = rows.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size") + 1e-12), F.lit(0)))
+    return rows.select("source", "source_size", "source_rows", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def rates(sizes: DataFrame, told: DataFrame) -> DataFrame:
+    """told plus rate: the least that makes min(1, rate x size) x size of the documents that fit add up to rest.
+
+    Sizes of 16 words and more are taken together with those that share their four highest bits, by their mean. Of the
+    rates that each number of classes with p = 1, the largest sizes first, would give the largest is right.
+    """
+    fit = sizes.alias("r").join(told.alias("s"), _same("r", "s")).where("size > 0 and size <= rest").select("r.source", "size")
+    low = F.greatest(F.length(F.bin("size")) - 4, F.lit(0))
+    classes = fit.groupBy("source", low.alias("low"), F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").alias("high")).agg(F.sum("size").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"))
+    down = Window.partitionBy("source").orderBy(F.desc("low"), F.desc("high"))
+    sums = classes.withColumn("above", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("below", F.sum("squares").over(down.rowsBetween(0, Window.unboundedFollowing)))
+    found = sums.alias("r").join(told.alias("s"), _same("r", "s")).groupBy("r.source").agg(F.max((F.col("rest") - F.col("above")) / F.col("below")).alias("rate"))
+    return told.alias("s").join(found.alias("r"), _same("s", "r"), "left").select("s.*", "rate")
+
+
+def inclusion(size: Column, rate: Column, rest: Column) -> Column:
+    """The probability that a document is taken once more than its source's whole copies; null if none is drawn."""
+    return F.when((size > 0) & (size <= rest), F.least(rate * size, F.lit(1 - 1e-9)))
+
+
+def rank(u: Column, p: Column) -> Column:
+    """Random odds divided by inclusion odds, q, as the number floor(q / (1 + q) x 2 ** BITS)."""
+    a, b = u * (1 - p), p * (1 - u)
+    return F.floor(a / (a + b) * float(1 << BITS))
+
+
+def limits(sizes: DataFrame, told: DataFrame) -> DataFrame:
+    """told plus limit and last: documents whose rank is below limit, or is last, are in the sample."""
+    drawn = sizes.alias("r").join(told.alias("s"), _same("r", "s")).where("rate is not null").select("r.source", "size", rank(F.col("u"), inclusion(F.col("size"), F.col("rate"), F.col("rest"))).alias("rank"))
+    left = drawn.where("rank is not null")
+    at, shift = told.select("source", "rest", F.lit(0).cast("bigint").alias("before")), BITS
+    while shift:
+        shift -= DIGIT
+        digits = left.groupBy("source", F.shiftright("rank", shift).alias("digit")).agg(F.sum("size").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"))
+        upto = F.col("before") + F.sum("r.n").over(Window.partitionBy("r.source").orderBy("r.digit").rowsBetween(Window.unboundedPreceding, 0))
+        sums = digits.alias("r").join(at.select("source", "rest", "before").alias("s"), _same("r", "s")).withColumn("upto", upto)
+        at = cut(sums.where("upto >= rest and upto - n < rest").select("r.source", "rest", (F.col("upto") - F.col("n")).alias("before"), "n", "digit", "low", "high"), "mix-cuts")
+        if at.where("low < high").isEmpty():
+            break
+        left = cut(left.alias("r").join(at.alias("s"), _same("r", "s") & (F.shiftright("r.rank", shift) == F.col("s.digit"))).select("r.*"), "mix-left")
+    # The sample's beginning: what lies below the cut's own rank. gap: the words that are still missing then.
+    begun = at.select("source", F.col("low").alias("limit"), (F.col("rest") - F.col("before")).alias("gap"))
+    told = told.alias("s").join(begun.alias("r"), _same("s", "r"), "left").select("s.*", F.coalesce("limit", F.lit(1 << BITS)).alias("limit"), "gap")
+    beyond = drawn.where("rank is not null").alias("r").join(begun.alias("s"), _same("r", "s")).where("rank >= limit").select("r.*", "gap").withColumn("off", F.abs(F.col("size") - F.col("gap")))
+    least = beyond.groupBy("source").agg(F.min("off").alias("off"))
+    near = beyond.alias("r").join(least.alias("s"), _same("r", "s") & (F.col("r.off") == F.col("s.off"))).groupBy("r.source", "rank", "gap").agg(F.abs(F.sum("size") - F.col("gap")).alias("off")).where("off < gap")
+    last = near.groupBy("source").agg(F.min(F.struct("off", "rank")).getField("rank").alias("last"))
+    return told.alias("s").join(last.alias("r"), _same("s", "r"), "left").select("s.*", F.coalesce("last", F.lit(-1)).alias("last"))
+
+
+def copies(size: Column, u: Column, of: str = "") -> Column:
+    """How often a document is taken, by its source's row of limits(); of: the name of a struct of its columns, with a dot."""
+    place = rank(u, inclusion(size, F.col(f"{of}rate"), F.col(f"{of}rest")))
+    more = (place < F.col(f"{of}limit")) | (place == F.col(f"{of}last"))
+    return (F.col(f"{of}whole") + F.coalesce(more, F.lit(False)).cast("bigint")).cast("bigint")
+
+
+def _plan(docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), uniform(F.col(doc_id), F.col(text), seed).alias("u"))
+    rows = cut(rows, "mix-sizes")
+    told = cut(targets(rows, weights, cap), "mix-targets")
+    told = cut(rates(rows, told), "mix-rates")
+    return rows, cut(limits(rows, told), "mix-limits")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
-    """(doc_id, source, text_hash, size, source_size, target, copies, taken) for each row of docs."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    rows = cut(rows.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    told = cut(targets(rows, weights, cap).withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size") + 1e-12), F.lit(0))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    taken, sources, free = None, told.select("source", "rest"), rows.select("row", "doc_id", "source", "size", "u")
-    for k in range(PASSES):
-        drawn = cut(_drawn(free, sources, k == PASSES - 1, seed), "mix-drawn")
-        taken = drawn if taken is None else taken.union(drawn)
-        spent = taken.groupBy("source").agg(F.sum("size").alias("spent"))
-        sources = told.alias("r").join(spent.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left").select("r.source", (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("rest"))
-        free = rows.select("row", "doc_id", "source", "size", "u").join(taken.select("row"), "row", "left_anti")
-    full = rows.join(taken.select("row", F.lit(1).alias("more")), "row", "left").alias("r").join(told.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    copies = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("bigint")
-    return full.select("doc_id", F.col("r.source").alias("source"), "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows that agree in id, source and text are taken alike."""
-    plan = mix(docs, text, source, doc_id, **how).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").cast("int").alias("copies"))
-    hash_, copy = fresh(docs, "_hash"), fresh(docs, "_copy")
-    d, p = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("d"), plan.alias("p")
-    both = d.join(p, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("p.doc_id")) & F.col(f"d.`{source}`").eqNullSafe(F.col("p.source")) & (F.col(f"d.`{hash_}`") == F.col("p.text_hash")))
-    return both.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)
+    """(doc_id, source, size, source_size, target, p, copies, taken) for each row of docs; p: of one copy more than the whole ones."""
+    rows, told = _plan(docs, text, source, doc_id, weights, cap, seed)
+    both = rows.alias("r").join(told.alias("s"), _same("r", "s"))
+    p = F.coalesce(inclusion(F.col("size"), F.col("rate"), F.col("rest")), F.lit(0.0))
+    both = both.select("doc_id", "r.source", "size", "source_size", "target", p.alias("p"), copies(F.col("size"), F.col("u")).alias("copies"))
+    return both.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it."""
+    _, told = _plan(docs, text, source, doc_id, weights, cap, seed)
+    n, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
+    # One struct and one name of our own: whatever docs' columns are called, none is hidden.
+    told = told.select(F.col("source").alias(copy), F.struct("whole", "rate", "rest", "limit", "last").alias(n))
+    both = docs.join(told, docs[source].eqNullSafe(told[copy]))
+    size, u = words(docs[text]), uniform(docs[doc_id], docs[text], seed)
+    rows = both.select(*(docs[c] for c in docs.columns), copies(size, u, f"{n}.").cast("int").alias(n)).where(F.col(n) > 0)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy)).drop(copy)

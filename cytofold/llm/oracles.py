@@ -7,37 +7,33 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
-def _op8(table: str = "documents", seed: int = 42, passes: int = 4) -> str:
-    parts = [rf"""
-    rows_ AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
-        row_number() OVER (ORDER BY doc_id, text) AS row_
-        FROM {table}),
-    sums AS (SELECT source, sum(size)::DOUBLE AS source_size, 3.0 * sum(size)::DOUBLE AS most FROM rows_ GROUP BY source),
-    turns AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sums),
-    levels AS (SELECT *, (sum(source_size) OVER () - sum(most) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + most)
-        / sum(weight) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM turns),
-    goals AS (SELECT source, source_size, least(weight * max(level) OVER (), most) AS target FROM levels),
-    told AS (SELECT *, coalesce(floor(CASE WHEN source_size > 0 THEN target / source_size END + 1e-12), 0) AS whole FROM goals),
-    left0 AS (SELECT source, target - whole * source_size AS rest FROM told),
-    taken0 AS (SELECT row_, source, size FROM rows_ WHERE false)"""]
-    for k in range(passes):
-        last = k == passes - 1
-        parts.append(f"""
-    fit{k} AS (SELECT r.*, rest, sum(size) OVER (PARTITION BY r.source)::DOUBLE AS all_size
-        FROM rows_ r JOIN left{k} s ON r.source IS NOT DISTINCT FROM s.source
-        WHERE size > 0 AND rest > 0 {'' if last else 'AND size <= rest'} AND row_ NOT IN (SELECT row_ FROM taken{k})),
-    odds{k} AS (SELECT *, (u / (1 - u)) / (least(rest / all_size, 1 - 1e-9) / (1 - least(rest / all_size, 1 - 1e-9))) AS odds FROM fit{k}),
-    upto{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size, row_ ROWS UNBOUNDED PRECEDING) AS upto FROM odds{k}),
-    taken{k + 1} AS (SELECT * FROM taken{k} UNION ALL SELECT row_, source, size FROM upto{k} WHERE {'upto - size / 2 < rest' if last else 'upto <= rest'}),
-    left{k + 1} AS (SELECT t.source, t.target - t.whole * t.source_size - coalesce((SELECT sum(size) FROM taken{k + 1} x WHERE x.source IS NOT DISTINCT FROM t.source), 0) AS rest FROM told t)""")
-    return "WITH " + ",".join(parts) + f"""
-    SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 4) AS target,
-        (size * (whole + CASE WHEN row_ IN (SELECT row_ FROM taken{passes}) THEN 1 ELSE 0 END))::BIGINT AS taken
-    FROM rows_ r JOIN told t ON r.source IS NOT DISTINCT FROM t.source"""
-
-
-OP8 = _op8()
+OP8 = r"""
+WITH rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    FROM documents),
+sums AS (SELECT source, sum(size)::DOUBLE AS source_size, 3.0 * sum(size)::DOUBLE AS most FROM rows_ GROUP BY source),
+turns AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sums),
+levels AS (SELECT *, (sum(source_size) OVER () - sum(most) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + most)
+    / sum(weight) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM turns),
+goals AS (SELECT source, source_size, least(weight * max(level) OVER (), most) AS target FROM levels),
+told AS (SELECT *, coalesce(floor(CASE WHEN source_size > 0 THEN target / source_size END + 1e-12), 0) AS whole, target - whole * source_size AS rest FROM goals),
+fit AS (SELECT r.*, rest, greatest(length(bin(size)) - 4, 0) AS low FROM rows_ r JOIN told t ON r.source IS NOT DISTINCT FROM t.source WHERE size > 0 AND size <= rest),
+classes AS (SELECT source, rest, low, size >> low AS high, sum(size)::DOUBLE AS n, sum(size::DOUBLE * size) AS squares FROM fit GROUP BY ALL),
+rates AS (SELECT source, max(rate) AS rate FROM (SELECT source,
+    (rest - (sum(n) OVER (PARTITION BY source ORDER BY low DESC, high DESC ROWS UNBOUNDED PRECEDING) - n))
+    / sum(squares) OVER (PARTITION BY source ORDER BY low DESC, high DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM classes) GROUP BY source),
+chances AS (SELECT f.*, least(rate * size, 1 - 1e-9) AS p FROM fit f JOIN rates s ON f.source IS NOT DISTINCT FROM s.source),
+ranks AS (SELECT *, floor(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * 281474976710656.0)::BIGINT AS place FROM chances),
+sums_ AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place) AS upto FROM ranks),
+begun AS (SELECT source, max(rest) - coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS gap FROM sums_ GROUP BY source),
+beyond AS (SELECT s.*, gap, rank() OVER (PARTITION BY s.source ORDER BY abs(size - gap)) AS nth FROM sums_ s JOIN begun b ON s.source IS NOT DISTINCT FROM b.source WHERE upto > rest),
+near AS (SELECT source, place, any_value(gap) AS gap, abs(sum(size) - any_value(gap)) AS off_ FROM beyond WHERE nth = 1 GROUP BY source, place),
+last_ AS (SELECT source, place, row_number() OVER (PARTITION BY source ORDER BY off_, place) AS nth FROM near WHERE off_ < gap),
+more AS (SELECT doc_id, s.source, u, size FROM sums_ s LEFT JOIN last_ l ON s.source IS NOT DISTINCT FROM l.source AND s.place = l.place AND nth = 1 WHERE upto <= rest OR l.place IS NOT NULL GROUP BY ALL)
+SELECT r.doc_id, r.size, t.source_size::BIGINT AS source_size, round(t.target, 4) AS target, (r.size * (t.whole + CASE WHEN m.u IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM rows_ r JOIN told t ON r.source IS NOT DISTINCT FROM t.source
+LEFT JOIN more m ON r.u = m.u AND r.size = m.size AND r.doc_id IS NOT DISTINCT FROM m.doc_id AND r.source IS NOT DISTINCT FROM m.source
+"""
 
 OP7 = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

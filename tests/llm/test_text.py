@@ -100,9 +100,38 @@ def test_mix(spark, seed):
     assert out == {d: c for d, c in taken.items() if c}
 
 
+def test_inclusion_grows_with_size(spark):
+    """Of documents of unlike size as many are taken as their inclusion probabilities say, and words meet the target."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([4, 8, 16, 64, 250]), "a") for i in range(6000)] + [(10_000 + i, "w " * 30, s) for i, s in enumerate("bbbcccc" * 800)]
+    rows = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 2, 4)).collect() if r.source == "a"]
+    whole = int(rows[0].target // rows[0].source_size)
+    assert sum(r.taken for r in rows) == pytest.approx(rows[0].target, rel=1e-3)
+    assert sum(r.p * r["size"] + whole * r["size"] for r in rows) == pytest.approx(rows[0].target, rel=1e-3)
+    seen = []
+    for size in (4, 8, 16, 64, 250):
+        mine = [r for r in rows if r["size"] == size]
+        assert len({r.p for r in mine}) == 1
+        seen.append(mine[0].p)
+        assert sum(r.copies - whole for r in mine) / len(mine) == pytest.approx(mine[0].p, abs=0.04)
+    assert seen == sorted(seen) and seen[0] < 0.1 < seen[-1]
+
+
+def test_rows_that_repeat_are_taken_alike(spark):
+    rows = [(i // 3, f"w {'x ' * (i // 3 % 11)}", "ab"[i // 3 % 2]) for i in range(300)] + [(None, None, None)] * 20 + [(None, "z z", None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("size", F.lit("clash")).withColumn("whole", F.lit("clash")).withColumn("limit", F.lit("clash"))
+    plan: dict = {}
+    for r in mixing.mix(docs).collect():
+        plan.setdefault((r.doc_id, r.source, r["size"]), []).append(r.copies)
+    assert all(len(set(c)) == 1 for c in plan.values())
+    mixture = mixing.mixture(docs)
+    assert mixture.columns == docs.columns
+    assert mixture.count() == sum(map(sum, plan.values()))
+
+
 def test_mix_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None), (1, "a b", "s"), (1, "a b", "s"), (2, "", "t")], "doc_id bigint, text string, source string")
-    assert mixing.mix(docs).count() == 4
+    assert sorted((r.doc_id, r["size"], r.taken) for r in mixing.mix(docs).collect()) == [(1, 0, 0), (1, 2, 2), (1, 2, 2), (2, 0, 0)]
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("text is null or text = ''")).agg(F.sum("taken")).first()[0] == 0
 
