@@ -126,22 +126,54 @@ def test_exact_dedup(spark, digest):
         assert got == {d: (pick(g), len(g)) for g in groups.values() for d in g}
 
 
-def test_slices_of_a_large_group(spark):
+def test_slices_of_a_large_group(spark, monkeypatch):
+    """A third of all rows have one text: no slice holds many, whether slices are broadcast or not."""
+    monkeypatch.setattr(exact_dedup, "SLICE", 50)
     docs = spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as text")
-    got = exact_dedup.groups(docs, keep="largest").where("doc_id % 3 = 0").select("keep_id", "group_size").distinct().collect()
-    assert [tuple(r) for r in got] == [(1998, 667)]
+    hits = spark.createDataFrame([("hot", 1998, 667)], "digest string, keep_id bigint, n bigint")
+    for most in (10, 0):
+        monkeypatch.setattr(exact_dedup, "MOST_LARGE", most)
+        slices = exact_dedup.Slices(hits)
+        counts = [r["count"] for r in slices.of_rows(docs.selectExpr("doc_id as id", "text as digest")).where("digest = 'hot'").groupBy("slice").count().collect()]
+        assert sum(counts) == 667 and max(counts) <= 2 * 667 / len(counts) and slices.of_groups(hits).count() >= len(counts) > 10
+        got = exact_dedup.groups(docs, keep="largest").where("doc_id % 3 = 0").select("keep_id", "group_size").distinct().collect()
+        assert [tuple(r) for r in got] == [(1998, 667)]
 
 
 def test_digest_index_levels(spark, tmp_path):
+    """Runs of a full level are merged; the least id stays; lookups find digests of any level."""
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", fan=2)
+    rows = [[("b", 5), ("a", 7)], [("b", 2), ("c", 1)], [("c", 0), ("d", 4)]]
+    shapes = []
+    for r in rows:
+        index.flush(spark.createDataFrame(r, "digest string, id bigint"))
+        shapes.append([len(level) for level in index.levels])
+    assert shapes == [[1], [0, 1], [1, 1]]
+    assert sorted(tuple(r) for r in index.levels[1][0].digests.collect()) == [("a", 7, 1), ("b", 2, 2), ("c", 1, 1)]
+    assert sorted(tuple(r) for r in index.lookup(spark.createDataFrame([("a",), ("c",), ("z",)], "digest string")).collect()) == [("a", 7, 1), ("c", 0, 2)]
+    assert sorted(tuple(r) for r in index.repeated().collect()) == [("b", 2, 2), ("c", 0, 2)]
+    index.flush(spark.createDataFrame([("e", 9)], "digest string, id bigint"))
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_filters_skip_runs(spark, tmp_path, monkeypatch, broadcast):
+    """A filter knows all of its run's digests and few others."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST", broadcast)
+    digests = lambda a, b: spark.range(a, b).selectExpr("sha2(cast(id as string), 256) as digest", "id")
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
-    index.flush(spark.createDataFrame([("b", 5), ("a", 7)], "digest string, id bigint"))
-    index.flush(spark.createDataFrame([("b", 2), ("c", 1)], "digest string, id bigint"))
-    assert sorted(tuple(r) for r in index.compact().collect()) == [("a", 7, 1), ("b", 2, 2), ("c", 1, 1)]
-    index.flush(spark.createDataFrame([("c", 0)], "digest string, id bigint"))
-    assert sorted(tuple(r) for r in index.compact().collect()) == [("a", 7, 1), ("b", 2, 2), ("c", 0, 2)]
-    assert [tuple(r) for r in index.lookup(spark.createDataFrame([("a",), ("z",)], "digest string")).collect()] == [("a", 7, 1)]
+    index.flush(digests(0, 5000))
+    index.flush(digests(5000, 6000))
+    first, second = index.runs
+    assert first.buckets > 1
+    assert first.may_have(digests(0, 5000)).count() == 5000
+    assert first.may_have(digests(10_000, 20_000)).count() < 500
+    assert second.may_have(digests(5000, 6000)).count() == 1000
+    assert second.may_have(digests(0, 5000)).count() < 250
+    assert index.lookup(digests(4990, 5010)).count() == 20
+    assert index.repeated().count() == 0
 
 
 def test_keepers(spark):
-    docs = spark.createDataFrame([(1, "x", "k"), (2, "x", "k"), (3, None, "k"), (4, "", "k"), (None, "y", None)], "doc_id bigint, text string, digest string")
+    docs = spark.createDataFrame([(1, "x", "k"), (2, "x", "k"), (2, "x", "k"), (3, None, "k"), (4, "", "k"), (None, "y", None), (None, "y", None)], "doc_id bigint, text string, digest string")
     assert sorted((r.doc_id or 0, r.digest) for r in exact_dedup.keepers(docs, keep="largest").collect()) == [(0, None), (2, "k"), (4, "k")]
