@@ -41,17 +41,22 @@ pairs AS (SELECT *, coalesce(lead(text) OVER down, first_value(text) OVER down)
     WINDOW down AS (ORDER BY doc_id DESC NULLS LAST, text)),
 cut_ AS (SELECT *, length(text) AS n, length(text) // 3 AS part FROM pairs),
 texts AS (SELECT *, substr(text, 1, n - part) || substr(next_text, 1, part) AS edited FROM cut_),
-trees AS (SELECT doc_id, n, edited,
-    list_transform(string_split(text, chr(10)), lambda s: list_transform(regexp_extract_all(s, '[\s\v]+|(?:[^\s\v]{1,24}[\s\v]{0,8}){1,3}'), lambda p: md5(p))) AS own,
-    list_transform(string_split(edited, chr(10)), lambda s: list_transform(regexp_extract_all(s, '[\s\v]+|(?:[^\s\v]{1,24}[\s\v]{0,8}){1,3}'), lambda p: md5(p))) AS other,
-    list_transform(string_split(next_text, chr(10)), lambda s: list_transform(regexp_extract_all(s, '[\s\v]+|(?:[^\s\v]{1,24}[\s\v]{0,8}){1,3}'), lambda p: md5(p))) AS next FROM texts),
-sets AS (SELECT *, list_distinct(flatten(own)) AS a, list_distinct(flatten(other)) AS b, list_distinct(flatten(next)) AS c FROM trees)
-SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
-    sha256(array_to_string(list_transform(own, lambda s: md5(array_to_string(s, ''))), '')) AS fingerprint,
-    sha256(array_to_string(list_transform(other, lambda s: md5(array_to_string(s, ''))), '')) AS edited_fingerprint,
-    CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END AS near_edited,
-    CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) END AS near_next
-FROM sets
+kinds AS (SELECT doc_id, 'own' AS kind, text FROM texts UNION ALL SELECT doc_id, 'edited', edited FROM texts UNION ALL SELECT doc_id, 'next', next_text FROM texts),
+trees AS (SELECT doc_id, kind, list_transform(string_split(text, chr(10)), lambda s:
+    list_transform(regexp_extract_all(s, '(?:[^\s\v.!?]{1,24}[\s\v]{0,8}){1,16}[.!?]{0,8}[\s\v]{0,8}|[.!?]{1,8}[\s\v]{0,8}|[\s\v]+'), lambda p: md5(p))) AS tree FROM kinds),
+branches AS (SELECT doc_id, kind, list_transform(tree, lambda ps: md5(array_to_string(ps, ''))) AS digests,
+    list_transform(tree, lambda ps: substr(md5(array_to_string(ps, '')), 1, 16) || array_to_string(list_transform(ps, lambda p: substr(p, 1, 8)), '')) AS parts FROM trees),
+prints AS (SELECT doc_id, kind, sha256(array_to_string(digests, '')) || '/' || array_to_string(parts, '/') AS print, parts FROM branches),
+sides AS (SELECT o.doc_id, e.kind, o.print AS a_print, e.print AS b_print,
+    list_filter(list_distinct(o.parts), lambda s: NOT list_contains(e.parts, s)) AS a, list_filter(list_distinct(e.parts), lambda s: NOT list_contains(o.parts, s)) AS b,
+    coalesce(list_sum(list_transform(list_intersect(o.parts, e.parts), lambda s: (length(s) - 16) // 8)), 0) AS same
+    FROM prints o JOIN prints e ON o.doc_id = e.doc_id AND o.kind = 'own' AND e.kind <> 'own'),
+leaves AS (SELECT doc_id, kind, a_print, b_print, same, list_distinct(flatten(list_transform(a, lambda s: regexp_extract_all(substr(s, 17), '.{8}')))) AS a,
+    list_distinct(flatten(list_transform(b, lambda s: regexp_extract_all(substr(s, 17), '.{8}')))) AS b FROM sides),
+likeness AS (SELECT doc_id, kind, a_print, b_print, CASE WHEN substr(a_print, 1, 64) = substr(b_print, 1, 64) THEN 1.0::DOUBLE WHEN 2 * same + len(a) + len(b) = 0 THEN 0.0::DOUBLE
+    ELSE 2.0::DOUBLE * (same + len(list_intersect(a, b))) / (2 * same + len(a) + len(b)) END AS near FROM leaves)
+SELECT t.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, e.a_print AS fingerprint, e.b_print AS edited_fingerprint, e.near AS near_edited, x.near AS near_next
+FROM texts t JOIN likeness e ON t.doc_id = e.doc_id AND e.kind = 'edited' JOIN likeness x ON t.doc_id = x.doc_id AND x.kind = 'next'
 """
 
 #: Each 100-byte string with its least place, by hexadecimal digits.

@@ -50,7 +50,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edit_report(documents(spark, sf_dir))
+    return merkle.edit_report(documents(spark, sf_dir)).drop("edits")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
