@@ -4,13 +4,16 @@ Encoding is the backtracking form of byte-pair merging. A segmentation is the on
 when each token is what merging leaves of its own text and each two neighbours stay apart when their joined text is
 merged anew. So: take the longest vocabulary match (Aho-Corasick) at each place, test it against its left
 neighbour, fall back to shorter matches, and step back where none fits, keeping in a bitfield the places from which
-no ending exists. Each place fails once at most, so the work is linear in the text.
+no ending exists. Each place fails once at most, so the work is linear in the text, very long texts included.
+
+Decoding takes the ids, not the text: their pieces are joined, runs of byte pieces are read as UTF-8.
 
 Texts are cut before white space that follows something else, and around characters that no longer piece holds:
 no piece spans such a place (checked when the model is loaded), so no merge does. What is found for a unit is kept in
 a dictionary of bounded size.
 
-Null text is empty text and has no ids. Repeated rows are encoded each. No row is dropped.
+Null text is empty text and has no ids. Repeated rows are encoded each. No row is dropped; an empty table gives an
+empty result. Columns whose names are those of the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import ahocorasick
@@ -93,7 +97,9 @@ class PieceCodec:
             raise ValueError("user-defined pieces are not supported")
         if not trainer.get(35, 0):
             raise ValueError("only models with byte fallback are supported")
-        self.raw = {i for i, (_, _, kind) in enumerate(self.pieces) if kind not in (NORMAL, UNUSED)}
+        self.marks = {i for i, (_, _, kind) in enumerate(self.pieces) if kind in (UNKNOWN, CONTROL)}
+        self.said = [bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode() for piece, _, kind in self.pieces]
+        self.number = [str(i) for i in range(len(self.pieces))]
         self.prefix = bool(spec.get(3, 1))
         self.kept = kept
         usable = {s: i for i, (s, _, kind) in enumerate(self.pieces) if kind in (NORMAL, UNUSED)}
@@ -155,13 +161,13 @@ class PieceCodec:
         for end, (back, token) in self.finder.iter(text):
             longest[end - back] = token  # of those that start at one place, longer ones end later
         shorter, apart = self.shorter, self.apart
-        open_, taken, at = (1 << (n + 1)) - 1, [], 0  # open_: bit i is 0 once no ending from i exists
+        failed, taken, at = bytearray((n >> 3) + 1), [], 0  # failed: bit i is 1 once no ending from i exists
         token: str | None = longest[0] if n else None
         last = None
         while at < n:
             while token is not None:
                 end = at + len(token)
-                if open_ >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     fits = True if last is None else apart.get((last, token))
                     if fits is None:
                         fits = self.compatible(last, token)
@@ -172,7 +178,7 @@ class PieceCodec:
                         break
                 token = shorter[token]
             else:
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 if not taken:
                     raise ValueError("no segmentation")
                 token = taken.pop()
@@ -200,13 +206,18 @@ class PieceCodec:
         return self.unit.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for u in self.units(text or "") for i in self.unit_ids(u)]
+        ids: list[int] = []
+        for found in map(self.done.__getitem__, self.units(text or "")):
+            ids += found
+        return ids
 
-    def decode(self, ids: list[int], prefix: bool = True) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Pieces joined; runs of byte pieces are read as UTF-8, each byte that isn't becomes U+FFFD; the first white space is the prefix."""
-        if not any(i in self.raw for i in ids):
-            whole = "".join([self.pieces[i][0] for i in ids])
-            return (whole[1:] if prefix and self.prefix and whole.startswith(SPACE) else whole).replace(SPACE, " ")
+        if ids and self.marks.isdisjoint(ids):
+            # Where all bytes together are UTF-8, each run of byte pieces is, since other pieces are whole characters.
+            with suppress(UnicodeDecodeError):
+                whole = b"".join(map(self.said.__getitem__, ids)).decode()
+                return whole[1:] if self.prefix and whole.startswith(" ") and self.pieces[ids[0]][2] != BYTE else whole
         out: list[str] = []
         raw = bytearray()
         first = True
@@ -238,40 +249,32 @@ class PieceCodec:
             if kind == UNKNOWN:
                 out.append(" ⁇ ")
             else:
-                out.append((piece[1:] if first and prefix and self.prefix and piece.startswith(SPACE) else piece).replace(SPACE, " "))
+                out.append((piece[1:] if first and self.prefix and piece.startswith(SPACE) else piece).replace(SPACE, " "))
             first = False
         flush()
         return "".join(out)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """How many ids, and the SHA-256 of the ids and of the decoded text, both put together from the units' parts."""
-        units = self.units(text or "")
-        ids = ",".join(map(self.done.__getitem__, units))
-        back = "".join(units).replace(SPACE, " ")  # each unit's ids were decoded to the unit when it was first met
-        if self.prefix and back.startswith(" "):
-            back = back[1:]
+    def digest(self, text: str | None) -> tuple[int, str, str, list[int]]:
+        """How many ids, the SHA-256 of the ids and of the text that they decode to, and the ids."""
+        ids = self.encode(text)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        return ids.count(",") + bool(ids), sha(ids), sha(back)
+        return len(ids), sha(",".join(map(self.number.__getitem__, ids))), sha(self.decode(ids)), ids
 
 
 class _Units(dict):
-    """The ids of units, as text; emptied when full."""
+    """The ids of units; emptied when full."""
 
     def __init__(self, of: PieceCodec):
         super().__init__()
         self.of = of
 
-    def __missing__(self, unit: str) -> str:
-        found = self.of.unit_ids(unit)
-        back = self.of.decode(found, prefix=False)
-        if back != unit.replace(SPACE, " "):
-            raise ValueError(f"the ids of {unit!r} decode to {back!r}")
-        ids = ",".join(map(str, found))
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        found = tuple(self.of.unit_ids(unit))
         if len(unit) <= 48:
             if len(self) >= self.of.kept:
                 self.clear()
-            self[unit] = ids
-        return ids
+            self[unit] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -293,10 +296,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep_ids:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 texts = part.column(text)
-                made = [c.digest(t.as_py()) for t in texts]
+                made = [c.digest(t.as_py())[: len(new)] for t in texts]
                 columns = [pa.array([x[k] for x in made], kind) for k, (_, kind, _) in enumerate(new[:3])]
                 if keep_ids:
-                    columns.append(pa.array([c.encode(t.as_py()) for t in texts], new[3][1]))
+                    columns.append(pa.array([x[3] for x in made], new[3][1]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(n for n, _, _ in new)])
 
     return arrow(docs, run, schema)

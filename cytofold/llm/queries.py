@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exact_dedup, fm_dedup, language_id, license_scan, merkle, mixing, oracles, piece_codec, simhash, suffix_dedup, toxicity
@@ -11,8 +9,10 @@ from .common import documents, fold
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
-    """Where a public tokenizer's file lies; the folder is set by TOKENIZERS."""
-    return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,14 @@
 import hashlib
-import os
 import random
+import time
 from functools import lru_cache
 
 import pytest
+import sentencepiece
 from cytofold.llm.piece_codec import PieceCodec, encode_documents
 from cytofold.llm.queries import tokenizer
 from hypothesis import given, settings, strategies as st
 
-sentencepiece = pytest.importorskip("sentencepiece")
-pytestmark = pytest.mark.skipif(not os.path.exists(tokenizer()), reason="no tokenizer file")
 
 
 @lru_cache
@@ -33,8 +32,8 @@ def test_like_the_library(text):
     ids = sp.encode(text)
     assert codec.encode(text) == ids
     assert codec.decode(ids) == sp.decode(ids)
-    n, a, b = codec.digest(text)
-    assert (n, a, b) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    n, a, b, found = codec.digest(text)
+    assert (n, a, b, found) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), ids)
 
 
 def test_any_ids_decode_alike(both):
@@ -51,6 +50,16 @@ def test_long_runs(both):
         assert codec.encode(text) == sp.encode(text)
 
 
+def test_a_very_long_unit(both):
+    """Time grows with the text, not with its square."""
+    text = "abcdefgh" * 200_000
+    began = time.time()
+    ids = both[0].encode(text)
+    assert time.time() - began < 20
+    assert ids == both[1].encode(text)
+    assert both[0].decode(ids) == text
+
+
 def test_a_full_memory_changes_nothing(both):
     small = PieceCodec(tokenizer(), kept=5)
     for text in ("the cat sat on the mat. " * 20, "ünïcode wörds äre hërë " * 9):
