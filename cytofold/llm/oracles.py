@@ -1,5 +1,7 @@
 """SQL of the queries that SQL expresses."""
 
+from . import license_scan
+
 OP5 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -59,6 +61,31 @@ SELECT t.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, e.a_print AS fin
 FROM texts t JOIN likeness e ON t.doc_id = e.doc_id AND e.kind = 'edited' JOIN likeness x ON t.doc_id = x.doc_id AND x.kind = 'next'
 """
 
+
+
+def _op4() -> str:
+    """The join of all blocks with all templates, without filters."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    text = lambda ws: [w.decode() for w in ws]
+    templates = ", ".join(f"('{label}', {listed(sorted(text(s)))}, {step})" for label, s, step in license_scan.template_sets())
+    telling = ", ".join(f"('{label}', ' {' '.join(text(license_scan.words(r)))} ')" for label, runs in license_scan.TELLING.items() for r in runs)
+    phrases = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in license_scan.PHRASES.items())
+    return rf"""
+WITH base AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+templates(label, t, step) AS (VALUES {templates}), telling(label, run) AS (VALUES {telling}), phrases(p, label) AS (VALUES {phrases}),
+places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS i FROM base, phrases WHERE len(list_intersect(w, p)) = len(p)),
+blocks AS (SELECT doc_id, step, w[s + 1:s + 2 * step] AS b FROM (SELECT doc_id, w, step, unnest(range(0, greatest(len(w), 1)::BIGINT, step::BIGINT)) AS s FROM base, (SELECT DISTINCT step FROM templates))),
+matches AS (SELECT DISTINCT doc_id, t.label, len(list_intersect(b, t)) / len(t)::DOUBLE AS share FROM blocks b JOIN templates t ON b.step = t.step
+    WHERE len(list_intersect(b, t)) >= {license_scan.THRESHOLD} * len(t) - 1e-9 AND EXISTS (SELECT 1 FROM telling r WHERE r.label = t.label AND contains(' ' || array_to_string(b, ' ') || ' ', run))),
+base_ AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+all_ AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, 1.0 AS share FROM places UNION ALL SELECT * FROM matches) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM base LEFT JOIN base_ USING (doc_id) LEFT JOIN all_ USING (doc_id)
+"""
+
+
+OP4 = _op4()
+
 #: Each 100-byte string with its least place, by hexadecimal digits.
 OP1 = """
 WITH base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),

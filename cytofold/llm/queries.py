@@ -79,4 +79,4 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op1_suffix_dedup": oracles.OP1, "op6_substring_dedup": oracles.OP6, "op5_exact_dedup": oracles.OP5, "op7_merkle": oracles.OP7, "op8_mixing": oracles.OP8}
+ORACLES = {"op1_suffix_dedup": oracles.OP1, "op4_license_scan": oracles.OP4, "op6_substring_dedup": oracles.OP6, "op5_exact_dedup": oracles.OP5, "op7_merkle": oracles.OP7, "op8_mixing": oracles.OP8}

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -244,13 +245,15 @@ def brute_scan(text, templates, threshold):
                 places.append(i)
                 labels.add(label)
     matches = set()
-    for start in range(0, max(1, len(words)), license_scan.STEP):
-        block = set(words[start : start + 2 * license_scan.STEP])
-        for label, texts in templates.items():
-            for t in texts:
-                s = set(re.findall(r"[a-z0-9]+", t))
+    for label, texts in templates.items():
+        for t in texts:
+            s, step = set(re.findall(r"[a-z0-9]+", t)), 32
+            while step < len(re.findall(r"[a-z0-9]+", t)):
+                step *= 2
+            for start in range(0, max(1, len(words)), step):
+                block = set(words[start : start + 2 * step])
                 if len(s & block) >= threshold * len(s) - 1e-9:
-                    matches.add((start, label, len(s & block) / len(s)))
+                    matches.add((start, 2 * step, label, len(s & block) / len(s)))
     return words, places, labels, matches
 
 
@@ -273,7 +276,7 @@ def test_scans(spark):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted(base))
-        assert r.labels == ",".join(sorted(base | {m[1] for m in matches}))
+        assert r.labels == ",".join(sorted(base | {m[2] for m in matches}))
         assert set(scanner.matches(license_scan.words(t))) == matches
 
 
@@ -299,8 +302,26 @@ NEAR_MISSES = [
 ]
 
 
+def test_a_whole_license():
+    """A template of over 150 words is found wherever it stands, edited here and there, and isn't found in its half."""
+    count = {w: 0 for _, s, _ in license_scan.template_sets() for w in s}
+    scanner = license_scan.Scanner(count)
+    whole = license_scan.TEMPLATES["mit"][-1].split()
+    for lead in (0, 100, 255, 700):
+        parts = license_scan.words(" ".join(["filler"] * lead + [w if i % 20 else "edited" for i, w in enumerate(whole)] + ["tail"] * 300))
+        assert max((m for m in scanner.matches(parts) if m[1] == 512), key=lambda m: m[3])[2] == "mit"
+    assert not [m for m in scanner.matches(license_scan.words(" ".join(whole[: len(whole) // 2]))) if m[1] == 512]
+
+
+def test_very_many_places():
+    scanner = license_scan.Scanner({w: 0 for _, s, _ in license_scan.template_sets() for w in s})
+    began = time.time()
+    assert scanner.scan("mit license " * 100_000)[:5] == (200_000, 100_000, 0, 199_998, "mit")
+    assert time.time() - began < 10
+
+
 def test_labels_of_near_misses():
-    count = {w: 0 for _, s in license_scan.template_sets() for w in s}
+    count = {w: 0 for _, s, _ in license_scan.template_sets() for w in s}
     scanner = license_scan.Scanner(count, telling=license_scan.TELLING)
     for lead in (0, 20, 50):
         got = [scanner.scan("filler " * lead + text + " tail" * 40)[5] for text, _ in NEAR_MISSES]
