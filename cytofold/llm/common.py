@@ -63,8 +63,8 @@ def whole(text="text"):
 
 
 def fold(doc_id="doc_id", n=5):
-    """crc32 of the id as text, mod n: the split between rows to learn from and rows held out."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text (a null one: empty), mod n: the split between rows to learn from and rows held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -1,23 +1,23 @@
 """Language identification by compression.
 
-Each language has some zstandard raw-content dictionaries of its own text. A text's distinct words (lower case,
-letters only, in the order of first use) are compressed in blocks with each; the language whose dictionaries leave the
-fewest bytes is chosen. A short text is repeated, so that its first copy's cost is seen in the size. The margin
-between the two smallest sizes, against the smallest, gives the score; texts whose margin is below a limit are marked as
-rejected (the best guess is still given).
+Each language has some zstandard raw-content dictionaries of its own text. A whole text, in lower case, is compressed in
+blocks with each; the language whose dictionaries leave the fewest bytes is chosen. A short text is repeated, so that
+its first copy's cost is seen in the size. The margin between the two smallest sizes, against the smallest, gives the
+score; texts whose margin is below a limit are marked as rejected (the best guess is still given).
 
-The dictionaries hold a bounded sample of labelled rows: for each language the PER_LANGUAGE rows whose ids' hash is
-smallest, dealt to DICTIONARIES dictionaries of DICTIONARY bytes at most. At most LANGUAGES languages are learned,
-the most frequent ones.
+Every language of the labelled rows is learned. The sample that it is learned from is bounded: of each language the
+PER_LANGUAGE rows whose hash of id and text is smallest, dealt to DICTIONARIES dictionaries of DICTIONARY bytes at most, of
+which one row fills a PART at most; with very many languages dictionaries are smaller, so that all together hold TOTAL bytes.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the language first in order. Where no row
-is labelled, all are `und`. Null or repeated ids are rows like others. Empty tables give empty results.
+is labelled, all are `und`. Null or repeated ids are rows like others; rows that repeat id and text are learned once.
+Very long texts are compressed as a whole, a block at a time. Columns whose names are those of the results are
+replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,46 +25,43 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow
+from .common import arrow, cut
 
-PER_LANGUAGE, DICTIONARY, DICTIONARIES, LANGUAGES = 300, 1 << 16, 2, 64
+PER_LANGUAGE, DICTIONARY, DICTIONARIES, TOTAL, PART = 300, 1 << 17, 2, 1 << 24, 16
 #: Bytes that are compressed together, the level, and the characters under which a text is repeated.
 BLOCK, LEVEL, SHORT = 1 << 12, 6, 300
 #: A margin under this share of the smallest size is narrow.
 NARROW = 0.01
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> str:
-    return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
+def dictionary_size(languages: int) -> int:
+    return max(256, min(DICTIONARY, TOTAL // (DICTIONARIES * max(1, languages))))
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, list[bytes]]:
     """Raw-content dictionaries of each language from the rows for which learn holds."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), learn.alias("learn")).where("learn and lang is not null and text is not null")
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    order = Window.partitionBy("lang").orderBy("at", "id")
-    picked = rows.select("lang", "id", F.xxhash64("id").alias("at")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE).join(F.broadcast(often.select("lang")), "lang", "left_semi")
-    # At most LANGUAGES x PER_LANGUAGE ids: small by its bounds.
-    sample = rows.join(F.broadcast(picked.select("lang", "id", "rank")), ["lang", "id"]).where("length(trim(text)) > 0")
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("at"), learn.alias("learn")).where("learn and lang is not null and length(trim(text)) > 0")
+    order = Window.partitionBy("lang").orderBy("at")
+    picked = cut(rows.select("lang", "at").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE).groupBy("lang", "at").agg(F.min("rank").alias("rank")), "lang-sample")
+    size = dictionary_size(picked.select("lang").distinct().count())
+    sample = rows.join(picked, ["lang", "at"])
+    part = size // PART
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [words(t.as_py()).encode("utf-8", "replace")[-DICTIONARY:] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.binary())], names=["lang", "rank", "words"])
+            said = [t.as_py().lower().encode("utf-8", "replace")[:part] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.binary())], names=["lang", "rank", "part"])
 
-    # A text comes as what a dictionary can hold of its words.
-    rows_ = arrow(sample.select("lang", "rank", "text"), ends, "lang string, rank int, words binary")
-    texts: dict[str, list[bytes]] = {}
-    for row in rows_.orderBy("lang", "rank", "words").toLocalIterator():
-        texts.setdefault(row.lang, []).append(bytes(row.words))
-    made = {}
-    for name, parts in sorted(texts.items()):
-        share = -(-len(parts) // DICTIONARIES)
-        made[name] = [b"\n".join(parts[i : i + share])[-DICTIONARY:] for i in range(0, len(parts), share)]
-    return made
+    # A text comes as what a dictionary can hold of it; rows that repeat one come once.
+    rows_ = arrow(sample.select("lang", "rank", "text"), parts, "lang string, rank int, part binary").distinct()
+    made: dict[str, list[bytearray]] = {}
+    for row in rows_.orderBy("lang", "rank", "part").toLocalIterator():
+        of = made.setdefault(row.lang, [bytearray() for _ in range(DICTIONARIES)])[row.rank % DICTIONARIES]
+        if len(of) < size:
+            of += bytes(row.part) + b"\n"
+    return {name: [bytes(d[:size]) for d in ds if d] for name, ds in sorted(made.items())}
 
 
 class Sizer:
@@ -81,7 +78,7 @@ class Sizer:
         return zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[float]:
-        plain = words(text)
+        plain = text.lower()
         data = (plain if len(plain) > SHORT else " ".join([plain] * 4)).encode("utf-8", "replace")
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)] or [b""]
         return [sum(len(c.compress(b)) for c in cs for b in blocks) / max(1, len(cs)) for cs in self.by]
@@ -101,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str =
     new = ("lang_pred", "score", "rejected")
     kept = [c for c in docs.columns if c != text and c not in new]
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept) + "lang_pred string, score double, rejected boolean"
-    # Bounded: LANGUAGES x DICTIONARIES x DICTIONARY bytes.
+    # Bounded: TOTAL bytes.
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
