@@ -7,15 +7,19 @@ windows pick equal anchors at the same offset, so a window can recur only if its
 2. rows whose hash occurs once are dropped: their windows are unique. Hashes that a task meets more than once in
    some hundred documents are known to recur: one row is dealt by its hash, the others anywhere, so a hash that a third
    of all documents have is no task's alone;
-3. the rest go back to their texts, by document, and leave as contexts: the symbols of the anchor's windows. A
-   context that a task has met in a smaller document leaves as a run of repeated windows at once;
-4. an operator's resolver gets contexts with equal anchors together and says which windows are repeats;
-5. a document's repeated windows come back to its text.
-
-All steps but the resolver stream; rows move three times: places twice, texts once in step 3 and once in step 5.
-Anchors with more contexts than a task should compare are counted first; their contexts don't meet but are taken
-apart into windows where they lie, which are compared by a plain aggregation with partial sums: that is exact, too, and has
-no groups but equal windows.
+3. the rest go back to their texts, by document, and leave as contexts: the symbols of the anchor's windows. Contexts
+   with equal symbols that one task meets are combined before they move: of those the first stands for all, the others'
+   windows are repeats of its windows;
+4. contexts are range-partitioned by sampled splitters of (lead, document, place) into buckets of about BUCKET, where an
+   operator's resolver says which windows are repeats of others in the bucket. A lead that very many contexts have is
+   cut over several buckets like any other stretch of the order;
+5. windows that may have equals beyond a bucket's first or last lead, and aren't repeats there, are compared across the
+   boundaries: they are contexts of their own, whose lead is the whole window, and go through the same resolver once
+   more. What is then still open lies at the boundaries of these buckets, a few windows for each, and is compared as such;
+6. a document's repeated windows come back to its text.
+
+No bucket has to hold all of a lead, so there is no limit to how often one occurs. Rows move three times: places twice,
+texts once in step 3 and once in step 6.
 """
 
 from __future__ import annotations
@@ -24,21 +28,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow, cut, shuffle_parts
 
 _LOW = np.uint64((1 << 20) - 1)
 #: Windows that are looked at together; symbols of documents that are joined for it; contexts that leave at once.
 STEP, JOINED, BATCH = 1 << 19, 1 << 20, 20_000
-#: Contexts that a resolver gets at once, and the most of one anchor that it gets at all.
-CHUNK, GROUP = 30_000, 50_000
-#: Slices over which the places of one window of a hot anchor are dealt.
-SLICES = 64
+#: Contexts of a bucket, on average.
+BUCKET = 40_000
 #: Contexts that a task remembers; a full memory is emptied, which only lets more rows through.
-SEEN = 400_000
+SEEN = 200_000
+#: What stands for a null id: it comes after all others.
+LAST = (1 << 63) - 1
 #: Marks a place whose anchor is known to recur.
 _SURE = 1 << 62
 
@@ -61,10 +64,11 @@ class Bytes:
         data = text.encode("utf-8", "replace")
         return lambda a, b: data[a:b]
 
-    def lead(self, data: bytes) -> bytes:
-        return data
+    def parted(self, piece: Callable[[int, int], bytes], start: int, anchor: int, end: int) -> tuple[bytes, bytes]:
+        """A context as its lead, the symbols from the anchor on, and those before it."""
+        return piece(anchor, end), piece(start, anchor)
 
-    lead_type = pa.binary()
+    lead_type, lead_sql = pa.binary(), "binary"
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
         """Of the anchor-length run at each place."""
@@ -111,10 +115,11 @@ class Words:
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))).tolist()
         return lambda a, b: whole[starts[a] : starts[b] - 1]
 
-    def lead(self, data: bytes) -> int:
-        return xxhash.xxh64_intdigest(data, 3) - (1 << 63)
+    def parted(self, piece: Callable[[int, int], bytes], start: int, anchor: int, end: int) -> tuple[int, bytes]:
+        """A context as its lead, a hash of the anchor, and its words."""
+        return xxhash.xxh64_intdigest(piece(anchor, anchor + self.anchor), 3) - (1 << 63), piece(start, end)
 
-    lead_type = pa.int64()
+    lead_type, lead_sql = pa.int64(), "bigint"
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
         n = max(0, len(symbols) - self.anchor + 1)
@@ -165,12 +170,14 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, of: Bytes | Words) -> tupl
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(key, doc_id, text): keys are ids or, where an id is null or repeats, ranks of the rows by id (null first) and text."""
+    """(key, doc_id, doc, text): keys are ids or, where an id is null or repeats, numbers of rows; doc orders documents, null ids last."""
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = base.select(F.count("*").alias("n"), F.count("doc_id").alias("m")).first()
     if n.n == n.m and not n.n - base.select("doc_id").distinct().count():
-        return base.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    return cut(base.orderBy(F.asc_nulls_first("doc_id"), "text").select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+        base = base.withColumn("key", F.col("doc_id"))
+    else:
+        base = cut(base.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    return base.select("key", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
 
 
 def _pack(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,30 +238,34 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2] & plain], pa.int64())], names=["key", "at"])
 
 
+CONTEXT = "key bigint, doc bigint, first bigint, offset int, more int, rest binary"
+
+
 def _context_rows(of: Bytes | Words, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lead", "key", "first", "offset", "more", "data"]
-        kinds = [of.lead_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["lead", "key", "doc", "first", "offset", "more", "rest"]
+        kinds = [of.lead_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         rows: list[tuple] = []
-        seen: dict[bytes, int] = {}  # the document in which a context was met first; documents come in order
-        window, anchor = of.window, of.anchor
+        seen: dict[bytes, tuple[int, int]] = {}  # where a context was met first: document and key
+        window = of.window
         for batch in batches:
-            for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for key, doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 piece = of.cutter(text.as_py())
+                own = (doc, key)
                 for at in sorted(places.as_py()):
                     p, back, more = at >> 16, at >> 8 & 255, at & 255
                     a = p - back
                     data = piece(a, a + more + window)
-                    digest = xxhash.xxh3_128_digest(data)
-                    before = seen.get(digest)
-                    if before is not None and (before < key or within):
-                        rows.append((None, key, a, back, more, None))
+                    before = seen.get(data)
+                    if before is not None and (before[0] < doc or within and before[1] == key):
+                        rows.append((None, key, doc, a, back, more, None))
                         continue
                     if before is None:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen[digest] = key
-                    rows.append((of.lead(piece(p, p + anchor)), key, a, back, more, data))
+                        seen[data] = own
+                    lead, rest = of.parted(piece, a, p, a + more + window)
+                    rows.append((lead, key, doc, a, back, more, rest))
                 if len(rows) >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
@@ -265,31 +276,65 @@ def _context_rows(of: Bytes | Words, within: bool) -> Callable:
 
 
 def contexts(base: DataFrame, of: Bytes | Words, within: bool) -> DataFrame:
-    """(lead, key, first, offset, more, data) of the anchors that recur: the anchor's symbols (or their hash), the document, the
-    first of its windows, the anchor's place in it, how many more windows follow, and the windows' symbols. Without
-    lead and data: these windows are repeats. within: a document's own earlier places count."""
+    """(lead, key, doc, first, offset, more, rest) of the anchors that recur: the context's symbols in two parts, its document,
+    the first of its windows, the anchor's place in it, how many more windows follow. Without lead and rest: it is combined
+    with an equal one, and its windows are repeats. within: a document's own earlier places count."""
     parts = shuffle_parts(base.sparkSession)
     rows = arrow(base.select("key", "text"), _anchor_rows(of), "hash bigint, key bigint, at bigint")
     rows = arrow(rows.repartition(parts, "hash").sortWithinPartitions("hash"), _recurring, "key bigint, at bigint")
     places = rows.groupBy("key").agg(F.collect_list("at").alias("places"))  # at most a document's length
-    texts = base.select("key", "text").join(places, "key").select("key", "text", "places").sortWithinPartitions("key")
-    return arrow(texts, _context_rows(of, within), f"lead {'binary' if of.lead_type == pa.binary() else 'bigint'}, key bigint, first bigint, offset int, more int, data binary")
+    texts = base.select("key", "doc", "text").join(places, "key").select("key", "doc", "text", "places").sortWithinPartitions("doc", "key")
+    return arrow(texts, _context_rows(of, within), f"lead {of.lead_sql}, {CONTEXT}")
+
+
+class Strings:
+    """A binary column as one array of bytes and places in it."""
+
+    def __init__(self, column: pa.Array):
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        self.start, self.size = ends[:-1], np.diff(ends)
 
+    def rows(self, order: np.ndarray) -> Strings:
+        made = object.__new__(Strings)
+        made.flat, made.start, made.size = self.flat, self.start[order], self.size[order]
+        return made
 
-class Chunk:
-    """Contexts as arrays, in the order of (key, first)."""
+    def matrix(self, width: int, backwards: bool = False) -> np.ndarray:
+        """Rows of width bytes from each string's start, or from its end backwards, zeros behind it."""
+        step = np.arange(width)[None, :]
+        at = (self.start + self.size - 1)[:, None] - step if backwards else self.start[:, None] + step
+        inside = step < self.size[:, None]
+        return np.where(inside, self.flat[np.where(inside, at, 0)], 0).astype(np.uint8) if len(self.flat) else np.zeros((len(self.start), width), np.uint8)
 
-    def __init__(self, batch: pa.Table):
-        key, first = (np.asarray(batch.column(c)) for c in ("key", "first"))
-        order = np.lexsort((first, key))
-        order = order[np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(first[order]) != 0)))] if len(order) else order  # repeated rows once
-        self.key, self.first = key[order], first[order]
-        self.offset, self.more = (np.asarray(batch.column(c))[order].astype(np.int64) for c in ("offset", "more"))
-        self.data = batch.column("data").take(pa.array(order)).to_pylist()
+
+class Bucket:
+    """Contexts as arrays, in the order of (doc, key, first)."""
+
+    def __init__(self, table: pa.Table):
+        key, doc, first = (np.asarray(table.column(c)) for c in ("key", "doc", "first"))
+        order = np.lexsort((first, key, doc))
+        self.key, self.doc, self.first = key[order], doc[order], first[order]
+        self.offset, self.more = (np.asarray(table.column(c))[order].astype(np.int64) for c in ("offset", "more"))
+        self.rest = table.column("rest").combine_chunks().take(pa.array(order))
+        lead = table.column("lead").combine_chunks().take(pa.array(order))
+        self.lead = lead if pa.types.is_binary(lead.type) else np.asarray(lead)
 
     def __len__(self) -> int:
         return len(self.key)
 
+    def later(self, rows: np.ndarray, of: np.ndarray, within: bool) -> np.ndarray:
+        """Which of some rows, in their order, are preceded in their class by another document's or, if within counts, by their own."""
+        order = np.argsort(of, kind="stable")
+        c, doc, key = of[order], self.doc[rows][order], self.key[rows][order]
+        opens = np.concatenate(([True], c[1:] != c[:-1]))
+        found = doc > doc[opens][np.cumsum(opens) - 1]
+        if within:
+            found[1:] |= ~opens[1:] & (key[1:] == key[:-1])
+        out = np.empty(len(rows), bool)
+        out[order] = found
+        return out
+
 
 def runs_of(repeat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last) of the runs of True in each row of a matrix."""
@@ -301,69 +346,49 @@ def runs_of(repeat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[r], a, b - 1
 
 
-OUT = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
-
-
-def hot_leads(found: DataFrame, group: int = GROUP) -> DataFrame:
-    """(lead) of the anchors with more contexts than one task should compare, as a written table."""
-    return cut(found.where("data is not null").groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > group).select("lead"), "hot-anchors")
+#: What resolvers give: runs of repeats (row, first, last), and open windows (row, first, symbols).
+Resolved = tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[bytes]]]
+OUT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
+OUT_SQL = "key bigint, doc bigint, first bigint, last bigint, window binary"
 
 
-def singled(found: DataFrame, hot: DataFrame, windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
-    """(key, first, last, window): each window of the hot anchors' contexts with its symbols, made where the contexts lie."""
+def resolved(found: DataFrame, resolver: Callable[[Bucket], Resolved], bucket: int) -> DataFrame:
+    """(key, doc, first, last, window): runs of repeated windows; with window: one that may have equals in other buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                rows = [(r["key"], r["first"] + j, r["first"] + j, w) for r in batch.slice(i, 2000).to_pylist() for j, w in enumerate(windows(r["data"], r["more"] + 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
-
-    contexts_ = found.where("data is not null").join(hot, "lead", "left_semi").select("key", "first", "more", "data")
-    return arrow(contexts_, run, "key bigint, first bigint, last bigint, window binary")
-
-
-def resolved(found: DataFrame, resolver: Callable[[Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(key, first, last, window): runs of repeated windows of contexts that lie together and in order by lead; window is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # whole groups, and the rows of the last one so far
-        size = 0
-        last: bytes | int | None = None
-
-        def solve() -> Iterator[pa.RecordBatch]:
-            if held:
-                key, first, end = resolver(Chunk(pa.Table.from_batches(held)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first), pa.array(end), pa.nulls(len(key), pa.binary())], schema=OUT)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lead = batch.column("lead")
-            cuts = (np.flatnonzero(pc.not_equal(lead.slice(1), lead.slice(0, len(lead) - 1))) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                name = lead[a].as_py()
-                if name != last and size >= CHUNK:
-                    yield from solve()
-                    held, size = [], 0
-                last = name
-                held.append(batch.slice(a, b - a))
-                size += b - a
-        yield from solve()
-
-    return arrow(found, run, "key bigint, first bigint, last bigint, window binary")
-
-
-def judged(found: DataFrame, runs: DataFrame, within: bool) -> DataFrame:
-    """(key, first, last) of repeated windows: those known from contexts, the resolver's, and those of hot anchors, judged by aggregation."""
-    plain = runs.where("window is null").select("key", "first", "last")
-    plain = plain.union(found.where("data is null").select("key", "first", F.expr("first + more")))
-    single = runs.where("window is not null").select("key", "first", "window")
-    least = single.groupBy("window").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    # A window that very many places have is dealt out over slices, each with the least place.
-    least = least.select("window", "least", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
-    dealt = single.withColumn("slice", F.pmod(F.xxhash64("key", "first"), F.lit(SLICES)).cast("int"))
-    repeat = F.struct("key", "first") > F.col("least") if within else F.col("key") > F.col("least.key")
-    return plain.union(dealt.join(least, ["window", "slice"]).where(repeat).select("key", "first", F.col("first").alias("last")))
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        of = Bucket(pa.Table.from_batches(held))
+        held.clear()
+        (row, first, last), (open_, at, windows) = resolver(of)
+        yield pa.RecordBatch.from_arrays([pa.array(of.key[row]), pa.array(of.doc[row]), pa.array(first), pa.array(last), pa.nulls(len(row), pa.binary())], schema=OUT)
+        for i in range(0, len(open_), BATCH):
+            part = slice(i, i + BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(of.key[open_[part]]), pa.array(of.doc[open_[part]]), pa.array(at[part]), pa.array(at[part]), pa.array(windows[part], pa.binary())], schema=OUT)
+
+    parts = max(shuffle_parts(found.sparkSession), -(-found.count() // bucket))
+    return arrow(found.repartitionByRange(parts, "lead", "key", "first"), run, OUT_SQL)
+
+
+def judged(found: DataFrame, of: Bytes | Words, resolver: Callable[[Bucket], Resolved], within: bool, bucket: int = BUCKET) -> DataFrame:
+    """(key, first, last) of repeated windows: of combined contexts, of buckets, and across their boundaries."""
+    told = cut(resolved(found.where("rest is not null"), resolver, bucket), "repeats")
+    parts = [found.where("rest is null").select("key", "first", F.expr("first + more").alias("last")), told.where("window is null").select("key", "first", "last")]
+    lead = F.col("window") if of.lead_sql == "binary" else F.xxhash64("window")
+    rest = F.lit(b"") if of.lead_sql == "binary" else F.col("window")
+    open_ = told.where("window is not null").select(lead.alias("lead"), "key", "doc", "first", F.lit(0).alias("offset"), F.lit(0).alias("more"), rest.alias("rest"))
+    if not open_.isEmpty():
+        across = cut(resolved(open_, resolver, bucket), "repeats-across")
+        # A few windows for each boundary.
+        same = Window.partitionBy("window")
+        edge = across.where("window is not null").withColumn("least", F.min("doc").over(same)).withColumn("before", F.lag("key").over(same.orderBy("doc", "key", "first")))
+        later = (F.col("doc") > F.col("least")) | (F.coalesce(F.col("before") == F.col("key"), F.lit(False)) if within else F.lit(False))
+        parts += [across.where("window is null").select("key", "first", "last"), edge.where(later).select("key", "first", "last")]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def with_runs(base: DataFrame, runs: DataFrame) -> DataFrame:

@@ -9,36 +9,45 @@ from pyspark.sql import functions as F
 
 
 def brute_bytes(docs, w):
-    seen, out = set(), {}
-    for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    """Rows in order; a string is a repeat if a smaller id's row has it (null is the largest) or the row itself earlier."""
+    rank = lambda d: (d is None, d or 0)
+    least, out = {}, []
+    for d, t in docs:
         b = (t or "").encode()
+        for i in range(len(b) - w + 1):
+            s = b[i : i + w]
+            least[s] = min(least.get(s, rank(d)), rank(d))
+    for d, t in docs:
+        b, own = (t or "").encode(), set()
         gone = bytearray(len(b))
         for i in range(len(b) - w + 1):
             s = b[i : i + w]
-            if s in seen:
+            if least[s] < rank(d) or s in own:
                 gone[i : i + w] = b"\1" * w
-            seen.add(s)
+            own.add(s)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.setdefault(d, (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    return out
+        out.append((d or 0, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
 
 
 def brute_words(docs, w):
-    first, out = {}, {}
-    for d, t in sorted(docs):
+    rank = lambda d: (d is None, d or 0)
+    first, out = {}, []
+    for d, t in docs:
         p = (t or "").encode().split()
         for i in range(len(p) - w + 1):
-            first.setdefault(tuple(p[i : i + w]), d)
+            s = tuple(p[i : i + w])
+            first[s] = min(first.get(s, rank(d)), rank(d))
     for d, t in docs:
         p = (t or "").encode().split()
         gone = [False] * len(p)
         for i in range(len(p) - w + 1):
-            if first[tuple(p[i : i + w])] < d:
+            if first[tuple(p[i : i + w])] < rank(d):
                 gone[i : i + w] = [True] * w
         kept = [x for x, g in zip(p, gone, strict=True) if not g]
-        out[d] = (len(p), len(p) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
-    return out
+        out.append((d or 0, len(p), len(p) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out)
 
 
 def corpus(seed, n=60):
@@ -54,28 +63,46 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("seed,group", [(1, 200_000), (2, 200_000), (3, 3)])
-def test_suffix_dedup(spark, seed, group):
+def bytes_of(spark, docs, **how):
+    found = suffix_dedup.remove(spark.createDataFrame(docs, "doc_id bigint, text string"), **how).collect()
+    return sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+
+
+def words_of(spark, docs, **how):
+    found = fm_dedup.remove(spark.createDataFrame(docs, "doc_id bigint, text string"), **how).collect()
+    return sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in found)
+
+
+@pytest.mark.parametrize("seed,bucket", [(1, 40_000), (2, 40_000), (3, 20), (4, 5)])
+def test_suffix_dedup(spark, seed, bucket):
+    """Also in buckets so small that most strings' equals lie beyond a boundary."""
     docs = corpus(seed)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(spark.createDataFrame(docs, "doc_id bigint, text string"), window=12, anchor=5, group=group).collect()}
-    assert got == brute_bytes(docs, 12)
+    assert bytes_of(spark, docs, window=12, anchor=5, bucket=bucket) == brute_bytes(docs, 12)
 
 
-@pytest.mark.parametrize("seed,group", [(1, 200_000), (2, 200_000), (3, 3)])
-def test_fm_dedup(spark, seed, group):
+@pytest.mark.parametrize("seed,bucket", [(1, 40_000), (2, 40_000), (3, 20), (4, 5)])
+def test_fm_dedup(spark, seed, bucket):
     docs = corpus(seed)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.remove(spark.createDataFrame(docs, "doc_id bigint, text string"), window=5, anchor=2, group=group).collect()}
-    assert got == brute_words(docs, 5)
+    assert words_of(spark, docs, window=5, anchor=2, bucket=bucket) == brute_words(docs, 5)
 
 
-def test_repeated_and_null_ids(spark):
-    docs = [(1, "abcdefghijklmnop"), (1, "abcdefghijklmnop"), (1, "zzabcdefghijklmnop"), (None, "abcdefghijklm"), (2, "abcdefghijklmnopqr")]
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove(frame, window=12, anchor=5).collect())
-    assert len(got) == 5
-    assert got[0] == (0, 13, 0)  # the null id comes first
-    assert got[-1] == (2, 18, 16)
-    assert fm_dedup.remove(frame, window=5, anchor=2).count() == 5
+@pytest.mark.parametrize("bucket", [40_000, 10])
+def test_repeated_and_null_ids(spark, bucket):
+    """Rows of one id aren't earlier than each other, so equal ones are judged alike."""
+    docs = corpus(6, 30)
+    docs = [(None if d % 5 == 0 else d % 9, t) for d, t in docs] + [(1, "abcdefghijklmnop"), (1, "abcdefghijklmnop"), (1, "zzabcdefghijklmnopabcdefghijklmnop"), (None, "abcdefghijklm"), (2, "abcdefghijklmnopqr")]
+    docs += [(0, "one two three four five six"), (0, "one two three four five six"), (7, "one two three four five six")]
+    assert bytes_of(spark, docs, window=12, anchor=5, bucket=bucket) == brute_bytes(docs, 12)
+    assert words_of(spark, docs, window=5, anchor=2, bucket=bucket) == brute_words(docs, 5)
+
+
+def test_one_passage_in_a_third_of_all_rows(spark):
+    """Its contexts lie in many buckets, with other words around it in each document."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = [(i, " ".join([*(word() for _ in range(rng.randint(0, 9))), *("the same old words again" if i % 3 == 0 else word()).split(), *(word() for _ in range(6))])) for i in range(300)]
+    assert bytes_of(spark, docs, window=14, anchor=5, bucket=15) == brute_bytes(docs, 14)
+    assert words_of(spark, docs, window=4, anchor=2, bucket=15) == brute_words(docs, 4)
 
 
 def test_spans_and_kept_text(spark):
@@ -88,27 +115,44 @@ def test_spans_and_kept_text(spark):
     assert w[2].kept == "x y"
 
 
-def test_multikey_sort():
-    rng = np.random.default_rng(0)
-    m = rng.integers(0, 3, (500, 6)).astype(np.uint64)
-    order = suffix_dedup.multikey_sort(m)
-    assert [tuple(r) for r in m[order].tolist()] == sorted(tuple(r) for r in m.tolist())
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_multikey_sort(n):
+    rng = np.random.default_rng(n)
+    for most in (1, 3, 1 << 62):
+        m = rng.integers(0, most, (n, 6)).astype(np.uint64)
+        order = suffix_dedup.multikey_sort(m)
+        assert sorted(order.tolist()) == list(range(n))
+        assert [tuple(r) for r in m[order].tolist()] == sorted(tuple(r) for r in m.tolist())
+
+
+def test_bits():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 1023, 1024, 1025, 5000):
+        bits = rng.random(n) < 0.4
+        at = np.arange(n + 1)
+        assert fm_dedup.Bits(bits).rank(at).tolist() == np.concatenate(([0], np.cumsum(bits))).tolist()
+    # 64 bits take 64 and 18 to count in.
+    big = fm_dedup.Bits(np.ones(1 << 20, bool))
+    assert big.words.nbytes + big.small.nbytes + big.large.nbytes < 1.3 * (1 << 17)
 
 
 def test_fm_index_intervals():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 5, 400), 0)  # a passage and what parts it from the next
-    index = fm_dedup.FMIndex(text, 5, 7)
+    holders = rng.integers(0, 1000, 401)
+    index = fm_dedup.FMIndex(text, 5, 7, holders)
     words = text.tolist()
+    places = lambda s: [j for j in range(len(words)) if words[j : j + len(s)] == s]
     for _ in range(200):
         i, n = int(rng.integers(0, 390)), int(rng.integers(1, 8))
         low, high = np.array([0]), np.array([len(text)])
         for c in reversed(words[i : i + n]):
             low, high = index.extend(np.array([c]), low, high)
-        want = sorted(j for j in range(len(words)) if words[j : j + n] == words[i : i + n])
-        assert sorted(index.suffixes[low[0] : high[0]].tolist()) == want
-    seven = index.starts[7]
-    assert all(words[index.suffixes[k] :][:7] == words[index.suffixes[seven[k]] :][:7] for k in range(len(words)) if index.suffixes[k] + 7 <= len(words) and index.suffixes[seven[k]] + 7 <= len(words))
+        assert high[0] - low[0] == len(places(words[i : i + n]))
+        if n == 7:
+            assert index.least[index.classes[7].of(low)][0] == min(holders[j] for j in places(words[i : i + 7]))
+            a, b = index.classes[6].interval(low)
+            assert b[0] - a[0] == len(places(words[i : i + 6]))
 
 
 @pytest.mark.parametrize("digest", [None, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(5)).cast("string")])
