@@ -40,6 +40,9 @@ STEP, JOINED, BATCH = 1 << 19, 1 << 20, 20_000
 BUCKET = 40_000
 #: Contexts that a task remembers; a full memory is emptied, which only lets more rows through.
 SEEN = 200_000
+#: Places that are sampled for each bucket to find the splitters; they come to the driver.
+SAMPLES = 25
+_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 #: What stands for a null id: it comes after all others.
 LAST = (1 << 63) - 1
 #: Marks a place whose anchor is known to recur.
@@ -302,10 +305,13 @@ class Strings:
 
     def matrix(self, width: int, backwards: bool = False) -> np.ndarray:
         """Rows of width bytes from each string's start, or from its end backwards, zeros behind it."""
-        step = np.arange(width)[None, :]
-        at = (self.start + self.size - 1)[:, None] - step if backwards else self.start[:, None] + step
-        inside = step < self.size[:, None]
-        return np.where(inside, self.flat[np.where(inside, at, 0)], 0).astype(np.uint8) if len(self.flat) else np.zeros((len(self.start), width), np.uint8)
+        step, out = np.arange(width)[None, :], np.zeros((len(self.start), width), np.uint8)
+        for i in range(0, len(out) * bool(len(self.flat)), 4096):
+            part = slice(i, i + 4096)
+            start, size = self.start[part, None], self.size[part, None]
+            inside = step < size
+            out[part] = np.where(inside, self.flat[np.where(inside, start + size - 1 - step if backwards else start + step, 0)], 0)
+        return out
 
 
 class Bucket:
@@ -367,19 +373,25 @@ def resolved(found: DataFrame, resolver: Callable[[Bucket], Resolved], bucket: i
             part = slice(i, i + BATCH)
             yield pa.RecordBatch.from_arrays([pa.array(of.key[open_[part]]), pa.array(of.doc[open_[part]]), pa.array(at[part]), pa.array(at[part]), pa.array(windows[part], pa.binary())], schema=OUT)
 
-    parts = max(shuffle_parts(found.sparkSession), -(-found.count() // bucket))
-    return arrow(found.repartitionByRange(parts, "lead", "key", "first"), run, OUT_SQL)
+    spark = found.sparkSession
+    parts = max(shuffle_parts(spark), -(-found.count() // bucket))
+    before = spark.conf.get(_SAMPLES)
+    spark.conf.set(_SAMPLES, str(SAMPLES))
+    try:
+        return cut(arrow(found.repartitionByRange(parts, "lead", "key", "first"), run, OUT_SQL), "repeats")
+    finally:
+        spark.conf.set(_SAMPLES, before)
 
 
 def judged(found: DataFrame, of: Bytes | Words, resolver: Callable[[Bucket], Resolved], within: bool, bucket: int = BUCKET) -> DataFrame:
     """(key, first, last) of repeated windows: of combined contexts, of buckets, and across their boundaries."""
-    told = cut(resolved(found.where("rest is not null"), resolver, bucket), "repeats")
+    told = resolved(found.where("rest is not null"), resolver, bucket)
     parts = [found.where("rest is null").select("key", "first", F.expr("first + more").alias("last")), told.where("window is null").select("key", "first", "last")]
     lead = F.col("window") if of.lead_sql == "binary" else F.xxhash64("window")
     rest = F.lit(b"") if of.lead_sql == "binary" else F.col("window")
     open_ = told.where("window is not null").select(lead.alias("lead"), "key", "doc", "first", F.lit(0).alias("offset"), F.lit(0).alias("more"), rest.alias("rest"))
     if not open_.isEmpty():
-        across = cut(resolved(open_, resolver, bucket), "repeats-across")
+        across = resolved(open_, resolver, bucket)
         # A few windows for each boundary.
         same = Window.partitionBy("window")
         edge = across.where("window is not null").withColumn("least", F.min("doc").over(same)).withColumn("before", F.lag("key").over(same.orderBy("doc", "key", "first")))
