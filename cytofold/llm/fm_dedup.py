@@ -66,6 +66,7 @@ class WaveletMatrix:
         self.start = self._down(np.zeros(symbols, np.int64), np.arange(symbols))
 
     def _down(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where places (one row or more of them, a symbol for each column) lead to on the last level."""
         for k, level in enumerate(reversed(range(self.levels))):
             ones = self.bits[k].rank(at)
             at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
@@ -124,7 +125,8 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol followed by the strings of intervals: a backward-search step."""
-        return self.first[symbol] + self.wavelet.rank(symbol, low), self.first[symbol] + self.wavelet.rank(symbol, high)
+        low, high = self.first[symbol] + self.wavelet.rank(symbol, np.stack((low, high)))
+        return low, high
 
 
 def resolve(shard: repeats.Bucket, window: int = WINDOW) -> repeats.Resolved:

@@ -392,11 +392,12 @@ def judged(found: DataFrame, of: Bytes | Words, resolver: Callable[[Bucket], Res
     open_ = told.where("window is not null").select(lead.alias("lead"), "key", "doc", "first", F.lit(0).alias("offset"), F.lit(0).alias("more"), rest.alias("rest"))
     if not open_.isEmpty():
         across = resolved(open_, resolver, bucket)
-        # A few windows for each boundary.
-        same = Window.partitionBy("window")
-        edge = across.where("window is not null").withColumn("least", F.min("doc").over(same)).withColumn("before", F.lag("key").over(same.orderBy("doc", "key", "first")))
-        later = (F.col("doc") > F.col("least")) | (F.coalesce(F.col("before") == F.col("key"), F.lit(False)) if within else F.lit(False))
-        parts += [across.where("window is null").select("key", "first", "last"), edge.where(later).select("key", "first", "last")]
+        # A few windows for each boundary; a document's places of one are one row.
+        edge = across.where("window is not null").groupBy("window", "key", "doc").agg(F.sort_array(F.collect_list("first")).alias("places"))
+        edge = edge.withColumn("least", F.min("doc").over(Window.partitionBy("window")))
+        edge = edge.select("key", (F.col("doc") > F.col("least")).alias("later"), F.posexplode("places").alias("nth", "first"))
+        later = F.col("later") | (F.col("nth") > 0) if within else F.col("later")
+        parts += [across.where("window is null").select("key", "first", "last"), edge.where(later).select("key", "first", F.col("first").alias("last"))]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
