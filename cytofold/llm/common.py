@@ -69,3 +69,34 @@ def fold(doc_id="doc_id", n=5):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a group that one slice holds; groups that may be broadcast with their slices (of some 40 bytes each).
+SLICE, MOST_LARGE = 1000, 200_000
+#: Slices of every group where more groups than that have over SLICE rows.
+EVERY = 32
+
+
+class Slices:
+    """How rows of large groups are dealt before they are joined, so that no group meets in one task.
+
+    groups: (key, n, …) with the rows of each group that counts; rows of others are dealt by their key alone.
+    """
+
+    def __init__(self, groups: DataFrame, key: str, by: str):
+        self.key, self.by = key, by
+        self.large = groups.where(F.col("n") > SLICE).select(key, F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        self.few = self.large.count() <= MOST_LARGE
+
+    def of_rows(self, rows: DataFrame) -> DataFrame:
+        """rows (key, by, …) with their slice, by a hash of the column by."""
+        at = F.xxhash64(self.by, F.lit(7))
+        if not self.few:
+            return rows.withColumn("slice", F.pmod(at, F.lit(EVERY)).cast("int"))
+        rows = rows.join(F.broadcast(self.large), self.key, "left")
+        return rows.withColumn("slice", F.pmod(at, F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+
+    def of_groups(self, groups: DataFrame) -> DataFrame:
+        """groups (key, n, …) once for each slice of theirs."""
+        n = F.ceil(F.col("n") / SLICE).cast("int") if self.few else F.lit(EVERY)
+        return groups.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))

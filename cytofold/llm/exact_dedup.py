@@ -28,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, shared_dir
+from .common import Slices, cut, fresh, shared_dir
 
 #: Memtables that groups() fills, and runs of a level that are merged.
 MEMTABLES, FAN = 5, 4
@@ -36,12 +36,6 @@ MEMTABLES, FAN = 5, 4
 FILTER, HASHES, BUCKET = 16, 2, 1 << 15
 #: Bytes of a filter that is broadcast.
 BROADCAST = 8 << 20
-#: Rows of a digest that one slice holds; digests that may be broadcast with their slices (of 40 bytes each).
-SLICE, MOST_LARGE = 1000, 200_000
-#: Slices of every group where more digests than that have over SLICE rows.
-EVERY = 32
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -158,27 +152,6 @@ class DigestIndex:
         return self._merged(found).where("n > 1")
 
 
-class Slices:
-    """How rows of large groups are dealt, so that no group meets in one task."""
-
-    def __init__(self, hits: DataFrame):
-        self.large = hits.where(F.col("n") > SLICE).select("digest", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-        self.few = self.large.count() <= MOST_LARGE
-
-    def of_rows(self, rows: DataFrame) -> DataFrame:
-        """rows (id, digest, …) with their slice."""
-        at = F.xxhash64("id", F.lit(7))
-        if not self.few:
-            return rows.withColumn("slice", F.pmod(at, F.lit(EVERY)).cast("int"))
-        rows = rows.join(F.broadcast(self.large), "digest", "left")
-        return rows.withColumn("slice", F.pmod(at, F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-
-    def of_groups(self, groups_: DataFrame) -> DataFrame:
-        """groups_ (digest, n, …) once for each slice of theirs."""
-        n = F.ceil(F.col("n") / SLICE).cast("int") if self.few else F.lit(EVERY)
-        return groups_.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
-
-
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest", digest: Callable[[Column], Column] = sha256, memtables: int = MEMTABLES) -> DataFrame:
     """(doc_id, digest, keep_id, group_size): for each row the row that stays of those with its bytes."""
     spark = docs.sparkSession
@@ -188,7 +161,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: st
     for k in range(memtables):
         index.flush(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)) == k))
     hits = cut(index.repeated().withColumnRenamed("id", "keep_id"), "hits")
-    slices = Slices(hits)
+    slices = Slices(hits, "digest", "id")
     found = slices.of_rows(rows).join(slices.of_groups(hits), ["digest", "slice"], "left")
     found = found.select("id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
     # Verification: a group's texts, slice by slice, against copies of the one that stays.

@@ -120,18 +120,18 @@ def copies(size: Column, u: Column, of: str = "") -> Column:
     return (F.col(f"{of}whole") + F.coalesce(more, F.lit(False)).cast("bigint")).cast("bigint")
 
 
-def _plan(docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), uniform(F.col(doc_id), F.col(text), seed).alias("u"))
-    rows = cut(rows, "mix-sizes")
+def _plan(rows: DataFrame, weights: tuple, cap: float) -> DataFrame:
+    """One row a source, from rows (source, size, u)."""
     told = cut(targets(rows, weights, cap), "mix-targets")
     told = cut(rates(rows, told), "mix-rates")
-    return rows, cut(limits(rows, told), "mix-limits")
+    return cut(limits(rows, told), "mix-limits")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """(doc_id, source, size, source_size, target, p, copies, taken) for each row of docs; p: of one copy more than the whole ones."""
-    rows, told = _plan(docs, text, source, doc_id, weights, cap, seed)
-    both = rows.alias("r").join(told.alias("s"), _same("r", "s"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), uniform(F.col(doc_id), F.col(text), seed).alias("u"))
+    rows = cut(rows, "mix-sizes")
+    both = rows.alias("r").join(_plan(rows, weights, cap).alias("s"), _same("r", "s"))
     p = F.coalesce(inclusion(F.col("size"), F.col("rate"), F.col("rest")), F.lit(0.0))
     both = both.select("doc_id", "r.source", "size", "source_size", "target", p.alias("p"), copies(F.col("size"), F.col("u")).alias("copies"))
     return both.withColumn("taken", F.col("copies") * F.col("size"))
@@ -139,11 +139,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """The rows of docs, each as often as mix() takes it."""
-    _, told = _plan(docs, text, source, doc_id, weights, cap, seed)
-    n, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
-    # One struct and one name of our own: whatever docs' columns are called, none is hidden.
-    told = told.select(F.col("source").alias(copy), F.struct("whole", "rate", "rest", "limit", "last").alias(n))
-    both = docs.join(told, docs[source].eqNullSafe(told[copy]))
-    size, u = words(docs[text]), uniform(docs[doc_id], docs[text], seed)
-    rows = both.select(*(docs[c] for c in docs.columns), copies(size, u, f"{n}.").cast("int").alias(n)).where(F.col(n) > 0)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy)).drop(copy)
+    size, u, plan, name = (fresh(docs, c) for c in ("_size", "_u", "_plan", "_source"))
+    # Written with the rows: conditions on them are worked out more than once.
+    rows = cut(docs.select(*(docs[c] for c in docs.columns), words(docs[text]).alias(size), uniform(docs[doc_id], docs[text], seed).alias(u)), "mix-rows")
+    told = _plan(rows.select(rows[source].alias("source"), rows[size].alias("size"), rows[u].alias("u")), weights, cap)
+    # One struct and names of our own: whatever docs' columns are called, none is hidden.
+    told = told.select(F.col("source").alias(name), F.struct("whole", "rate", "rest", "limit", "last").alias(plan))
+    both = rows.join(told, rows[source].eqNullSafe(told[name]))
+    times = copies(rows[size], rows[u], f"{plan}.").cast("int")
+    return both.select(*(rows[c] for c in docs.columns), times.alias(size)).where(F.col(size) > 0).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(size))).alias(u)).drop(u)

@@ -33,7 +33,7 @@ from .common import arrow
 
 SPACE = "▁"
 #: Units and neighbour tests that one worker keeps; a full dictionary is emptied.
-KEPT = 600_000
+KEPT = 300_000
 #: Kinds of piece in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 

@@ -95,7 +95,7 @@ class Bytes:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         if len(word) <= 40:
             self[word] = h

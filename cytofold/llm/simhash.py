@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow, cut, shuffle_parts
+from .common import Slices, arrow, cut, shuffle_parts
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,7 +66,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         if len(word) <= 40:
             self[word] = h
@@ -259,7 +259,7 @@ def near_links(nodes: DataFrame, fp: str = "fp", radius: int = 4, agree: int = 1
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, radius: int = 4, tables: int = 0) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most radius differing bits."""
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, tables=tables), "simhash")
-    nodes = cut(rows.groupBy("fp0").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = cut(rows.groupBy("fp0").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     agree = agreeing(nodes.count(), radius)
     edges = near_links(nodes, "fp0", radius, agree)
     for t in range(1, tables):
@@ -270,9 +270,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         edges = edges.union(found.join(ends[0], "a").join(ends[1], "b").select("a_stand", "b_stand"))
         edges = edges.union(rows.select("fp0", f"fp{t}").distinct().join(stands, f"fp{t}").select("fp0", "stand"))
     roots = components(edges)
-    rooted = nodes.join(roots, nodes.fp0 == roots.node, "left").select("fp0", "least", F.coalesce("root", "fp0").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp0", "component_id")
-    return rows.join(named, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
+    rooted = cut(nodes.join(roots, nodes.fp0 == roots.node, "left").select("fp0", "n", "least", F.coalesce("root", "fp0").alias("root")), "simhash-roots")
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    slices = Slices(named, "root", "fp0")
+    named = slices.of_rows(rooted.drop("n")).join(slices.of_groups(named).drop("n"), ["root", "slice"]).select("fp0", "component_id")
+    slices = Slices(nodes, "fp0", "doc_id")
+    named = slices.of_groups(nodes.select("fp0", "n").join(named, "fp0")).drop("n")
+    return slices.of_rows(rows.select("doc_id", "fp0")).join(named, ["fp0", "slice"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -344,9 +348,11 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     known = docs.where(F.col(doc_id).isNotNull())
     found = cut(near_duplicates(known, text, doc_id, radius=radius, tables=tables).select("doc_id", F.col("component_id").alias("group")), "near-groups")
-    sizes = found.groupBy("group").agg(F.count("*").alias("n"))
-    alone = found.join(sizes.where("n = 1"), "group", "left_semi").select("doc_id")
-    members = found.join(sizes.where("n > 1"), "group", "left_semi").select(F.col("doc_id").alias("_id"), "group").distinct()
+    shared = cut(found.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    slices = Slices(shared, "group", "doc_id")
+    grouped = slices.of_rows(found).join(slices.of_groups(shared), ["group", "slice"], "left")
+    alone = grouped.where("n is null").select("doc_id")
+    members = grouped.where("n is not null").select(F.col("doc_id").alias("_id"), "group").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

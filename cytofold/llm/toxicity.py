@@ -41,7 +41,7 @@ IDENTITY = {
     "es": ["mujeres hombres", "niñas niños", "cristianos musulmanes judíos hindúes budistas ateos", "gays lesbianas heterosexuales", "negros blancos asiáticos", "inmigrantes extranjeros refugiados", "ancianos jóvenes discapacitados"],
 }
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT = 300_000
+KEPT = 120_000
 
 
 def features(word: str) -> list[str]:

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from cytofold.llm import exact_dedup, fm_dedup, suffix_dedup
+from cytofold.llm import common, exact_dedup, fm_dedup, suffix_dedup
 from pyspark.sql import functions as F
 
 
@@ -172,12 +172,12 @@ def test_exact_dedup(spark, digest):
 
 def test_slices_of_a_large_group(spark, monkeypatch):
     """A third of all rows have one text: no slice holds many, whether slices are broadcast or not."""
-    monkeypatch.setattr(exact_dedup, "SLICE", 50)
+    monkeypatch.setattr(common, "SLICE", 50)
     docs = spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as text")
     hits = spark.createDataFrame([("hot", 1998, 667)], "digest string, keep_id bigint, n bigint")
     for most in (10, 0):
-        monkeypatch.setattr(exact_dedup, "MOST_LARGE", most)
-        slices = exact_dedup.Slices(hits)
+        monkeypatch.setattr(common, "MOST_LARGE", most)
+        slices = common.Slices(hits, "digest", "id")
         counts = [r["count"] for r in slices.of_rows(docs.selectExpr("doc_id as id", "text as digest")).where("digest = 'hot'").groupBy("slice").count().collect()]
         assert sum(counts) == 667 and max(counts) <= 2 * 667 / len(counts) and slices.of_groups(hits).count() >= len(counts) > 10
         got = exact_dedup.groups(docs, keep="largest").where("doc_id % 3 = 0").select("keep_id", "group_size").distinct().collect()
