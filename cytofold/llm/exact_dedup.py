@@ -72,11 +72,15 @@ class Run:
         set_ = self.digests.select(_bucket(self.buckets).alias("bucket"), F.explode(F.array(*_bits())).alias("place"))
         set_.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).write.parquet(f"{self.at}/filter")
 
+    @property
+    def small(self) -> bool:
+        """Whether the filter may be broadcast."""
+        return self.buckets * BUCKET // 8 <= BROADCAST
+
     def may_have(self, rows: DataFrame) -> DataFrame:
         """rows (digest, …) without those whose digest the filter doesn't know."""
         known = self.spark.read.schema("bucket bigint, bits binary").parquet(f"{self.at}/filter").select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
-        if self.buckets * BUCKET // 8 <= BROADCAST:
-            known = F.broadcast(known)
+        known = F.broadcast(known) if self.small else known
         there = _bucket(self.buckets) == F.col("_bucket")
         for place in _bits():
             there = there & _is_set("_bits", place)
@@ -160,12 +164,14 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: st
     index = DigestIndex(spark, keep=keep)
     for k in range(memtables):
         index.flush(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)) == k))
-    hits = cut(index.repeated().withColumnRenamed("id", "keep_id"), "hits")
+    told = Run(index.repeated(), f"{index.folder}/hits")
+    hits = told.digests.withColumnRenamed("id", "keep_id")
     slices = Slices(hits, "digest", "id")
     found = slices.of_rows(rows).join(slices.of_groups(hits), ["digest", "slice"], "left")
     found = found.select("id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
-    # Verification: a group's texts, slice by slice, against copies of the one that stays.
-    sized = cut(slices.of_rows(base).join(slices.of_groups(hits), ["digest", "slice"]), "hit-texts")
+    # Verification: a group's texts, slice by slice, against copies of the one that stays. Texts move only if the hits' filter knows them.
+    texts = told.may_have(base) if told.small else base
+    sized = cut(slices.of_rows(texts).join(slices.of_groups(hits).hint("merge"), ["digest", "slice"]), "hit-texts")
     stay = sized.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(F.min("text").alias("kept_text"))
     odd = cut(sized.join(slices.of_groups(stay).drop("n"), ["digest", "slice"]).where("text <> kept_text").select("id", "digest", "text"), "collisions")
     if odd.isEmpty():
