@@ -20,7 +20,15 @@ CODES = {
     "vertebrate_mitochondrial": {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"},
     "yeast_mitochondrial": {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"},
     "mould_mitochondrial": {"TGA": "W"},
+    "invertebrate_mitochondrial": {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
     "ciliate": {"TAA": "Q", "TAG": "Q"},
+    "echinoderm_mitochondrial": {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"},
+    "euplotid": {"TGA": "C"},
+    "bacterial": {},
+    "yeast_alternative": {"CTG": "S"},
+    "ascidian_mitochondrial": {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"},
+    "flatworm_mitochondrial": {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
+    "blepharisma": {"TAG": "Q"},
 }
 
 
@@ -146,6 +154,11 @@ def proportion(meth: Column, unmeth: Column) -> Column:
     return F.coalesce(F.try_divide(meth.cast("double"), (meth + unmeth).cast("double")), F.lit(-1.0))
 
 
+def ratio(meth: Column, unmeth: Column) -> Column:
+    """meth / unmeth, null without unmethylated counts."""
+    return F.try_divide(meth.cast("double"), unmeth.cast("double"))
+
+
 def url_decoded(text: Column) -> Column:
     """%XX escapes read; + stays."""
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

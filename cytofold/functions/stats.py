@@ -85,7 +85,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             h = h * d * c
         if (np.abs(d * c - 1) < 1e-15).all():
             break
-    return h
+    return np.where(np.abs(d * c - 1) < 1e-9, h, np.nan)  # no value where it doesn't settle
 
 
 def f_tail(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:

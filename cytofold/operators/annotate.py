@@ -177,8 +177,10 @@ def exon_class(s: Column, e: Column, lo: Column, hi: Column, strand: Column, seg
     return F.when(s.between(lo, hi) & e.between(lo, hi), inside).when(lo.between(s, e), "5prime").when(hi.between(s, e), "3prime").when(before, "upstream").otherwise("Unknown")
 
 
-def filtered(features: DataFrame, types: list[str] | None = None, biotypes: list[str] | None = None, with_cds: DataFrame | None = None) -> DataFrame:
-    """Features of types and biotypes; with_cds: only those that hold one of its features."""
+def filtered(features: DataFrame, types: list[str] | None = None, biotypes: list[str] | None = None, with_cds: DataFrame | None = None, attributes: dict[str, str] | None = None) -> DataFrame:
+    """Features of types and biotypes; attributes: with these values in the map quals; with_cds: only those that hold one of its features."""
+    for name, value in (attributes or {}).items():
+        features = features.where(F.try_element_at("quals", F.lit(name)) == value)
     if types is not None:
         features = features.where(F.col("type").isin(types))
     if biotypes is not None:

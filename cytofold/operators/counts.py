@@ -119,6 +119,14 @@ def with_mask(counts: DataFrame, limits: Limits) -> DataFrame:
     return counts.withColumn("failed", failed).withColumn("used", F.col("failed") == 0)
 
 
+def cpg_percent(by_cpg: DataFrame, sample: int = 1) -> DataFrame:
+    """(chrom, bin_id, slot, place, percent) of one sample's cpg_counts: methylated percent to two places, - without counts; slot 0 is Stray."""
+    n = F.col("meth") + F.col("unmeth")
+    place = F.when(F.col("slot") == 0, "Stray").otherwise(F.col("pos").cast("string"))
+    share = F.coalesce(F.format_string("%.2f", F.try_divide(100 * F.col("meth").cast("double"), n.cast("double"))), F.lit("-"))
+    return by_cpg.where(F.col("sample_no") == sample).select("chrom", "bin_id", "slot", place.alias("place"), F.when(n > 0, share).otherwise("-").alias("percent"))
+
+
 def with_cpg_hits(counts: DataFrame, by_cpg: DataFrame, least_hits: int = 1) -> DataFrame:
     """counts plus cpgs_hit: the sample's CpGs in the bin (see cpg_counts) with so many hits."""
     hit = by_cpg.where((F.col("slot") > 0) & (F.col("meth") + F.col("unmeth") >= least_hits)).groupBy("chrom", "bin_id", "sample_no").agg(F.count("*").cast("int").alias("cpgs_hit"))

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import glob
 import gzip
+import io
 import re
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import ship
 
@@ -344,6 +348,54 @@ class FlatFile(DataSource):
         return FlatReader(self.options)
 
 
+def parsed(files: DataFrame, kind: str, unplaced: bool = False) -> DataFrame:
+    """Rows of whole files (path, content) as spark.read.format("binaryFile") gives them, from any store that Spark reads.
+
+    kind: fasta, nbrf, staden, gcg, molgen, raw; reads; bam; embl, genbank, sqmonk. Gzip is unpacked. A file is one row, so
+    its size is bounded by what a row may hold; larger ones are read by the formats that register() adds.
+    """
+    flat = FlatFile.schema(None)
+    schema = Bam.schema(None) if kind == "bam" else Reads.schema(None) if kind == "reads" else flat if kind in ("embl", "genbank", "sqmonk") else SeqFile.schema(None)
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+        if kind == "bam":
+            return (r for r in bam_records(stream) if unplaced or r[2] != "*")
+        lines = io.TextIOWrapper(stream, errors="replace")
+        if kind == "reads":
+            return ((path, i + 1, *r) for i, r in enumerate(reads(lines)))
+        if kind in ("embl", "genbank", "sqmonk"):
+            return ((path, *x) for x in flat_features(lines, kind))
+        return ((path, i, name, seq) for i, (name, seq) in enumerate(sequences(lines, kind)))
+
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held: list[tuple] = []
+                for row in rows(path, content):
+                    held.append(row)
+                    if len(held) == 10_000:
+                        yield _batch(held, names, kinds)
+                        held = []
+                if held:
+                    yield _batch(held, names, kinds)
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    def plain(v):
+        if isinstance(v, dict):
+            return list(v.items())
+        return [dict(zip(("start", "end", "strand"), x, strict=True)) for x in v] if isinstance(v, list) and v and isinstance(v[0], tuple) else v
+
+    return pa.RecordBatch.from_arrays([pa.array([plain(v) for v in column], schema.field(i).type) for i, column in enumerate(zip(*rows, strict=True))], names=names)
+
+
 def register(spark: SparkSession) -> None:
     ship(spark)
     for source in (SeqFile, Reads, Bam, FlatFile):

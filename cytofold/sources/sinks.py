@@ -20,9 +20,10 @@ def tabbed(*columns: Column | str) -> Column:
     return F.concat_ws("\t", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in columns))
 
 
-def pair_line() -> Column:
-    """Proportions to 4 places, the fold to 2, the probability as %g."""
-    return F.concat_ws("\t", F.format_string("%.4f", "prop_1"), F.format_string("%.4f", "prop_2"), F.coalesce(F.format_string("%.2f", "fold"), F.lit("-")), F.col("greater"), general(F.col("p")))
+def pair_line(counts: bool = False) -> Column:
+    """Proportions to 4 places, the fold to 2, the probability as %g; counts: each sample's m+/u- behind."""
+    cells = [F.concat(F.col(f"meth_{i}").cast("string"), F.lit("+/"), F.col(f"unmeth_{i}").cast("string"), F.lit("-")) for i in (1, 2)] if counts else []
+    return F.concat_ws("\t", F.format_string("%.4f", "prop_1"), F.format_string("%.4f", "prop_2"), F.coalesce(F.format_string("%.2f", "fold"), F.lit("-")), F.col("greater"), general(F.col("p")), *cells)
 
 
 def general(x: Column) -> Column:
@@ -90,6 +91,11 @@ def feature_lines(features: DataFrame) -> DataFrame:
     return rows.select("feat_no", tabbed("chrom", "type", "id", "strand", "start", "end", F.col("_s.start"), F.col("_s.end")).alias("line"))
 
 
+def chromosome_lines(features: DataFrame) -> DataFrame:
+    """(line): each chromosome's id and its number of features."""
+    return features.groupBy("chrom").agg(F.count("*").alias("n")).select(tabbed("chrom", "n").alias("line"))
+
+
 def annotated(rows: DataFrame) -> DataFrame:
     """(region_no, line): kept tokens, distance, relation, name, span, biotype; - where there is nothing."""
     name = F.coalesce("name", "id", F.lit("<No Name>")) if {"name", "id"} <= set(rows.columns) else F.lit("<No Name>")

@@ -12,14 +12,15 @@ from ..operators.sizes import small
 
 
 def read_lines(spark: SparkSession, *paths: str, numbered: bool = False) -> DataFrame:
-    """(file, value[, line_no]); numbers follow the order of files and of lines in them, without gathering them."""
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("file"), "value")
+    """(file, value[, line_no]); numbers follow the order of files by path and of lines in them, without gathering them."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
     if not numbered:
-        return lines
-    ids = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
-    first = ids.groupBy("_part").agg(F.count("*").alias("n"))  # one row for each split
-    before = first.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).select("_part", "_before")
-    return ids.join(small(before), "_part").select("file", "value", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("line_no"))
+        return lines.drop("_block")
+    # A split's lines have running ids; splits are put in the order of files and of places in them.
+    ids = lines.withColumn("_id", F.monotonically_increasing_id())
+    first = ids.groupBy("file", "_block").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))  # one row for each split
+    before = first.select("file", "_block", (F.sum("n").over(Window.orderBy("file", "_block")) - F.col("n") - F.col("_first") + 1).alias("_add"))
+    return ids.join(small(before), ["file", "_block"]).select("file", "value", (F.col("_id") + F.col("_add")).alias("line_no"))
 
 
 def fields(value: str = "value", sep: str = r"\s+") -> Column:
@@ -58,7 +59,7 @@ def sam(lines: DataFrame, longest: int | None = None, chromosomes: DataFrame | N
     """Alignments and their tags; @ lines are skipped; longest: bases that are kept of a read."""
     x = lines.where("not startswith(value, '@') and length(value) > 0").withColumn("_f", F.split("value", "\t"))
     columns = [F.expr(f"try_cast(_f[{i}] AS INT)").alias(n) if n in _SAM_INT else F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(SAM)]
-    made = x.where(f"size(_f) >= {len(SAM)}").select(*columns, F.expr(f"slice(_f, {len(SAM) + 1}, 10000)").alias("tags"))
+    made = x.where(f"size(_f) >= {len(SAM)}").select(*columns, F.expr(f"slice(_f, {len(SAM) + 1}, greatest(size(_f) - {len(SAM)}, 0))").alias("tags"))
     if longest is not None:
         made = made.withColumn("seq", F.substring("seq", 1, longest))
     return known(made, chromosomes, only)
@@ -154,17 +155,36 @@ def with_genes(features: DataFrame) -> DataFrame:
     return mrna.unionByName(gene).unionByName(rest)
 
 
+def _fasta_mark(lines: DataFrame) -> DataFrame:
+    """lines plus _mark, the number of the ##FASTA line of their file, null if there is none."""
+    by = ["file"] if "file" in lines.columns else []
+    mark = lines.where("startswith(value, '##FASTA')").groupBy(*by).agg(F.min("line_no").alias("_mark"))
+    return lines.join(small(mark), by, "left") if by else lines.crossJoin(F.broadcast(mark))  # one row
+
+
 def gff3(lines: DataFrame, types: tuple = ("gene", "mRNA", "CDS")) -> DataFrame:
-    """(chrom, feat_no, type, id, name, parent_id, strand, start, end, quals) of lines with a Name or ID; values are URL-decoded."""
+    """(chrom, feat_no, type, id, name, parent_id, strand, start, end, quals) of lines with a Name or ID; values are URL-decoded.
+
+    What follows a line ##FASTA are sequences, which gff3_sequences reads.
+    """
     from ..functions.sequences import url_decoded
 
-    rows = _nine(lines).where(F.col("type").isin(*types))
+    rows = _nine(_fasta_mark(lines).where("_mark is null or line_no < _mark")).where(F.col("type").isin(*types))
     quals = F.transform_values(F.str_to_map("attrs", F.lit(";"), F.lit("=")), lambda k, v: url_decoded(v))
     rows = rows.withColumn("quals", quals)
     get = lambda k: F.try_element_at("quals", F.lit(k))
     return rows.select("chrom", F.col("line_no").alias("feat_no"), "type", get("ID").alias("id"), get("Name").alias("name"), get("Parent").alias("parent_id"), "strand", "start", "end", "quals").where("id is not null or name is not null")
 
 
+def gff3_sequences(lines: DataFrame) -> DataFrame:
+    """(name, seq) of the sequences behind ##FASTA."""
+    rows = _fasta_mark(lines).where("line_no > _mark")
+    by = Window.partitionBy(*(["file"] if "file" in lines.columns else []))
+    head = F.max(F.when(F.col("value").startswith(">"), F.col("line_no"))).over(by.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    made = rows.withColumn("_head", head).where("_head is not null").groupBy("_head").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_l"))
+    return made.select(F.trim(F.expr("substring(_l[0].value, 2)")).alias("name"), F.array_join(F.transform(F.expr("slice(_l, 2, size(_l))"), lambda x: F.trim(x["value"])), "").alias("seq"))
+
+
 def with_parents(features: DataFrame) -> DataFrame:
     """Children with their parents' type and span."""
     p = features.select(F.col("chrom").alias("_c"), F.col("id").alias("_id"), F.col("type").alias("parent_type"), F.col("start").alias("parent_start"), F.col("end").alias("parent_end"))
