@@ -131,3 +131,13 @@ def pruned_chi_square(meth: np.ndarray, unmeth: np.ndarray, allowed: np.ndarray
             return float((((m[use] - e1) ** 2) / e1 + ((u[use] - e2) ** 2) / e2).sum()), int(use.sum()) - 1, int(use.sum())
         use = keep
     return 0.0, 0, int(use.sum())
+
+
+def fixed(x: Column, places: int) -> Column:
+    """x with so many places, rounded by its exact binary value, as C prints it; JVM formatting rounds decimal halves up."""
+
+    @F.pandas_udf(T.StringType())
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda y: None if pd.isna(y) else f"{y:.{places}f}")
+
+    return text(x.cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,12 +47,13 @@ class Finder:
                     for k in range(n):
                         for c in "ACGT":
                             self.prefix.setdefault(a[:k] + c + a[k + 1 : n], i)
+        self.longest = max(map(len, self.prefix), default=0)
         words = sorted({p[: how.shortest_prefix] for p in self.prefix}, key=len)
         self.start = re.compile(f"(?=({'|'.join(map(re.escape, words))}))") if words else None
 
     def identity(self, adaptor: str, rest: str) -> float:
         n = min(len(adaptor), len(rest))
-        return 100.0 * sum(a == b for a, b in zip(adaptor, rest, strict=False)) / n if n else 0.0
+        return 100.0 * sum(map(eq, adaptor, rest)) / n if n else 0.0
 
     def hits(self, read: str) -> list[tuple[int, int, int, float]]:
         """(start, length of the longest prefix, adaptor, identity) of the valid hits, by start."""
@@ -60,9 +62,9 @@ class Finder:
         up, found = read.translate(_UPPER), []  # places stay, whatever the characters
         for m in self.start.finditer(up, self.how.skip):
             s = m.start()
-            n = max(n for n in range(self.how.shortest_prefix, len(up) - s + 1) if up[s : s + n] in self.prefix)
+            n = next(n for n in range(min(len(up) - s, self.longest), 0, -1) if up[s : s + n] in self.prefix)
             i = self.prefix[up[s : s + n]]
-            same = self.identity(self.adaptors[i], up[s:])
+            same = self.identity(self.adaptors[i], up[s : s + len(self.adaptors[i])])
             over = len(up) - s - len(self.adaptors[i])
             if same >= self.how.identity and (not self.how.most_overhang or over <= self.how.most_overhang):
                 found.append((s, n, i, same))
@@ -81,12 +83,12 @@ class Finder:
                 begin = None
         return (best[0], min(best[1], end)) if best[1] >= 0 else (0, 0)
 
-    def span(self, read: str, quality: str | None) -> tuple[int, int, bool]:
-        """(start, end, valid) of what stays of a read."""
+    def span(self, read: str, quality: str | None, first: list[tuple[int, int, int, float]] | None = None) -> tuple[int, int, bool]:
+        """(start, end, valid) of what stays of a read; first: the hits of the whole read where they are known."""
         how, end, hit = self.how, len(read), False
         rounds = how.repeats if how.repeats >= 0 else len(read) + 1
-        for _ in range(max(1, rounds)):
-            found = self.hits(read[:end])
+        for i in range(max(1, rounds)):
+            found = first if first is not None and not i else self.hits(read[:end])
             if not found:
                 break
             hit, end = True, max(0, found[0][0] - how.trim_back)
@@ -110,8 +112,9 @@ def cleaned(reads: DataFrame, adaptors: list[str], how: Trim = Trim(), seq: str
         finder = Finder(adaptors, how)
         for p in batches:
             quals = p[qual] if qual else [None] * len(p)
-            spans = [finder.span(s or "", q) for s, q in zip(p[seq], quals, strict=True)]
-            hits = [[{"start": a, "length": n, "adaptor": i, "identity": x} for a, n, i, x in finder.hits(s or "")] for s in p[seq]]
+            found = [finder.hits(s or "") for s in p[seq]]
+            spans = [finder.span(s or "", q, f) for s, q, f in zip(p[seq], quals, found, strict=True)]
+            hits = [[{"start": a, "length": n, "adaptor": i, "identity": x} for a, n, i, x in f] for f in found]
             yield p.assign(trim_start=[s[0] for s in spans], trim_end=[s[1] for s in spans], valid=[s[2] for s in spans], hits=hits)
 
     ship(reads.sparkSession)

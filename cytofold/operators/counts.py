@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import proportion
+from ..functions.stats import fixed
 from .intervals import point_in_interval
 from .sizes import small
 
@@ -123,7 +124,7 @@ def cpg_percent(by_cpg: DataFrame, sample: int = 1) -> DataFrame:
     """(chrom, bin_id, slot, place, percent) of one sample's cpg_counts: methylated percent to two places, - without counts; slot 0 is Stray."""
     n = F.col("meth") + F.col("unmeth")
     place = F.when(F.col("slot") == 0, "Stray").otherwise(F.col("pos").cast("string"))
-    share = F.coalesce(F.format_string("%.2f", F.try_divide(100 * F.col("meth").cast("double"), n.cast("double"))), F.lit("-"))
+    share = F.coalesce(fixed(F.try_divide(100 * F.col("meth").cast("double"), n.cast("double")), 2), F.lit("-"))
     return by_cpg.where(F.col("sample_no") == sample).select("chrom", "bin_id", "slot", place.alias("place"), F.when(n > 0, share).otherwise("-").alias("percent"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.stats import fixed
+
 
 def chromosome(name: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), name) if prefix else name
@@ -13,7 +15,7 @@ def bin_prefix(prefix: str = "", hits: bool = True) -> list[Column]:
     """Columns chr, start, end, len, cpgs and, with hits, the bin's hits and hits a CpG (-1.00 without CpGs)."""
     per = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.when(F.col("n_cpg") > 0, F.col("n_cpg")).cast("double")), F.lit(-1.0))
     base = [chromosome(F.col("chrom"), prefix).alias("chr"), "start", "end", (F.col("end") - F.col("start") + 1).alias("len"), F.col("n_cpg").alias("cpgs")]
-    return [F.col(c) if isinstance(c, str) else c for c in base] + ([F.col("hits"), F.format_string("%.2f", per).alias("hits_per_cpg")] if hits else [])
+    return [F.col(c) if isinstance(c, str) else c for c in base] + ([F.col("hits"), fixed(per, 2).alias("hits_per_cpg")] if hits else [])
 
 
 def tabbed(*columns: Column | str) -> Column:
@@ -23,7 +25,7 @@ def tabbed(*columns: Column | str) -> Column:
 def pair_line(counts: bool = False) -> Column:
     """Proportions to 4 places, the fold to 2, the probability as %g; counts: each sample's m+/u- behind."""
     cells = [F.concat(F.col(f"meth_{i}").cast("string"), F.lit("+/"), F.col(f"unmeth_{i}").cast("string"), F.lit("-")) for i in (1, 2)] if counts else []
-    return F.concat_ws("\t", F.format_string("%.4f", "prop_1"), F.format_string("%.4f", "prop_2"), F.coalesce(F.format_string("%.2f", "fold"), F.lit("-")), F.col("greater"), general(F.col("p")), *cells)
+    return F.concat_ws("\t", fixed(F.col("prop_1"), 4), fixed(F.col("prop_2"), 4), F.coalesce(fixed(F.col("fold"), 2), F.lit("-")), F.col("greater"), general(F.col("p")), *cells)
 
 
 def general(x: Column) -> Column:
@@ -54,7 +56,7 @@ def reduced_fasta(fragments: DataFrame, width: int = 60) -> DataFrame:
     """(chrom, header, lines): a chromosome's fragments (start, seq) joined in order, as FASTA lines of one width."""
     made = fragments.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda f: f["seq"]), "").alias("seq"), F.count("*").alias("n"))
     header = F.format_string(">%srr reduced representation: %d bp in %d fragments", F.col("chrom"), F.length("seq"), F.col("n"))
-    return made.select("chrom", header.alias("header"), F.regexp_extract_all("seq", F.lit(f"(.{{1,{width}}})"), F.lit(1)).alias("lines"))
+    return made.select("chrom", header.alias("header"), F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1)).alias("lines"))
 
 
 def seqmonk(counts: DataFrame, bins: DataFrame) -> DataFrame:
