@@ -2,6 +2,7 @@
 
 import importlib
 
+import duckdb
 import pytest
 from cytofold.llm import queries
 from pyspark.sql import functions as F
@@ -37,6 +38,34 @@ def test_odd_rows(spark, odd, name):
     assert sorted({r.doc_id for r in rows}) == sorted([*range(40), *range(100, 108)])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_odd_values(spark, tmp_path, name):
+    """Null, empty, very long and equal texts, null sources and clashing columns: the values are those of the SQL."""
+    rows = [(i, f"Some words of document {i % 7} and more of the same kind here. " * (i % 4), ["en", "de", None][i % 3], ["a", "b", None][i % 3], None) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "a", 0), (102, "long words! " * 8000, "en", "a", 1), (103, "x" * 30_000, "de", "b", 1), (104, "\n" * 50, "en", "a", 1), (105, "tie tie", "en", "c", 1), (106, "tie tie", "en", "c", 1), (107, "été 🙂 ñ MIT License", "fr", "é", 1)]
+    at = write(spark, f"file://{tmp_path}/odd", rows, [])
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/odd/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    columns = sorted(want.columns)
+    got = queries.QUERIES[name](spark, at)
+    assert sorted(got.columns) == columns
+    order = lambda rows: sorted(map(plain, rows), key=lambda r: r[columns.index("doc_id")])
+    assert order(got.select(*columns).collect()) == order(want.project(", ".join(columns)).fetchall())
+
+
+def test_null_and_repeated_ids_have_values(spark, tmp_path):
+    rows = [(None, "a b c", "en", "s", 1), (None, "a b c", "en", "s", 1), (3, "a b c", "en", "s", 1), (3, None, None, None, 1)]
+    at = write(spark, f"file://{tmp_path}/ids", rows, [(3, 1, 0), (None, 1, 1)])
+    q = lambda name: sorted((tuple(r) for r in queries.QUERIES[name](spark, at).collect()), key=str)
+    assert sorted(r[1:4] for r in q("op5_exact_dedup")) == [(3, 1, True), (3, 3, False), (3, 3, False), (3, 3, True)]
+    assert {r[1] for r in q("op2_toxicity") if r[0] is None} == {True}  # crc32 of an empty text is 0
+    assert {r[1] for r in q("op3_language_id") if r[0] is None} == {False}
+    assert [r[4] for r in q("op8_mixing") if r[0] is None] == [q("op8_mixing")[-1][4]] * 2
+    assert all(r[2] == 3 for r in q("op10_simhash") if r[0] == 3)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
