@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import base_composition, motif_positions
+from .intervals import beside, point_in_interval, with_runs
 from .sizes import small
 
 
@@ -39,8 +39,7 @@ def motif_table(chunks: DataFrame, motif: str = "CG") -> DataFrame:
 def fragments(cuts: DataFrame, lengths: DataFrame, tail: bool = True) -> DataFrame:
     """(chrom, bin_id, start, end): from one cut to the next; the first starts at 1, the tail ends with the chromosome."""
     starts = lengths.select("chrom", F.lit(1).alias("start")).union(cuts.select("chrom", F.col("cut").alias("start"))).distinct()
-    order = Window.partitionBy("chrom").orderBy("start")
-    rows = starts.withColumn("_next", F.lead("start").over(order)).withColumn("bin_id", (F.row_number().over(order) - 1).cast("bigint")).join(lengths.select("chrom", "length"), "chrom")
+    rows = beside(starts.select("chrom", F.col("start").cast("int").alias("start")), "start", "_next", True, end="start", number="bin_id").join(lengths.select("chrom", "length"), "chrom")
     rows = rows.withColumn("end", F.coalesce(F.col("_next") - 1, F.col("length")).cast("int"))
     return (rows if tail else rows.where("_next is not null")).where("start <= end").select("chrom", "bin_id", F.col("start").cast("int").alias("start"), "end")
 
@@ -53,13 +52,11 @@ def digest(chunks: DataFrame, lengths: DataFrame, sites: list[str], shortest: in
 
 def with_cpgs(bins: DataFrame, cpgs: DataFrame, compat: bool = False) -> DataFrame:
     """Plus n_cpg: CpGs whose C lies in the bin; compat: one less in a chromosome's last bin, as the tools counted."""
-    from .intervals import point_in_interval
-
     counted = point_in_interval(cpgs.select("chrom", "pos"), bins.select("chrom", "bin_id", "start", "end")).groupBy("chrom", "bin_id").agg(F.count("*").cast("int").alias("n_cpg"))
     made = bins.join(counted, ["chrom", "bin_id"], "left").withColumn("n_cpg", F.coalesce("n_cpg", F.lit(0)))
     if compat:
-        last = F.col("bin_id") == F.max("bin_id").over(Window.partitionBy("chrom"))
-        made = made.withColumn("n_cpg", F.col("n_cpg") - F.when(last, 1).otherwise(0))
+        last = bins.groupBy("chrom").agg(F.max("bin_id").alias("_last"))
+        made = made.join(small(last), "chrom").withColumn("n_cpg", F.col("n_cpg") - F.when(F.col("bin_id") == F.col("_last"), 1).otherwise(0)).drop("_last")
     return made
 
 
@@ -117,23 +114,17 @@ def with_least_cpgs(bins: DataFrame, least: int = 1) -> DataFrame:
 
 def amalgamated(bins: DataFrame, least: int, weight: str = "n_cpg") -> DataFrame:
     """One pass from left to right: a bin takes in its adjacent successor if one of them has too few CpGs and both together
-    have enough; then the pass goes on behind it. (chrom, start, end, weight, merged)"""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        values = list(p.sort_values("start")[["chrom", "start", "end", weight]].itertuples(index=False, name=None))
-        rows, i = [], 0
-        while i < len(values):
-            chrom, start, end, n = values[i]
-            if i + 1 < len(values) and min(n, values[i + 1][3]) < least <= n + values[i + 1][3]:
-                rows.append((chrom, start, values[i + 1][2], n + values[i + 1][3], 2))
-                i += 2
-            else:
-                rows.append((chrom, start, end, n, 1))
-                i += 1
-        return pd.DataFrame(rows, columns=["chrom", "start", "end", weight, "merged"])
-
-    # Runs of adjacent bins are judged apart: no bin is merged over a gap.
-    order = Window.partitionBy("chrom").orderBy("start")
-    step = F.when(F.col("start") == F.lag("end").over(order) + 1, 0).otherwise(1)
-    runs = bins.select("chrom", F.col("start").cast("int"), F.col("end").cast("int"), F.col(weight).cast("bigint").alias(weight)).withColumn("_step", step).withColumn("_run", F.sum("_step").over(order))
-    return runs.groupBy("chrom", "_run").applyInPandas(run, f"chrom string, start int, end int, {weight} bigint, merged int")
+    have enough; then the pass goes on behind it. (chrom, start, end, weight, merged)
+
+    Where two neighbours can't be taken together the pass starts anew, whatever was before; in a stretch of bins that each
+    could be taken together with the next one it takes the first with the second, the third with the fourth and so on.
+    """
+    rows = bins.select("chrom", F.col("start").cast("int"), F.col("end").cast("int"), F.col(weight).cast("bigint").alias(weight))
+
+    def fits(prev: Column) -> Column:
+        return (F.col("start") == prev["end"] + 1) & (F.least(prev[weight], F.col(weight)) < least) & (prev[weight] + F.col(weight) >= least)
+
+    runs = with_runs(rows, fits, ("end", weight))
+    pair = F.floor((F.row_number().over(Window.partitionBy("chrom", "_run").orderBy("start", "end")) - 1) / 2)
+    made = runs.withColumn("_pair", pair).groupBy("chrom", "_run", "_pair")
+    return made.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(weight).alias(weight), F.count("*").cast("int").alias("merged")).drop("_run", "_pair")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import bisulphite_mismatches, reverse_complement, upper
 from .bins import region_sequences
-from .intervals import point_in_interval
+from .intervals import beside, point_in_interval
 
 #: The flag bit of reads on the reverse strand (fixed value).
 REVERSE = 16
@@ -103,8 +103,7 @@ def classified(reads: DataFrame, fragments: DataFrame) -> DataFrame:
     """reads (read_id, chrom, start, end, strand) plus class, by the first fragment that doesn't end before the read; unmapped without one."""
     f = fragments.select("chrom", F.col("start").alias("lo"), F.col("end").alias("hi"))
     # The first fragment whose end isn't before the read's start: the stretch from the end before to its own end holds the start.
-    order = Window.partitionBy("chrom").orderBy("lo")
-    reach = f.withColumn("from", F.coalesce(F.lag("hi").over(order), F.lit(0)) + 1)
+    reach = beside(f, "hi", "_before", False, start="lo", end="hi").withColumn("from", F.coalesce("_before", F.lit(0)) + 1).drop("_before")
     found = point_in_interval(reads, reach, pos="start", start="from", end="hi", how="left")
     known = F.when(F.col("lo").isNull(), "unmapped").otherwise(fragment_class(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"), F.col("strand") == "-"))
     return found.withColumn("class", F.when(known.isin("5prime_of", "3prime_of"), "unmapped").otherwise(known)).drop("from", "lo", "hi")

@@ -3,7 +3,7 @@
 Spark has no range join, so each side gets an equality key. An interval is put on the level whose cells, 8 to the power
 of the level, are at least an eighth of its length, and into the at most 9 cells that it touches; a point looks into
 one cell on each level that occurs. Long intervals so cost no more than short ones and no cell gets them all.
-Levels that occur are at most eleven small numbers; they are the only thing read ahead.
+Levels that occur are at most eleven small numbers, which a subquery of the same plan finds.
 
 Nearest neighbours: the best feature beyond a point is found inside the point's block and, for blocks beyond, from one
 row for each block, so no task sees a whole chromosome.
@@ -11,8 +11,11 @@ row for each block, so no task sees a whole chromosome.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Bases of a block; rows of a chromosome are ordered by block, and over its blocks goes one row for each.
 BLOCK = 1 << 16
 
 
@@ -27,8 +30,9 @@ def _cells(df: DataFrame, start: str, end: str) -> DataFrame:
     return leveled.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def levels(intervals: DataFrame, start: str = "start", end: str = "end") -> list[int]:
-    return sorted(r.l for r in intervals.where(F.col(start) <= F.col(end)).select(_level(F.col(end) - F.col(start) + 1).alias("l")).distinct().collect())
+def levels(intervals: DataFrame, start: str = "start", end: str = "end") -> Column:
+    """The levels that occur, at most eleven, as an array: a subquery that runs with the plan that holds it."""
+    return intervals.agg(F.collect_set(_level(F.col(end) - F.col(start) + 1)).alias("l")).scalar()
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, pos: str = "pos", by: str = "chrom", start: str = "start", end: str = "end", how: str = "inner") -> DataFrame:
@@ -37,10 +41,8 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, pos: str = "pos",
     Intervals keep their columns but by. Names must not occur on both sides. Empty intervals (start > end) hold nothing.
     """
     real = intervals.where(F.col(start) <= F.col(end))
-    found = levels(real, start, end)
-    if not found:
-        found = [0]
-    probe = points.withColumn("_probe", F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col(pos) / float(8**n)).alias("cell")) for n in found))))
+    probe = points.withColumn("_at", F.explode(levels(real, start, end)))
+    probe = probe.withColumn("_probe", F.struct(F.col("_at").alias("level"), F.floor(F.col(pos) / F.pow(F.lit(8.0), F.col("_at"))).alias("cell"))).drop("_at")
     cells = _cells(real, start, end).withColumnRenamed(by, "_by")
     on = (probe[by] == cells["_by"]) & (F.col("_probe.level") == F.col("_level")) & (F.col("_probe.cell") == F.col("_cell")) & F.col(pos).between(F.col(start), F.col(end))
     if how == "inner":
@@ -91,25 +93,71 @@ def best_beyond(points: DataFrame, features: DataFrame, at: str, anchor: str, sc
     return points.join(best, (points[by] == best["_by"]) & (points[at] == best["_place"]), "left").drop("_by", "_place")
 
 
+def _in_blocks(df: DataFrame, by: str, start: str, end: str, block: int) -> tuple[DataFrame, Window]:
+    """df (rows with a chromosome and a start) with their block, and the order of a block's rows."""
+    rows = df.where(F.col(by).isNotNull() & F.col(start).isNotNull()).withColumn("_block", F.floor(F.col(start) / block))
+    return rows, Window.partitionBy(by, "_block").orderBy(start, end)
+
+
+def with_runs(df: DataFrame, continues: Callable[[Column], Column], carry: tuple = ("end",), by: str = "chrom", start: str = "start", end: str = "end", into: str = "_run", block: int = BLOCK) -> DataFrame:
+    """df with the number of each row's run on its chromosome, in order of start and end.
+
+    A row goes on with the run of the row before if continues(that row's struct of carry) holds. Rows are looked at by
+    block; over a chromosome's blocks go one row for each block. Rows without a chromosome or start are left out.
+    """
+    rows, order = _in_blocks(df, by, start, end, block)
+    kept = F.struct(*carry)
+    rows = rows.withColumn("_prev", F.lag(kept).over(order))
+    apart = F.when(F.col("_prev").isNotNull() & ~F.coalesce(continues(F.col("_prev")), F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("_local", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct(F.col(start).alias("a"), F.col(end).alias("b"))
+    sums = rows.groupBy(by, "_block").agg(F.min_by(F.struct(*dict.fromkeys((start, *carry))), place).alias("_first"), F.max_by(kept, place).alias("_last"), F.max("_local").alias("_within"))
+    along = Window.partitionBy(by).orderBy("_block")
+    edges = sums.withColumn("_prev", F.lag("_last").over(along)).select(by, "_block", "_prev", "_within", "_first.*")
+    edges = edges.withColumn("_opens", F.when(F.col("_prev").isNotNull() & F.coalesce(continues(F.col("_prev")), F.lit(False)), 0).otherwise(1))
+    done = F.sum(F.col("_opens") + F.col("_within")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_within")
+    return rows.join(edges.select(by, "_block", done.alias("_done")), [by, "_block"]).withColumn(into, F.col("_done") + F.col("_local")).drop("_block", "_prev", "_local", "_done")
+
+
 def merge_runs(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", sums: tuple = ()) -> DataFrame:
     """Runs of adjacent intervals (start = end before + 1) as one each; sums: columns that are added up."""
-    order = Window.partitionBy(by).orderBy(start)
-    step = F.when(F.col(start) == F.lag(end).over(order) + 1, 0).otherwise(1)
-    runs = df.withColumn("_step", step).withColumn("_run", F.sum("_step").over(order))
+    runs = with_runs(df, lambda prev: F.col(start) == prev[end] + 1, (end,), by, start, end)
     return runs.groupBy(by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged"), *(F.sum(c).alias(c) for c in sums)).drop("_run")
 
 
-def gaps(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+def gaps(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", block: int = BLOCK) -> DataFrame:
     """Stretches between one interval and the next; none before the first and behind the last."""
-    order = Window.partitionBy(by).orderBy(start)
-    return df.select(by, (F.col(end) + 1).alias(start), (F.lead(start).over(order) - 1).alias(end)).where(F.col(start) <= F.col(end))
+    rows, order = _in_blocks(df, by, start, end, block)
+    place = F.struct(F.col(start).alias("a"), F.col(end).alias("b"))
+    inner = rows.select(by, F.col(end).alias("_end"), F.lead(start).over(order).alias("_next"))
+    sums = rows.groupBy(by, "_block").agg(F.min(start).alias("_first"), F.max_by(end, place).alias("_end"))
+    between = sums.select(by, "_end", F.lead("_first").over(Window.partitionBy(by).orderBy("_block")).alias("_next"))
+    return inner.union(between).select(by, (F.col("_end") + 1).alias(start), (F.col("_next") - 1).alias(end)).where(F.col(start) <= F.col(end))
 
 
-def rebased(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+def rebased(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", block: int = BLOCK) -> DataFrame:
     """Plus new_start and new_end: the intervals put end to end from 1."""
-    order = Window.partitionBy(by).orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
-    new_end = F.sum(F.col(end) - F.col(start) + 1).over(order)
-    return df.withColumn("new_start", new_end - (F.col(end) - F.col(start) + 1) + 1).withColumn("new_end", new_end)
+    rows, order = _in_blocks(df, by, start, end, block)
+    size = F.col(end) - F.col(start) + 1
+    rows = rows.withColumn("_upto", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = rows.groupBy(by, "_block").agg(F.sum(size).alias("_size"))
+    carried = sums.select(by, "_block", (F.sum("_size").over(Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_done"))
+    made = rows.join(carried, [by, "_block"]).withColumn("new_end", F.col("_done") + F.col("_upto"))
+    return made.withColumn("new_start", F.col("new_end") - size + 1).select(*df.columns, "new_start", "new_end")
+
+
+def beside(df: DataFrame, value: str, into: str, after: bool, by: str = "chrom", start: str = "start", end: str = "end", number: str | None = None, block: int = BLOCK) -> DataFrame:
+    """df with into: value (never null) of the row before, or after, in order of start and end; number: the row's place from 0."""
+    rows, order = _in_blocks(df, by, start, end, block)
+    place = F.struct(F.col(start).alias("a"), F.col(end).alias("b"))
+    near, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    rows = rows.withColumn("_near", near(value).over(order)).withColumn("_local", F.row_number().over(order))
+    sums = rows.groupBy(by, "_block").agg(edge(value, place).alias("_edge"), F.count("*").alias("_n"))
+    along = Window.partitionBy(by).orderBy("_block")
+    carried = sums.select(by, "_block", near("_edge").over(along).alias("_edge"), (F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_done"))
+    made = rows.join(carried, [by, "_block"]).withColumn(into, F.coalesce("_near", "_edge"))
+    named = [(F.col("_done") + F.col("_local") - 1).cast("bigint").alias(number)] if number else []
+    return made.select(*df.columns, into, *named)
 
 
 def adjacent(prev_end: Column, start: Column) -> Column:

@@ -230,3 +230,40 @@ def test_regions_and_reads_over_many_chunks(spark, size):
     reads = spark.createDataFrame([(1, "T", 1, 0, T), (2, "T", 1, 16, T)], "read_id bigint, chrom string, pos int, flag int, seq string")
     cpgs = [i + 1 for i in range(len(T)) if T[i : i + 2].upper() == "CG"]
     assert sorted((x.read_id, x.pos) for x in calling.read_calls(reads, small).collect()) == [(k, p) for k in (1, 2) for p in cpgs]
+
+
+def test_runs_across_blocks(spark):
+    """Blocks of a few bases give what one block gives, ties and gaps included."""
+    spans = [("a", 1, 4), ("a", 5, 9), ("a", 10, 30), ("a", 31, 31), ("a", 40, 41), ("a", 42, 80), ("b", 3, 3), ("b", 3, 3), ("b", 4, 6), ("b", 90, 95)]
+    df = spark.createDataFrame(spans, "chrom string, start int, end int")
+    goes_on = lambda prev: F.col("start") == prev["end"] + 1
+    for made in (
+        lambda n: intervals.with_runs(df, goes_on, block=n),
+        lambda n: intervals.gaps(df, block=n),
+        lambda n: intervals.rebased(df, block=n),
+        lambda n: intervals.beside(df, "end", "near", False, number="no", block=n),
+        lambda n: intervals.beside(df, "start", "near", True, block=n),
+    ):
+        assert sorted(map(repr, made(3).collect())) == sorted(map(repr, made(1 << 16).collect()))
+    assert sorted((r.chrom, r._run) for r in intervals.with_runs(df, goes_on, block=3).collect()) == [("a", 1)] * 4 + [("a", 2)] * 2 + [("b", 1), ("b", 2), ("b", 2), ("b", 3)]
+
+
+def test_amalgamated_like_one_pass(spark):
+    rng = random.Random(5)
+    spans, at = [], 1
+    for _ in range(400):
+        at += rng.choice((0, 0, 0, 0, 7))
+        size = rng.randint(1, 90)
+        spans.append(("a", at, at + size - 1, rng.randint(0, 5)))
+        at += size
+    want, i = [], 0
+    while i < len(spans):
+        _, start, end, n = spans[i]
+        if i + 1 < len(spans) and spans[i + 1][1] == end + 1 and min(n, spans[i + 1][3]) < 4 <= n + spans[i + 1][3]:
+            want.append((start, spans[i + 1][2], n + spans[i + 1][3], 2))
+            i += 2
+        else:
+            want.append((start, end, n, 1))
+            i += 1
+    made = bins.amalgamated(spark.createDataFrame(spans, "chrom string, start int, end int, n_cpg int"), 4)
+    assert sorted((r.start, r.end, r.n_cpg, r.merged) for r in made.collect()) == want
