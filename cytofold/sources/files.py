@@ -1,20 +1,23 @@
 """Files that aren't lines: sequence files, reads, BAM and annotation flat files.
 
-register(spark) makes seqfile, reads, bam and flatfile formats of spark.read. A file is one partition and is streamed
-(a compressed one can't be split); many files are read side by side. Paths are such that executors can open them,
-one or more parted by commas, * allowed.
+register(spark) makes seqfile, reads, bam and flatfile formats of spark.read. BAM files are split at their blocks; a file
+of another format is one partition and is streamed. Many files are read side by side. Paths are one or more parted by
+commas, with *, ? and [] or folders, local or of any store that pyarrow.fs opens (s3, gs, hdfs, …).
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import io
+import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,18 +26,49 @@ from pyspark.sql.types import StructType
 from .. import ship
 
 
+def store(path: str) -> tuple[stores.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path:
+        return stores.FileSystem.from_uri(path)
+    return stores.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of a folder's files or of those that a pattern names, sorted."""
+    at, inside = store(path)
+    prefix = path.removesuffix(inside) if "://" in path else ""
+    info = at.get_file_info(inside)
+    if info.type == stores.FileType.File:
+        return [(path, info.size)]
+    parts = inside.split("/")
+    fixed = next((i for i, x in enumerate(parts) if re.search(r"[*?\[]", x)), len(parts))
+    wanted = parts[fixed:] or ["*"]
+    found = at.get_file_info(stores.FileSelector("/".join(parts[:fixed]) or "/", allow_not_found=True, recursive=len(wanted) > 1))
+    fits = lambda p: len(p) == len(wanted) and all(map(fnmatch.fnmatchcase, p, wanted))
+    hits = sorted((prefix + f.path, f.size) for f in found if f.type == stores.FileType.File and fits(f.path.split("/")[fixed:]))
+    if not hits:
+        raise FileNotFoundError(path)
+    return hits
+
+
 class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """Bytes start to end of a file: all of it where the format can't be split."""
+
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
 class Reader(DataSourceReader):
+    #: Bytes of a partition; 0: a file is one.
+    split = 0
+
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[File]:
-        found = [f for p in self.options["path"].split(",") for f in sorted(glob.glob(p.strip())) or [p.strip()]]
-        return [File(p.removeprefix("file://")) for p in found]
+        step = int(self.options.get("split", self.split)) if self.split else 0
+        files = [f for p in self.options["path"].split(",") for f in listed(p.strip())]
+        return [File(p, a, min(a + step, n) if step else n) for p, n in files for a in (range(0, n, step) if step else [0])]
 
     def rows(self, path: str) -> Iterator[tuple]:
         raise NotImplementedError
@@ -45,9 +79,11 @@ class Reader(DataSourceReader):
 
 def opened(path: str):
     """A text file, unpacked if it is gzip."""
-    with open(path, "rb") as f:
-        packed = f.read(2) == b"\x1f\x8b"
-    return gzip.open(path, "rt", errors="replace") if packed else open(path, errors="replace")
+    at, inside = store(path)
+    f = at.open_input_file(inside)
+    packed = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=f) if packed else io.BufferedReader(f), errors="replace")
 
 
 # Sequence files.
@@ -183,45 +219,222 @@ def tags(data: bytes) -> dict[str, str]:
     return out
 
 
-def bam_records(stream) -> Iterator[tuple]:
-    """Alignments of an unpacked BAM stream; positions are 1-based."""
+def bam_header(stream) -> tuple[list[str], list[int]]:
+    """Names and lengths of the references of an unpacked BAM stream, which stands at its first alignment then."""
     if stream.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     number = lambda: struct.unpack("<i", stream.read(4))[0]
     stream.read(number())
-    refs = []
+    names, lengths = [], []
     for _ in range(number()):
-        refs.append(stream.read(number())[:-1].decode())
-        number()
+        names.append(stream.read(number())[:-1].decode())
+        lengths.append(number())
+    return names, lengths
+
+
+def bam_row(data: bytes, refs: list[str]) -> tuple:
+    """An alignment's row from its bytes behind their number; positions are 1-based."""
     named = lambda i: refs[i] if i >= 0 else "*"
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
+    at = 32
+    name = data[at : at + n_name - 1].decode()
+    at += n_name
+    cigar = "".join(f"{c >> 4}{OPERATIONS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", data, at)) or "*"
+    at += 4 * n_cigar
+    packed = data[at : at + (n_seq + 1) // 2]
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq] or "*"
+    at += (n_seq + 1) // 2
+    qual = data[at : at + n_seq]
+    at += n_seq
+    text = "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual)
+    return name, flag, named(ref), pos + 1, mapq, cigar, "=" if next_ref == ref and ref >= 0 else named(next_ref), next_pos + 1, tlen, seq, text, tags(data[at:])
+
+
+def bam_records(stream) -> Iterator[tuple]:
+    """Alignments of an unpacked BAM stream."""
+    refs = bam_header(stream)[0]
     while len(size := stream.read(4)) == 4:
-        data = stream.read(struct.unpack("<i", size)[0])
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
-        at = 32
-        name = data[at : at + n_name - 1].decode()
-        at += n_name
-        cigar = "".join(f"{c >> 4}{OPERATIONS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", data, at)) or "*"
-        at += 4 * n_cigar
-        packed = data[at : at + (n_seq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq] or "*"
-        at += (n_seq + 1) // 2
-        qual = data[at : at + n_seq]
-        at += n_seq
-        text = "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual)
-        yield name, flag, named(ref), pos + 1, mapq, cigar, "=" if next_ref == ref and ref >= 0 else named(next_ref), next_pos + 1, tlen, seq, text, tags(data[at:])
+        data = stream.read(n := struct.unpack("<i", size)[0])
+        if len(data) < n:
+            raise ValueError("an alignment is cut short")
+        yield bam_row(data, refs)
+
+
+class Ahead:
+    """A file that is read a megabyte at a time, so that a store gets few requests."""
+
+    def __init__(self, f):
+        self.f, self.at, self.data = f, 0, b""
+
+    def size(self) -> int:
+        return self.f.size()
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.data):
+            self.at, self.data = at, self.f.read_at(max(n, 1 << 20), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+def block(f, at: int) -> tuple[bytes, int] | None:
+    """What the BGZF block at a place of a file holds and where the next one begins; None if there is no whole block."""
+    head = f.read_at(12, at)
+    if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    more = struct.unpack_from("<H", head, 10)[0]
+    extra, i, size = f.read_at(more, at + 12), 0, 0
+    while i + 4 <= len(extra):
+        kind, n = extra[i : i + 2], struct.unpack_from("<H", extra, i + 2)[0]
+        if kind == b"BC" and n == 2 and i + 6 <= len(extra):
+            size = struct.unpack_from("<H", extra, i + 4)[0] + 1
+        i += 4 + n
+    if size < more + 20:
+        return None
+    data = f.read_at(size - more - 12, at + 12 + more)
+    try:
+        made = zlib.decompress(data[:-8], -15)
+    except zlib.error:
+        return None
+    return (made, at + size) if len(data) == size - more - 12 and struct.unpack("<II", data[-8:]) == (zlib.crc32(made), len(made)) else None
+
+
+class Blocks:
+    """The bytes of a file's blocks from one on, as a stream; own() tells whether its place is in a block that begins before end."""
+
+    def __init__(self, f, at: int, end: int):
+        self.f, self.next, self.end, self.size = f, at, end, f.size()
+        self.held, self.at, self.loaded, self.limit = bytearray(), 0, 0, None
+        self.begins: list[tuple[int, int]] = []  # (bytes before, place in the file) of the blocks that are held
+
+    def fill(self) -> bool:
+        if self.next >= self.size:
+            return False
+        found = block(self.f, self.next)
+        if found is None:
+            raise ValueError(f"no whole block at byte {self.next}")
+        if self.limit is None and self.next >= self.end:
+            self.limit = self.loaded
+        if self.at > 1 << 20:
+            del self.held[: self.at]
+            self.at = 0
+            self.begins = [x for x in self.begins if x[0] >= self.place() - (1 << 16)]
+        self.begins.append((self.loaded, self.next))
+        self.held += found[0]
+        self.loaded, self.next = self.loaded + len(found[0]), found[1]
+        return True
+
+    def place(self) -> int:
+        return self.loaded - len(self.held) + self.at
+
+    def peek(self, n: int, skip: int = 0) -> bytes:
+        while len(self.held) - self.at < skip + n and self.fill():
+            pass
+        return bytes(self.held[self.at + skip : self.at + skip + n])
+
+    def read(self, n: int) -> bytes:
+        data = self.peek(n)
+        self.at += len(data)
+        return data
+
+    def own(self) -> bool:
+        while self.place() == self.loaded:
+            if not self.fill():
+                return False
+        return self.limit is None or self.place() < self.limit
+
+    def where(self) -> tuple[int, int]:
+        """(place of the block in the file, place in the block); the file's size at its end."""
+        while self.place() == self.loaded:
+            if not self.fill():
+                return self.size, 0
+        before, at = max(x for x in self.begins if x[0] <= self.place())
+        return at, self.place() - before
+
+
+#: Alignments in a row that must make sense where one is taken to begin.
+CHAIN = 8
+
+
+def begins_here(blocks: Blocks, skip: int, lengths: list[int]) -> bool:
+    """Whether alignments begin skip bytes on: each one's numbers, name and size make sense, up to CHAIN or the file's end."""
+    for _ in range(CHAIN):
+        data = blocks.peek(36, skip)
+        if not data:
+            return True
+        if len(data) < 36:
+            return False
+        size, ref, pos, n_name, _, _, n_cigar, _, n_seq, next_ref, next_pos = struct.unpack_from("<iiiBBHHHiii", data)
+        for r, p in ((ref, pos), (next_ref, next_pos)):
+            if not -1 <= r < len(lengths) or not -1 <= p <= (lengths[r] if r >= 0 else 1 << 31):
+                return False
+        if n_name < 1 or n_seq < 0 or size < 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq:
+            return False
+        name = blocks.peek(n_name, skip + 36)
+        if len(name) < n_name or name[-1] or any(not 33 <= c <= 126 for c in name[:-1]):
+            return False
+        skip += 4 + size
+    return True
+
+
+def bam_split(f, start: int, end: int) -> Iterator[tuple]:
+    """Alignments that begin in blocks which begin at bytes start to end of a BGZF file; all its splits together give each once.
+
+    A block is known by its checksum. Behind the header's end the first alignment is looked for by begins_here(); an
+    alignment that makes no sense later on raises, so nothing is lost in silence.
+    """
+    f = Ahead(f)
+    head = Blocks(f, 0, f.size())
+    names, lengths = bam_header(head)
+    first, inside = head.where()
+    if end <= first:
+        return
+    at, guess = (first, False) if start <= first else (start, True)
+    if guess:
+        while at < end:
+            near = f.read_at(min(1 << 16, end - at) + 3, at)
+            i = near.find(b"\x1f\x8b\x08\x04")
+            if i >= 0 and block(f, at + i) is not None:
+                at += i
+                break
+            at += i + 1 if i >= 0 else max(len(near) - 3, 1)
+        if at >= end:
+            return
+    stream = Blocks(f, at, end)
+    if not guess:
+        stream.read(inside)
+    while guess and stream.own():
+        if begins_here(stream, 0, lengths):
+            break
+        stream.at += 1
+    while stream.own():
+        n = struct.unpack("<i", stream.read(4).ljust(4, b"\0"))[0]
+        data = stream.read(n) if n >= 32 else b""
+        if n < 32 or len(data) < n:
+            raise ValueError("not an alignment, or one that is cut short")
+        yield bam_row(data, names)
 
 
 class BamReader(Reader):
-    def rows(self, path: str) -> Iterator[tuple]:
+    split = 64 << 20
+
+    def read(self, partition: File) -> Iterator[tuple]:
         unplaced = self.options.get("unplaced", "false").lower() == "true"
-        with gzip.open(path, "rb") as f:  # BGZF is a row of gzip members
-            for row in bam_records(f):
+        at, inside = store(partition.path)
+        with at.open_input_file(inside) as f:
+            if block(f, 0) is not None:
+                found = bam_split(f, partition.start, partition.end)
+            elif partition.start:  # plain gzip or unpacked: the first partition reads it all
+                return
+            else:
+                packed = f.read_at(2, 0) == b"\x1f\x8b"
+                f.seek(0)
+                found = bam_records(gzip.GzipFile(fileobj=f) if packed else f)
+            for row in found:
                 if unplaced or row[2] != "*":
                     yield row
 
 
 class Bam(DataSource):
-    """Option unplaced: alignments without a reference, too."""
+    """Options unplaced: alignments without a reference, too; split: bytes of a partition."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,5 +1,7 @@
 import gzip
+import io
 import struct
+import zlib
 
 import pytest
 from cytofold.sources import files, sinks, tables
@@ -120,6 +122,48 @@ def test_bam(spark, at):
     assert spark.read.format("bam").option("unplaced", "true").load(f"{at}/x.bam").count() == 2
 
 
+def blocked(data, size):
+    """data as BGZF blocks of some bytes each, the empty last one included."""
+    out = []
+    for part in [data[i : i + size] for i in range(0, len(data), size)] + [b""]:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out.append(b"\x1f\x8b\x08\4" + b"\0" * 5 + b"\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out)
+
+
+def test_bam_in_splits(spark, at):
+    """Each alignment comes once, whatever the blocks and the splits are: records that cross blocks, a header of many blocks."""
+
+    def record(i):
+        name, n = f"read{i}", 700 if i == 50 else 1 + i % 40
+        body = struct.pack("<iiBBHHHiiii", i % 30, i * 7, len(name) + 1, 9, 0, 1, 0, n, -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", n << 4) + bytes((i + k) % 256 for k in range((n + 1) // 2)) + bytes([30] * n) + b"NMC" + bytes([i % 200])
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 30) + b"".join(struct.pack("<i", 4) + f"c{i:02}".encode() + b"\0" + struct.pack("<i", 10**6) for i in range(30))
+    data = head + b"".join(map(record, range(300)))
+    want = list(files.bam_records(io.BytesIO(data)))
+    assert len(want) == 300
+    for size in (61, 500, 60000):
+        path = at / f"blocks{size}.bam"
+        path.write_bytes(blocked(data, size))
+        whole = path.stat().st_size
+        store, inside = files.store(str(path))
+        with store.open_input_file(inside) as f:
+            for step in (97, 1000, whole):
+                assert [r for a in range(0, whole, step) for r in files.bam_split(f, a, min(a + step, whole))] == want, (size, step)
+    r = spark.read.format("bam").option("split", 700).load(f"file://{at}/blocks*.bam")
+    assert r.count() == 900 and r.rdd.getNumPartitions() > 30
+    assert r.select("qname").distinct().count() == 300
+    broken = bytearray((at / "blocks500.bam").read_bytes())
+    broken[len(broken) // 2] ^= 255
+    (at / "broken.bam").write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="no whole block"):
+        spark.read.format("bam").load(f"{at}/broken.bam").count()
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("bam").load(f"{at}/nowhere.bam").count()
+
+
 def test_flat_files(spark, at):
     assert files.location("complement(join(10..20,30..40))") == ("-", [(10, 20, "-"), (30, 40, "-")])
     assert files.location("join(1..5,complement(8..<9),J00194.1:100)") == ("+", [(1, 5, "+"), (8, 9, "-"), (100, 100, "+")])
