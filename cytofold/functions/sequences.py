@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -74,6 +75,42 @@ def motif_positions(seq: Column, motif: str, skip_others: bool = False) -> Colum
     return found(seq)
 
 
+def motif_hits(seq: Column, motifs: list[str], skip_others: bool = False) -> Column:
+    """Of many motifs at once the longest that ends at each base: array of (start, end, motif), 1-based, in any case.
+
+    One pass of an automaton over all motifs; ambiguous ones stand for each of their plain forms. skip_others: characters
+    that aren't bases don't break a motif.
+    """
+    plain: dict[str, str] = {}
+    for motif in motifs:
+        for form in product(*(BASES.get(c, c) for c in motif.upper())):
+            plain.setdefault("".join(form), motif)
+
+    @F.pandas_udf("array<struct<start:int,end:int,motif:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for form, motif in plain.items():
+            automaton.add_word(form, (len(form), motif))
+        if plain:
+            automaton.make_automaton()
+
+        def hits(text: str | None) -> list[dict]:
+            up = re.sub("[a-z]+", lambda m: m[0].upper(), text or "").replace("U", "T")
+            places = [i for i, c in enumerate(up) if c in "ACGT"] if skip_others else range(len(up))
+            if skip_others:
+                up = "".join(up[i] for i in places)
+            longest: dict[int, tuple[int, str]] = {}
+            for end, hit in automaton.iter(up) if plain else ():
+                longest[end] = max(longest.get(end, hit), hit, key=lambda x: x[0])
+            return [{"start": places[end - n + 1] + 1, "end": places[end] + 1, "motif": motif} for end, (n, motif) in sorted(longest.items())]
+
+        return texts.map(hits)
+
+    return found(seq)
+
+
 def motif_count(seq: Column, motif: str) -> Column:
     return F.regexp_count(upper(seq), F.lit(f"(?={iub_pattern(motif)})"))
 

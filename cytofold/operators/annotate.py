@@ -116,6 +116,48 @@ def spliced_length(segments: Column) -> Column:
     return F.aggregate(segments, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"] + 1)
 
 
+def segment_of(segments: Column, pos: Column) -> Column:
+    """The place, from 0, of the first segment that holds a position; -1 if none does."""
+    held = F.transform(segments, lambda g, i: F.when(pos.between(g["start"], g["end"]), i))
+    return F.coalesce(F.array_min(held), F.lit(-1))
+
+
+def introns_between(segments: Column, a: Column, b: Column) -> Column:
+    """Introns from one position to another; 0 unless both are on segments."""
+    i, j = segment_of(segments, a), segment_of(segments, b)
+    return F.when((i >= 0) & (j >= 0), F.abs(i - j)).otherwise(0)
+
+
+def introns_beyond(segments: Column, pos: Column, strand: Column, to_3p: bool = True) -> Column:
+    """Introns from a position's segment to the feature's 3' (or 5') end; 0 off the segments."""
+    i = segment_of(segments, pos)
+    last = (strand != "-") if to_3p else (strand == "-")
+    return F.when(i < 0, 0).when(last, F.size(segments) - 1 - i).otherwise(i)
+
+
+def spliced_distance(segments: Column, pos: Column, strand: Column, from_3p: bool = False) -> Column:
+    """Bases of the segments from the feature's 5' (or 3') end to a position, both included; -1 off the segments."""
+    low = (strand == "-") if from_3p else (strand != "-")
+    upto = F.transform(segments, lambda g: F.when(low, F.least(g["end"], pos) - g["start"] + 1).otherwise(g["end"] - F.greatest(g["start"], pos) + 1))
+    bases = F.aggregate(upto, F.lit(0).cast("bigint"), lambda n, x: n + F.greatest(x, F.lit(0)))
+    return F.when(segment_of(segments, pos) < 0, F.lit(-1).cast("bigint")).otherwise(bases)
+
+
+def same_splicing(outer: Column, inner: Column) -> Column:
+    """Whether inner segments are spliced as the outer ones over their range: both ends on outer segments, introns alike."""
+    first, last = F.get(inner, F.lit(0))["start"], F.get(inner, F.size(inner) - 1)["end"]
+    bare = lambda x: F.transform(x, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end")))
+    within = F.filter(bare(introns(outer)), lambda g: (g["end"] >= first) & (g["start"] <= last))
+    return (segment_of(outer, first) >= 0) & (segment_of(outer, last) >= 0) & (within == bare(introns(inner)))
+
+
+def feature_overlap(segments: Column, lo: Column, hi: Column, strand: Column, in_lo: Column, in_hi: Column) -> Column:
+    """How a feature lies in another whose segments hold both its ends: abuts, 5p_abut, 3p_abut, included; else none."""
+    five, three = F.when(strand == "-", in_hi == hi).otherwise(in_lo == lo), F.when(strand == "-", in_lo == lo).otherwise(in_hi == hi)
+    held = (segment_of(segments, in_lo) >= 0) & (segment_of(segments, in_hi) >= 0) & in_lo.between(lo, hi) & in_hi.between(lo, hi)
+    return F.when(~held, "none").when(five & three, "abuts").when(five, "5p_abut").when(three, "3p_abut").otherwise("included")
+
+
 def upstream_of(genes: DataFrame, others: DataFrame) -> DataFrame:
     """genes (feat_no, chrom, start, end, strand) with the nearest other feature before their start on their strand: near_no, distance > 0."""
     g = genes.select(F.col("feat_no").alias("gene_no"), "chrom", "start", "end", "strand")

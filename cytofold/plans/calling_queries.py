@@ -378,3 +378,43 @@ def exon_classes(spark, d):
     pairs = overlaps(r.select("chrom", "region_no", "start", "end"), g)
     pairs = pairs.join(r.select("region_no", "s", "e"), "region_no")
     return pairs.select("region_no", "feat_no", annotate.exon_class(F.col("s"), F.col("e"), F.col("b_start"), F.col("b_end"), F.col("strand"), F.col("segments")).alias("class"))
+
+
+@query(f"""{SEGMENTS}, p AS (SELECT feat_no, strand, lo, a, b, c, hi + 6 AS f, d, x, CASE WHEN x BETWEEN lo AND a THEN 0 WHEN x BETWEEN b AND c THEN 1 WHEN x BETWEEN hi + 6 AND d THEN 2 ELSE -1 END AS i
+        FROM g, (SELECT unnest([0, 4, 7, 26]) AS off), LATERAL (SELECT lo + off AS x)),
+    n AS (SELECT *, greatest(least(a, x) - lo + 1, 0) + greatest(least(c, x) - b + 1, 0) + greatest(least(d, x) - f + 1, 0) AS below, greatest(a - greatest(lo, x) + 1, 0) + greatest(c - greatest(b, x) + 1, 0) + greatest(d - greatest(f, x) + 1, 0) AS above FROM p)
+    SELECT feat_no, x::INT AS pos, i::INT AS segment, CASE WHEN i < 0 THEN 0 ELSE i END::INT AS introns, CASE WHEN i < 0 THEN 0 WHEN strand = '-' THEN i ELSE 2 - i END::INT AS to_3p,
+        CASE WHEN i < 0 THEN -1 WHEN strand = '-' THEN above ELSE below END::BIGINT AS from_5p, CASE WHEN i < 0 THEN -1 WHEN strand = '-' THEN below ELSE above END::BIGINT AS from_3p FROM n""")
+def spliced_places(spark, d):
+    """Positions on genes' segments: introns up to them and beyond, spliced distances from both ends."""
+    at = F.explode(F.array(*(F.col("start") + n for n in (0, 4, 7, 26)))).alias("pos")
+    g = v_genes(spark, d).select("feat_no", "strand", "segments", "start", at)
+    x = (F.col("segments"), F.col("pos"))
+    return g.select(
+        "feat_no", "pos", annotate.segment_of(*x).alias("segment"), annotate.introns_between(x[0], F.col("start"), x[1]).alias("introns"), annotate.introns_beyond(*x, F.col("strand")).alias("to_3p"),
+        annotate.spliced_distance(*x, F.col("strand")).alias("from_5p"), annotate.spliced_distance(*x, F.col("strand"), from_3p=True).alias("from_3p"),
+    )
+
+
+@query(f"""{SEGMENTS} SELECT feat_no, feat_no % 4 <> 2 AS same, CASE feat_no % 4 WHEN 0 THEN 'abuts' WHEN 1 THEN CASE strand WHEN '-' THEN '3p_abut' ELSE '5p_abut' END WHEN 2 THEN 'included' ELSE 'included' END AS overlap FROM g""")
+def nested_features(spark, d):
+    """Genes against parts of themselves: all, all but some bases of the end, another intron, the middle segment."""
+    lo, hi, k = F.col("start"), F.col("end") - 20, F.col("feat_no") % 4
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    whole = F.col("segments")
+    short = F.array(span(lo, lo + 2), span(lo + 5, hi + 3), span(hi + 6, hi + 9))
+    other = F.array(span(lo + 1, lo + 2), span(lo + 6, hi + 2))
+    inner = F.when(k == 0, whole).when(k == 1, short).when(k == 2, other).otherwise(F.array(span(lo + 6, hi + 2)))
+    g = v_genes(spark, d).withColumn("inner", inner)
+    low, high = F.get("inner", F.lit(0))["start"], F.get("inner", F.size("inner") - 1)["end"]
+    return g.select("feat_no", annotate.same_splicing(whole, F.col("inner")).alias("same"), annotate.feature_overlap(whole, F.col("start"), F.col("end"), F.col("strand"), low, high).alias("overlap"))
+
+
+@query(f"""{READS}, m AS (SELECT unnest(['CG', 'CCGG', 'GAC', 'GAT']) AS form), p AS (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS stop FROM reads),
+    h AS (SELECT doc_id, stop, max(length(form)) AS n FROM p JOIN m ON stop >= length(form) AND substr(seq, stop - length(form) + 1, length(form)) = form GROUP BY ALL)
+    SELECT doc_id, n::BIGINT AS size, count(*) AS n, sum(stop - n + 1)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM h GROUP BY ALL""")
+def many_motifs(spark, d):
+    """The longest of several motifs at each base, by their size."""
+    hits = q.v_reads(spark, d).select("doc_id", F.explode(seq_.motif_hits(F.col("seq"), ["CG", "CCGG", "GAY"])).alias("h"))
+    hits = hits.select("doc_id", (F.col("h.end") - F.col("h.start") + 1).cast("bigint").alias("size"), F.col("h.start").alias("s"), F.col("h.end").alias("e"))
+    return hits.groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.sum("s").alias("starts"), F.sum("e").alias("ends"))

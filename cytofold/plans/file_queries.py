@@ -214,3 +214,17 @@ def pair_lines(spark, d):
     share = lambda i: F.col(f"meth_{i}") / (F.col(f"meth_{i}") + F.col(f"unmeth_{i}"))
     rows = s.withColumn("prop_1", share(1)).withColumn("prop_2", share(2)).withColumn("fold", F.lit(2.0)).withColumn("greater", F.lit("1")).withColumn("p", F.lit(0.5))
     return rows.select("k", sinks.pair_line(counts=True).alias("line"))
+
+
+@query(f"""{LETTERED}, u AS (SELECT doc_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS k FROM r WHERE length(seq) > 0),
+    s AS (SELECT doc_id, sum(((k - 1) % 57 + 1) * ascii(c)) % 10000 AS checksum FROM u GROUP BY ALL), t AS (SELECT r.doc_id, seq, 'n' || r.doc_id AS n, coalesce(checksum, 0)::BIGINT AS checksum, array_to_string(regexp_extract_all(seq, '.{{1,60}}'), chr(10)) AS lines FROM r LEFT JOIN s USING (doc_id)),
+    x AS (SELECT doc_id, unnest([['fasta', '>' || n || chr(10) || lines], ['nbrf', '>DL;' || n || chr(10) || 'a title' || chr(10) || lines || '*'], ['staden', '<-' || n || '->' || lines],
+        ['gcg', n || '  Length: ' || length(seq) || '  Check: ' || checksum || '  ..' || chr(10) || lines], ['molgen', ';' || n || chr(10) || lines], ['raw', lines]]) AS v FROM t)
+    SELECT doc_id, v[1] AS kind, md5(v[2] || chr(10)) AS digest FROM x""")
+def sequence_records(spark, d):
+    """Sequences written in each format."""
+    r = v_lettered(spark, d)
+    name = F.concat(F.lit("n"), F.col("doc_id").cast("string"))
+    kinds = ("fasta", "nbrf", "staden", "gcg", "molgen", "raw")
+    made = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), sinks.sequence_record(k, name, F.col("seq"), "a title").alias("text")) for k in kinds))).alias("x")
+    return r.select("doc_id", made).select("doc_id", "x.kind", F.md5(F.col("x.text").cast("binary")).alias("digest"))

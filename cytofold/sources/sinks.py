@@ -59,6 +59,23 @@ def reduced_fasta(fragments: DataFrame, width: int = 60) -> DataFrame:
     return made.select("chrom", header.alias("header"), F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1)).alias("lines"))
 
 
+def sequence_record(kind: str, name: Column, seq: Column, title: Column | str = "", width: int = 60) -> Column:
+    """A sequence as a record of fasta, nbrf, staden, gcg, molgen or raw text, as files.sequences() reads it."""
+    from ..functions.sequences import gcg_checksum
+
+    lines = F.array_join(F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1)), "\n")
+    title = F.lit(title) if isinstance(title, str) else title
+    parts = {
+        "fasta": (F.lit(">"), name, F.lit("\n"), lines),
+        "nbrf": (F.lit(">DL;"), name, F.lit("\n"), title, F.lit("\n"), lines, F.lit("*")),
+        "staden": (F.lit("<-"), name, F.lit("->"), lines),
+        "gcg": (name, F.format_string("  Length: %d  Check: %d  ..", F.length(seq), gcg_checksum(seq)), F.lit("\n"), lines),
+        "molgen": (F.lit(";"), name, F.lit("\n"), lines),
+        "raw": (lines,),
+    }
+    return F.concat(*parts[kind], F.lit("\n"))
+
+
 def seqmonk(counts: DataFrame, bins: DataFrame) -> DataFrame:
     """(chrom, start, line): bins re-based end to end, with hits."""
     from ..operators.intervals import rebased

@@ -82,3 +82,14 @@ def test_pruning():
 @pytest.mark.parametrize("x,text", [(0.228571428, "0.228571"), (1.0, "1"), (0.0, "0"), (1e-7, "1e-07"), (0.00012345678, "0.000123457"), (123456.7, "123457")])
 def test_general_format(spark, x, text):
     assert one(spark, sinks.general(F.col("v")), v=x) == text
+
+
+def test_motif_hits(spark):
+    def hits(text, motifs, **how):
+        found = spark.createDataFrame([(text,)], "t string").select(s.motif_hits(F.col("t"), motifs, **how).alias("h")).first().h
+        return [(h.start, h.end, h.motif) for h in found]
+
+    assert hits("aCCGGacg", ["CG", "CCGG", "GG"]) == [(3, 4, "CG"), (2, 5, "CCGG"), (7, 8, "CG")]
+    assert hits("GAUGACGAA", ["GAY"]) == [(1, 3, "GAY"), (4, 6, "GAY")]
+    assert hits("CnnG", ["CG"]) == [] and hits("CnnG", ["CG"], skip_others=True) == [(1, 4, "CG")]
+    assert hits(None, ["CG"]) == [] and hits("", ["CG"]) == [] and hits("ACG", []) == []

@@ -228,3 +228,11 @@ def test_adaptors_usage_and_dump(spark):
     assert rows(hit, "sample_no", "cpgs_hit") == [(1, 1), (2, 0)]
     masked = counts.with_mask(hit, counts.Limits(least_hits=1, least_cpg_hits=1))
     assert rows(masked, "sample_no", "failed") == [(1, 0), (2, 7)]
+
+
+def test_sequences_written_and_read(spark):
+    seq = "ACGTTGCA" * 20
+    for kind in ("fasta", "nbrf", "staden", "gcg", "molgen", "raw"):
+        for text in (seq, ""):
+            record = spark.range(1).select(sinks.sequence_record(kind, F.lit("s1"), F.lit(text), "a title").alias("t")).first().t
+            assert list(files.sequences(io.StringIO(record), kind)) == [("" if kind == "raw" else "s1", text)], kind
