@@ -410,9 +410,10 @@ def nested_features(spark, d):
     return g.select("feat_no", annotate.same_splicing(whole, F.col("inner")).alias("same"), annotate.feature_overlap(whole, F.col("start"), F.col("end"), F.col("strand"), low, high).alias("overlap"))
 
 
-@query(f"""{READS}, m AS (SELECT unnest(['CG', 'CCGG', 'GAC', 'GAT']) AS form), p AS (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS stop FROM reads),
-    h AS (SELECT doc_id, stop, max(length(form)) AS n FROM p JOIN m ON stop >= length(form) AND substr(seq, stop - length(form) + 1, length(form)) = form GROUP BY ALL)
-    SELECT doc_id, n::BIGINT AS size, count(*) AS n, sum(stop - n + 1)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM h GROUP BY ALL""")
+@query(f"""{READS}, u AS (SELECT doc_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS k FROM reads WHERE length(seq) > 0),
+    w AS (SELECT doc_id, k, c, lag(c) OVER o AS c1, lag(c, 2) OVER o AS c2, lag(c, 3) OVER o AS c3 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+    h AS (SELECT doc_id, k AS stop, CASE WHEN c3 || c2 || c1 || c = 'CCGG' THEN 4 WHEN c2 || c1 || c IN ('GAC', 'GAT') THEN 3 WHEN c1 || c = 'CG' THEN 2 END AS n FROM w)
+    SELECT doc_id, n::BIGINT AS size, count(*) AS n, sum(stop - n + 1)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM h WHERE h.n IS NOT NULL GROUP BY doc_id, h.n""")
 def many_motifs(spark, d):
     """The longest of several motifs at each base, by their size."""
     hits = q.v_reads(spark, d).select("doc_id", F.explode(seq_.motif_hits(F.col("seq"), ["CG", "CCGG", "GAY"])).alias("h"))
