@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ class FMIndex:
         shifted = lambda x, d: np.concatenate((x[d:] + 1, np.zeros(min(d, n), np.int64)))
         while True:
             key = name * (n + symbols + 2) + shifted(name, h)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ranked = key[order]
             fresh = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
             name = np.empty(n, np.int64)
@@ -112,7 +113,7 @@ class FMIndex:
             names[h] = name
             if h >= depth:
                 break
-        # order: suffixes by their first h words, equal ones by place.
+        # order: suffixes by their first h words; that of equal ones is of no account, since no interval parts them.
         self.size = n
         self.first = np.concatenate(([0], np.cumsum(np.bincount(sequence, minlength=symbols))))
         self.wavelet = WaveletMatrix(sequence[order - 1], symbols)
@@ -185,19 +186,21 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                rows = []
-                for t, r in zip(part.column(1), part.column(2), strict=True):
-                    words, spans = t.as_py().encode("utf-8", "replace").split(), []
-                    kept = words
-                    if (found := r.as_py()) is not None:
-                        gone = repeats.covered(len(words), found, window)
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                        spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                        kept = [words[i] for i in np.flatnonzero(~gone)]
-                    whole = b" ".join(kept)
-                    rows.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), spans, whole.decode()))
-                kinds = [pa.int64(), pa.int64(), pa.string(), span, pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
+            for part in repeats.portions(batch.column(1)):
+                ids, texts, runs = (batch.column(i)[part] for i in range(3))
+                words = repeats.Worded(texts)
+                whole, at = words.joined()
+                gone = repeats.covered_all(words.first, runs, window)
+                first, last = repeats.stretches(gone, words.first)
+                spans = np.searchsorted(first, words.first)
+                row = np.repeat(np.arange(len(texts)), np.diff(spans))
+                pairs = pa.StructArray.from_arrays([pa.array(x - words.first[row]) for x in (first, last)], ["start", "end"])
+                a, b = repeats.stretches(~gone, words.first)
+                pieces = [whole[i:j] for i, j in zip(at[a].tolist(), (at[b] - 1).tolist(), strict=True)]
+                kept = [b" ".join(pieces[i:j]) for i, j in pairwise(np.searchsorted(a, words.first).tolist())]
+                removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+                columns = [pa.array(np.diff(words.first)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                columns += [pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs).cast(span), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
     return arrow(repeated(docs, text, doc_id, window, **how), run, schema)

@@ -25,6 +25,7 @@ texts once in step 3 and once in step 6.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .common import arrow, cut, shuffle_parts
 _LOW = np.uint64((1 << 20) - 1)
 #: Windows that are looked at together; symbols of documents that are joined for it; contexts that leave at once.
 STEP, JOINED, BATCH = 1 << 19, 1 << 20, 20_000
+#: Bytes of text whose words are looked at together; words of more bytes than LONG are hashed one by one.
+PORTION, LONG = 1 << 20, 64
 #: Contexts of a bucket, on average.
 BUCKET = 40_000
 #: Contexts that a task remembers; a full memory is emptied, which only lets more rows through.
@@ -54,22 +57,61 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Strings:
+    """A column of texts or of bytes as one array of bytes and places in it."""
+
+    def __init__(self, column: pa.Array):
+        wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+        ends = np.frombuffer(column.buffers()[1], wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
+        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        self.start, self.size = ends[:-1], np.diff(ends)
+
+    def rows(self, order: np.ndarray) -> Strings:
+        made = object.__new__(Strings)
+        made.flat, made.start, made.size = self.flat, self.start[order], self.size[order]
+        return made
+
+    def matrix(self, width: int, backwards: bool = False) -> np.ndarray:
+        """Rows of width bytes from each string's start, or from its end backwards, zeros behind it."""
+        step, out = np.arange(width)[None, :], np.zeros((len(self.start), width), np.uint8)
+        for i in range(0, len(out) * bool(len(self.flat)), 4096):
+            part = slice(i, i + 4096)
+            start, size = self.start[part, None], self.size[part, None]
+            inside = step < size
+            out[part] = np.where(inside, self.flat[np.where(inside, start + size - 1 - step if backwards else start + step, 0)], 0)
+        return out
+
+
+def portions(column: pa.Array) -> Iterator[slice]:
+    """Parts of a column of about PORTION bytes, no text cut."""
+    texts = Strings(column)
+    ends, i = texts.start + texts.size, 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, texts.start[i] + PORTION, "right")))
+        yield slice(i, j)
+        i = j
+
+
 class Bytes:
     """Symbols are bytes of UTF-8."""
 
     def __init__(self, window: int, anchor: int):
         self.window, self.anchor = window, anchor
 
-    def read(self, text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    def reads(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The symbols of each text."""
+        return (np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8) for text in column)
 
-    def cutter(self, text: str) -> Callable[[int, int], bytes]:
-        data = text.encode("utf-8", "replace")
-        return lambda a, b: data[a:b]
+    def cutter(self, column: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]]:
+        """What gives the symbols of some rows' texts from one place to another."""
+        texts = Strings(column)
+        low = texts.start[0]
+        whole, base = texts.flat[low : texts.start[-1] + texts.size[-1]].tobytes(), texts.start - low
+        return lambda row, a, b: [whole[i:j] for i, j in zip((base[row] + a).tolist(), (base[row] + b).tolist(), strict=True)]
 
-    def parted(self, piece: Callable[[int, int], bytes], start: int, anchor: int, end: int) -> tuple[bytes, bytes]:
-        """A context as its lead, the symbols from the anchor on, and those before it."""
-        return piece(anchor, end), piece(start, anchor)
+    def parted(self, whole: list[bytes], anchor: np.ndarray, runs: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Contexts as their leads, the symbols from the anchor on, and those before it; runs: the anchors."""
+        return [w[i:] for w, i in zip(whole, anchor.tolist(), strict=True)], [w[:i] for w, i in zip(whole, anchor.tolist(), strict=True)]
 
     lead_type, lead_sql = pa.binary(), "binary"
 
@@ -92,35 +134,79 @@ class Bytes:
         return _mix(h[:n] * np.uint64(0x9E3779B97F4A7C15))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= 250_000:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = h
+def stretches(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True begin and where they end; none goes on across a bound."""
+    bounds = bounds[(0 < bounds) & (bounds < len(mask))]
+    begins, ends = mask.copy(), mask.copy()
+    begins[1:] &= ~mask[:-1]
+    begins[bounds] = mask[bounds]
+    ends[:-1] &= ~mask[1:]
+    ends[bounds - 1] = mask[bounds - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+class Worded:
+    """The words of a column's texts, as arrays: every text's first word, and the end; where words start in the bytes, and their sizes."""
+
+    def __init__(self, column: pa.Array):
+        texts = Strings(column)
+        low, high = (int(texts.start[0]), int(texts.start[-1] + texts.size[-1])) if len(column) else (0, 0)
+        self.flat = texts.flat[low:high]
+        self.space = (self.flat - np.uint8(9) < 5) | (self.flat == 32)
+        self.start, end = stretches(~self.space, texts.start - low)
+        self.size = end - self.start
+        self.first = np.searchsorted(self.start, np.append(texts.start, high) - low)
+
+    def hashes(self) -> np.ndarray:
+        """Of each word: eight bytes a step, all words together; words of more than LONG bytes by themselves."""
+        padded = np.concatenate((self.flat, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(self.flat) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+        h = _mix(self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        open_ = np.flatnonzero(self.size <= LONG)
+        for at in range(0, LONG, 8):
+            left = self.size[open_] - at
+            open_, left = open_[left > 0], left[left > 0]
+            if not len(open_):
+                break
+            part = eight[self.start[open_] + at] << (np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64))
+            h[open_] = _mix((h[open_] ^ part) * np.uint64(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(self.size > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.flat[self.start[i] : self.start[i] + self.size[i]], 7)
         return h
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, a space behind each, and where each starts in that, and the end."""
+        at = np.concatenate(([0], np.cumsum(self.size + 1)))
+        if not len(self.size):
+            return b"", at
+        plain = np.where(self.space, np.uint8(32), self.flat).tobytes()
+        end = self.start + self.size
+        parts = np.flatnonzero(self.start[1:] != end[:-1] + 1)  # words that no single white space parts from the next
+        a, b = self.start[np.concatenate(([0], parts + 1))], end[np.append(parts, len(end) - 1)]
+        return b" ".join([plain[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) + b" ", at
+
 
 class Words:
     """Symbols are runs of characters other than white space (space and U+0009 to U+000D)."""
 
     def __init__(self, window: int, anchor: int):
-        self.window, self.anchor, self.known = window, anchor, _Hashes()
+        self.window, self.anchor = window, anchor
 
-    def read(self, text: str) -> np.ndarray:
-        parts = text.encode("utf-8", "replace").split()
-        return np.fromiter(map(self.known.__getitem__, parts), np.uint64, len(parts))
+    def reads(self, column: pa.Array) -> Iterator[np.ndarray]:
+        for part in portions(column):
+            words = Worded(column[part])
+            h = words.hashes()
+            yield from (h[a:b] for a, b in pairwise(words.first.tolist()))
 
-    def cutter(self, text: str) -> Callable[[int, int], bytes]:
-        parts = text.encode("utf-8", "replace").split()
-        whole = b" ".join(parts)
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))).tolist()
-        return lambda a, b: whole[starts[a] : starts[b] - 1]
+    def cutter(self, column: pa.Array) -> Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]]:
+        words = Worded(column)
+        whole, at = words.joined()
+        base = words.first[:-1]
+        return lambda row, a, b: [whole[i:j] for i, j in zip(at[base[row] + a].tolist(), (at[base[row] + b] - 1).tolist(), strict=True)]
 
-    def parted(self, piece: Callable[[int, int], bytes], start: int, anchor: int, end: int) -> tuple[int, bytes]:
-        """A context as its lead, a hash of the anchor, and its words."""
-        return xxhash.xxh64_intdigest(piece(anchor, anchor + self.anchor), 3) - (1 << 63), piece(start, end)
+    def parted(self, whole: list[bytes], anchor: np.ndarray, runs: list[bytes]) -> tuple[list[int], list[bytes]]:
+        """Contexts as their leads, hashes of the anchors, and their words."""
+        return [xxhash.xxh64_intdigest(r, 3) - (1 << 63) for r in runs], whole
 
     lead_type, lead_sql = pa.int64(), "bigint"
 
@@ -204,8 +290,7 @@ def _anchor_rows(of: Bytes | Words) -> Callable:
 
         keys, parts, size = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                symbols = of.read(text.as_py())
+            for key, symbols in zip(batch.column(0).to_pylist(), of.reads(batch.column(1)), strict=True):
                 if len(symbols) < of.window:
                     continue
                 keys.append(key)
@@ -247,33 +332,31 @@ CONTEXT = "key bigint, doc bigint, first bigint, offset int, more int, rest bina
 def _context_rows(of: Bytes | Words, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lead", "key", "doc", "first", "offset", "more", "rest"]
-        kinds = [of.lead_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        rows: list[tuple] = []
         seen: dict[bytes, tuple[int, int]] = {}  # where a context was met first: document and key
-        window = of.window
         for batch in batches:
-            for key, doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                piece = of.cutter(text.as_py())
-                own = (doc, key)
-                for at in sorted(places.as_py()):
-                    p, back, more = at >> 16, at >> 8 & 255, at & 255
-                    a = p - back
-                    data = piece(a, a + more + window)
-                    before = seen.get(data)
-                    if before is not None and (before[0] < doc or within and before[1] == key):
-                        rows.append((None, key, doc, a, back, more, None))
-                        continue
-                    if before is None:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen[data] = own
-                    lead, rest = of.parted(piece, a, p, a + more + window)
-                    rows.append((lead, key, doc, a, back, more, rest))
-                if len(rows) >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for part in portions(batch.column(2)):
+                keys, docs, texts, places = (batch.column(i)[part] for i in range(4))
+                row = np.repeat(np.arange(len(texts)), np.asarray(places.value_lengths()))
+                at = np.asarray(places.flatten())
+                order = np.lexsort((at, row))
+                row, at = row[order], at[order]
+                keys, docs, piece = np.asarray(keys), np.asarray(docs), of.cutter(texts)
+                for i in range(0, len(at), BATCH):
+                    r, p, back, more = row[i : i + BATCH], at[i : i + BATCH] >> 16, at[i : i + BATCH] >> 8 & 255, at[i : i + BATCH] & 255
+                    whole, first = piece(r, p - back, p - back + more + of.window), []
+                    for data, doc, key in zip(whole, docs[r].tolist(), keys[r].tolist(), strict=True):
+                        before = seen.get(data)
+                        if before is None:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen[data] = (doc, key)
+                        first.append(before is None or not (before[0] < doc or within and before[1] == key))
+                    gone = ~np.array(first)
+                    own = np.flatnonzero(first)
+                    lead, rest = of.parted(list(compress(whole, first)), back[own], piece(r[own], p[own], p[own] + of.anchor))
+                    where = pa.array(np.cumsum(~gone) - 1, mask=gone)
+                    columns = [pa.array(lead, of.lead_type).take(where), pa.array(keys[r]), pa.array(docs[r]), pa.array(p - back), pa.array(back, pa.int32()), pa.array(more, pa.int32()), pa.array(rest, pa.binary()).take(where)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -290,30 +373,6 @@ def contexts(base: DataFrame, of: Bytes | Words, within: bool) -> DataFrame:
     return arrow(texts, _context_rows(of, within), f"lead {of.lead_sql}, {CONTEXT}")
 
 
-class Strings:
-    """A binary column as one array of bytes and places in it."""
-
-    def __init__(self, column: pa.Array):
-        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        self.start, self.size = ends[:-1], np.diff(ends)
-
-    def rows(self, order: np.ndarray) -> Strings:
-        made = object.__new__(Strings)
-        made.flat, made.start, made.size = self.flat, self.start[order], self.size[order]
-        return made
-
-    def matrix(self, width: int, backwards: bool = False) -> np.ndarray:
-        """Rows of width bytes from each string's start, or from its end backwards, zeros behind it."""
-        step, out = np.arange(width)[None, :], np.zeros((len(self.start), width), np.uint8)
-        for i in range(0, len(out) * bool(len(self.flat)), 4096):
-            part = slice(i, i + 4096)
-            start, size = self.start[part, None], self.size[part, None]
-            inside = step < size
-            out[part] = np.where(inside, self.flat[np.where(inside, start + size - 1 - step if backwards else start + step, 0)], 0)
-        return out
-
-
 class Bucket:
     """Contexts as arrays, in the order of (doc, key, first)."""
 
@@ -417,3 +476,11 @@ def covered(n: int, runs: list[dict] | None, window: int) -> np.ndarray:
         np.add.at(edge, [r["first"] for r in runs], 1)
         np.add.at(edge, [r["last"] + window for r in runs], -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def covered_all(bounds: np.ndarray, runs: pa.ListArray, window: int) -> np.ndarray:
+    """Which symbols of texts lie in a window of their runs; bounds: where texts start among the symbols, and the end."""
+    start = np.repeat(bounds[:-1], np.asarray(runs.value_lengths().fill_null(0)))
+    first, last = (np.asarray(x) for x in runs.flatten().flatten())
+    n = int(bounds[-1]) + 1
+    return np.cumsum(np.bincount(start + first, minlength=n) - np.bincount(start + last + window, minlength=n))[:-1] > 0

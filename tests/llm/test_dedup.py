@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from cytofold.llm import common, exact_dedup, fm_dedup, suffix_dedup
+from cytofold.llm import common, exact_dedup, fm_dedup, repeats, suffix_dedup
 from pyspark.sql import functions as F
 
 
@@ -115,6 +117,50 @@ def test_spans_and_kept_text(spark):
     assert w[2].kept == "x y"
 
 
+ODD = ["", "one", " lead and  two\tgaps\r\n", "", "   ", "next", "to", "each\x0bother\x0c", "\x00 \x00\x00 a\x00", "é日本 🙂\u00a0x \u2003", "w" * 64 + " " + "w" * 65 + " " + "w" * 200, "12345678 123456789 1234567"]
+
+
+@pytest.mark.parametrize("portion", [1, 30, 1 << 20])
+def test_words_of_a_column(monkeypatch, portion):
+    """Words are those of bytes.split, text by text, and have equal hashes exactly if they are equal."""
+    monkeypatch.setattr(repeats, "PORTION", portion)
+    column = pa.array(["not this", *ODD, *reversed(ODD), "nor this"])[1:-1]
+    parts = [t.encode().split() for t in ODD + ODD[::-1]]
+    of = repeats.Words(3, 2)
+    h = [x.tolist() for x in of.reads(column)]
+    assert [len(x) for x in h] == [len(p) for p in parts]
+    by = {(w, x) for p, y in zip(parts, h, strict=True) for w, x in zip(p, y, strict=True)}
+    assert len(by) == len({w for w, _ in by}) == len({x for _, x in by})
+    for part in repeats.portions(column):
+        some = parts[part]
+        rows = [(i, a, b) for i, p in enumerate(some) for a in range(len(p)) for b in range(a + 1, len(p) + 1)]
+        r, a, b = np.array(rows, np.int64).reshape(-1, 3).T
+        assert of.cutter(column[part])(r, a, b) == [b" ".join(some[i][x:y]) for i, x, y in rows]
+
+
+def test_words_are_read_in_little_time():
+    """Words that were never met cost little more than to part them."""
+    rng = random.Random(5)
+    column = pa.array([" ".join(str(rng.getrandbits(40)) for _ in range(2000)) for _ in range(200)])
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    words = repeats.Words(13, 5)
+    assert least(lambda: list(words.reads(column))) < 4 * least(lambda: [t.as_py().encode().split() for t in column])
+
+
+def test_spans_and_kept_words(spark):
+    docs = [(1, "a  b\tc d e"), (2, "x\n\na b c d e"), (3, "y a b c d e z  a b c d e"), (4, None), (5, "u v"), (6, "  b c d e")]
+    got = {r.doc_id: ([(s.start, s.end) for s in r.spans], r.kept) for r in fm_dedup.remove(spark.createDataFrame(docs, "doc_id bigint, text string"), window=4, anchor=2).collect()}
+    assert got == {1: ([], "a b c d e"), 2: ([(1, 6)], "x"), 3: ([(1, 6), (7, 12)], "y z"), 4: ([], ""), 5: ([], "u v"), 6: ([(0, 4)], "")}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 500])
 def test_multikey_sort(n):
     rng = np.random.default_rng(n)
