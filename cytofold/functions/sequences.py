@@ -6,7 +6,9 @@ import re
 from collections.abc import Mapping
 from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # IUB codes, their complements and the bases they stand for.
@@ -38,6 +40,22 @@ def upper(seq: Column) -> Column:
     return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def exchanged(seq: Column, old: str, new: str) -> Column:
+    """Letters of old become those of new, as translate does it, but some hundred times as fast; all must be of one byte. Not for lambdas."""
+    table = np.arange(256, dtype=np.uint8)
+    table[list(old.encode("ascii"))[::-1]] = list(new.encode("ascii"))[::-1]  # of equal letters the first counts
+
+    @F.arrow_udf("string")
+    def put(texts: pa.Array) -> pa.Array:
+        valid, offsets, data = texts.buffers()
+        if data is None:
+            return texts
+        return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, pa.py_buffer(table[np.frombuffer(data, np.uint8)])], offset=texts.offset)
+
+    # Marked so that no filter moves below it and has it worked out twice.
+    return put.asNondeterministic()(seq)
+
+
 def complement(seq: Column) -> Column:
     """Base by base; other characters stay, case is kept."""
     return F.translate(seq, IUB + IUB.lower(), COMPLEMENT + COMPLEMENT.lower())
@@ -127,9 +145,9 @@ def last_match(seq: Column, motif: str) -> Column:
 
 def base_composition(seq: Column) -> Column:
     """struct a, c, g, t, other."""
-    up = upper(seq)
-    counts = {b: F.length(up) - F.length(F.replace(up, F.lit(b.upper()), F.lit(""))) for b in "acgt"}
-    other = F.length(up)
+    n = F.length(seq)
+    counts = {b: n - F.length(F.replace(F.replace(seq, F.lit(b.upper()), F.lit("")), F.lit(b), F.lit(""))) for b in "acgt"}
+    other = n
     for c in counts.values():
         other = other - c
     return F.struct(*(c.cast("bigint").alias(b) for b, c in counts.items()), other.cast("bigint").alias("other"))

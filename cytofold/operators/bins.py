@@ -9,6 +9,10 @@ from .intervals import beside, point_in_interval, with_runs
 from .sizes import small
 
 
+#: Pieces of a block that chunked() cuts first.
+MANY = 16
+
+
 def parse_site(text: str) -> tuple[str, int]:
     """C^CGG as (CCGG, 1): the site and how many of its bases lie before the cut."""
     return text.replace("^", "").upper(), max(text.find("^"), 0)
@@ -16,8 +20,13 @@ def parse_site(text: str) -> tuple[str, int]:
 
 def chunked(genome: DataFrame, size: int = 1 << 20, overlap: int = 1 << 10) -> DataFrame:
     """(chrom, seq) as (chrom, chunk_start, seq): pieces of size bases plus overlap."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    return genome.select("chrom", "seq", F.explode(starts).alias("_at")).select("chrom", (F.col("_at") + 1).alias("chunk_start"), F.expr(f"substring(seq, _at + 1, {size + overlap})").alias("seq"), F.lit(size).alias("size"))
+    # In steps: a piece is looked for in its block of MANY pieces, and that in a larger one, not from the chromosome's start on.
+    rows = genome.select("chrom", "seq", F.lit(0).alias("_from"), F.greatest(F.length("seq"), F.lit(1)).alias("_n"))
+    for block in [*(b for b in (size * MANY * MANY, size * MANY) if b < 1 << 30), size]:
+        at = F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(block))).alias("_at")
+        rows = rows.select("chrom", "seq", "_from", "_n", at)
+        rows = rows.select("chrom", F.expr(f"substring(seq, _at + 1, {block + overlap})").alias("seq"), (F.col("_from") + F.col("_at")).alias("_from"), F.least(F.col("_n") - F.col("_at"), F.lit(block)).alias("_n"))
+    return rows.select("chrom", (F.col("_from") + 1).alias("chunk_start"), "seq", F.lit(size).alias("size"))
 
 
 def site_positions(chunks: DataFrame, sites: list[str], skip_others: bool = False) -> DataFrame:

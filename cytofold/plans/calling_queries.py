@@ -15,7 +15,12 @@ from .queries import ALL, BINS, CALLS, CHI, CPGS, FEATURES, FISHER, NCPG, READS,
 
 
 def v_genome(spark: SparkSession, d: str) -> DataFrame:
-    return q.v_reads(spark, d).select(F.col("doc_id").cast("string").alias("chrom"), "seq").where("length(seq) > 0")
+    return q.read(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("chrom"), q.bases().alias("seq"))
+
+
+def v_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Letters become bases one by one, so a text's length is its chromosome's."""
+    return q.read(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("chrom"), F.length("text").alias("length"))
 
 
 def v_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -23,10 +28,13 @@ def v_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_aligned(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("seq")
+    n = F.col("n")
     both = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), (n * i / 5 + 1).cast("int").alias("pos")) for i, f in enumerate((0, 16, 1, 17)))))
-    rows = v_genome(spark, d).select("chrom", "seq", both.alias("x")).select("chrom", "x.flag", "x.pos", F.substring("seq", F.col("x.pos"), F.ceil(n / 3).cast("int")).alias("seq"))
-    converted = F.when(F.col("chrom").cast("bigint") % 2 == 0, F.col("seq")).when(F.col("flag").bitwiseAND(16) == 0, F.translate("seq", "C", "T")).otherwise(F.translate("seq", "G", "A"))
+    # Of the text the parts come first, as their bases, places and lengths don't depend on the rest.
+    texts = q.read(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("chrom"), "text", F.length("text").alias("n"))
+    rows = texts.select("chrom", "text", "n", both.alias("x")).select("chrom", "x.flag", "x.pos", F.substring("text", F.col("x.pos"), F.ceil(n / 3).cast("int")).alias("text"))
+    rows = rows.select("chrom", "flag", "pos", q.bases().alias("seq"))
+    converted = F.when(F.col("chrom").cast("bigint") % 2 == 0, F.col("seq")).when(F.col("flag").bitwiseAND(16) == 0, F.replace("seq", F.lit("C"), F.lit("T"))).otherwise(F.replace("seq", F.lit("G"), F.lit("A")))
     return rows.select(F.concat_ws(":", "chrom", "flag").alias("read_id"), "chrom", "pos", "flag", converted.alias("seq"))
 
 
@@ -108,7 +116,7 @@ def first_hits_back(spark, d):
 
 @query(f"{READS}, g AS (SELECT doc_id::VARCHAR AS chrom, length(seq) AS n FROM reads WHERE length(seq) > 0), w AS (SELECT chrom, unnest(range(0, (n - 1) // 100 + 1)) AS bin_id FROM g) SELECT chrom, bin_id, (bin_id * 100 + 1)::INT AS start, ((bin_id + 1) * 100)::INT AS \"end\" FROM w")
 def fixed_windows(spark, d):
-    return bins_.windows(v_genome(spark, d).select("chrom", F.length("seq").alias("length")), 100)
+    return bins_.windows(v_lengths(spark, d), 100)
 
 
 @query(f"{READS}, g AS (SELECT doc_id::VARCHAR AS chrom, seq FROM reads), i AS (SELECT chrom, seq, unnest(range(1, length(seq) + 1)) AS pos FROM g) SELECT chrom, pos::INT AS pos FROM i WHERE substr(seq, pos, 2) = 'CG'")
@@ -127,7 +135,7 @@ SITES = f"{READS}, g AS (SELECT doc_id::VARCHAR AS chrom, seq FROM reads WHERE l
 @query(f"{SITES} SELECT chrom, bin_id, start::INT AS start, stop::INT AS \"end\" FROM fr WHERE stop - start + 1 BETWEEN 40 AND 220")
 def reduced_fragments(spark, d):
     """Size-selected fragments of a reduced genome."""
-    lengths = v_genome(spark, d).select("chrom", F.length("seq").alias("length"))
+    lengths = v_lengths(spark, d)
     return bins_.digest(v_chunks(spark, d), lengths, ["C^CGG"])
 
 
@@ -148,7 +156,7 @@ def fragment_list(spark, d):
 @query(f"""{SITES}, k AS (SELECT * FROM fr WHERE stop - start + 1 > 30) SELECT chrom, bin_id, md5(substr(seq, start, stop - start + 1)) AS digest FROM k""")
 def region_digests(spark, d):
     """Bases under regions, which span up to many chunks."""
-    lengths = v_genome(spark, d).select("chrom", F.length("seq").alias("length"))
+    lengths = v_lengths(spark, d)
     regions = bins_.fragments(bins_.site_positions(v_chunks(spark, d), ["C^CGG"]), lengths).where("end - start + 1 > 30")
     return bins_.region_sequences(regions, v_chunks(spark, d)).select("chrom", "bin_id", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
@@ -156,7 +164,7 @@ def region_digests(spark, d):
 @query(f"""{SITES}, k AS (SELECT chrom, substr(seq, start, stop - start + 1) AS s FROM fr)
     SELECT chrom, {', '.join(f"sum(length(s) - length(replace(s, '{b.upper()}', '')))::BIGINT AS {b}" for b in 'acgt')}, sum(length(translate(s, 'ACGT', '')))::BIGINT AS other FROM k GROUP BY chrom""")
 def region_composition(spark, d):
-    lengths = v_genome(spark, d).select("chrom", F.length("seq").alias("length"))
+    lengths = v_lengths(spark, d)
     return bins_.composition(bins_.fragments(bins_.site_positions(v_chunks(spark, d), ["C^CGG"]), lengths), v_chunks(spark, d))
 
 

@@ -73,7 +73,7 @@ def v_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bases(text: str = "text") -> Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), LETTERS, AS_BASES)
+    return seq_.exchanged(F.coalesce(F.col(text), F.lit("")), LETTERS, AS_BASES)
 
 
 def v_reads(spark: SparkSession, d: str) -> DataFrame:

@@ -93,3 +93,13 @@ def test_motif_hits(spark):
     assert hits("GAUGACGAA", ["GAY"]) == [(1, 3, "GAY"), (4, 6, "GAY")]
     assert hits("CnnG", ["CG"]) == [] and hits("CnnG", ["CG"], skip_others=True) == [(1, 4, "CG")]
     assert hits(None, ["CG"]) == [] and hits("", ["CG"]) == [] and hits("ACG", []) == []
+
+
+def test_letters_are_exchanged(spark):
+    """As translate does it, and without its map of each character."""
+    texts = [("ABCabc é世😀 xyz",), ("",), (None,), ("zzA",)] * 50
+    df = spark.createDataFrame(texts, "t string")
+    made = df.select("t", s.exchanged(F.col("t"), "ABCazA", "CABzaB").alias("x"), F.translate("t", "ABCazA", "CABzaB").alias("y"))
+    assert made.where("not x <=> y").count() == 0 and made.repartition(7).where("x is null").count() == 50
+    plan = made.select("x").where("length(x) > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and plan.count("ArrowEvalPython") == 1

@@ -267,3 +267,55 @@ def test_amalgamated_like_one_pass(spark):
             i += 1
     made = bins.amalgamated(spark.createDataFrame(spans, "chrom string, start int, end int, n_cpg int"), 4)
     assert sorted((r.start, r.end, r.n_cpg, r.merged) for r in made.collect()) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("every_c, exact_flag, compat", [(False, False, False), (True, False, False), (True, False, True), (False, True, False)])
+def test_calls_are_found_read_by_read(spark, every_c, exact_flag, compat):
+    """Any letters, against brute force; a row is made for each call, not for each base of a read."""
+    rng = random.Random(3)
+    genome = "".join(rng.choice("ACGTacgtCGNé世😀") for _ in range(600))
+    pick = [(i, rng.choice([1, 2, rng.randint(3, 620)]), rng.choice([0, 16, 17, 1])) for i in range(60)]
+    reads = [(i // 2, "T", p, f, "".join(c if rng.random() < 0.7 else rng.choice("ACGTctgaN世") for c in genome[p - 1 : p - 1 + rng.randint(0, 90)]) + rng.choice(["", "CGCG"])) for i, p, f in pick] + [(99, "T", 5, 0, None), (98, None, 5, 0, "CG"), (97, "T", 1, None, "CG"), (96, "T", 0, 0, genome)]
+    want, ends = [], {}
+    up = lambda s: "".join(c.upper() if "a" <= c <= "z" else c for c in s)
+    g = " " + up(genome) + " " * 100
+    for i, c, p, f, s in reads:
+        if s is None or c is None or f is None or p < 1:
+            continue
+        back = f == 16 if exact_flag else bool(f & 16)
+        for k, b in enumerate(up(s)):
+            x = p + k
+            if x > len(genome):
+                break
+            if back and b in "GA" and (g[x] == ("C" if compat else "G") if every_c else g[x] == "G" and g[x - 1] == "C") or not back and b in "CT" and g[x] == "C" and (every_c or g[x + 1] == "G"):
+                want.append((i, x - (back and not every_c), b in "CG", back, k))
+                ends[i] = max(ends.get(i, 0), k)
+    made = calling.read_calls(spark.createDataFrame(reads, "read_id int, chrom string, pos int, flag int, seq string"), bins.chunked(spark.createDataFrame([("T", genome)], "chrom string, seq string"), 64, 8), every_c, exact_flag, compat)
+    assert rows(made, "read_id", "pos", "meth", "first_3p") == sorted((i, x, m, back and k == ends[i]) for i, x, m, back, k in want)
+    assert "posexplode" not in _plan(made) and "Window" not in _plan(made.drop("first_3p"))
+
+
+def test_slices_are_called_read_by_read(spark):
+    rng = random.Random(5)
+    cases = [(i, "T", rng.randint(1, 50), rng.choice("+-"), "".join(rng.choice("ACGTcgé") for _ in range(rng.randint(0, 40))), "".join(rng.choice("ACGCGcgT世") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    pair = str.maketrans("ACGT", "TGCA")
+    want = []
+    for i, _, start, strand, s, g in cases:
+        ref = g.replace("c", "C").replace("g", "G")
+        ref = ref.translate(pair)[::-1] if strand == "-" else ref
+        want += [(i, start + len(s) - 2 - k if strand == "-" else start + k, c in "Cc") for k, c in enumerate(s) if ref[k : k + 2] == "CG"]
+    made = calling.slice_calls(spark.createDataFrame([*cases, (99, "T", 1, "+", "CG", None), (98, "T", 1, "+", None, "CG")], "read_id int, chrom string, start int, strand string, seq string, genome string"))
+    assert rows(made, "read_id", "pos", "meth") == sorted(want)
+    assert "posexplode" not in _plan(made)
+
+
+def test_pieces_are_cut_in_blocks(spark):
+    """A piece is cut from a block, whose length doesn't grow with the chromosome."""
+    text = "".join(random.Random(1).choice("ACGTé世😀") for _ in range(5000))
+    made = bins.chunked(spark.createDataFrame([("T", text), ("E", ""), ("S", "ACG")], "chrom string, seq string"), 4, 2)
+    assert rows(made) == sorted([("T", i + 1, text[i : i + 6], 4) for i in range(0, 5000, 4)] + [("E", 1, "", 4), ("S", 1, "ACG", 4)])
+    assert _plan(made).count("Generate explode") == 3
