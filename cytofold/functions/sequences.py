@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # IUB codes, their complements and the bases they stand for.
@@ -82,15 +83,94 @@ def iub_match(a: Column, b: Column) -> Column:
     return base_mask(a).bitwiseAND(base_mask(b)) != 0
 
 
+#: Bases that are looked at together, so that a batch of long texts takes no more memory than one of short ones.
+TOGETHER = 1 << 21
+#: a-z in upper case, other bytes as they are.
+UPPER = np.arange(256, dtype=np.uint8)
+UPPER[97:123] -= 32
+
+
+def among(letters: bytes) -> np.ndarray:
+    """For each byte whether it is one of the letters."""
+    return np.isin(np.arange(256), list(letters))
+
+
+class Bases:
+    """Texts of an Arrow array end to end in upper case, a byte a character: only letters of one byte are looked for."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
+        edges = edges - edges[0]
+        lead = (raw & 0xC0) != 0x80  # the first bytes of characters
+        if not lead.all():
+            edges = np.concatenate([[0], np.cumsum(lead)])[edges]
+            raw = raw[lead]
+        self.raw, self.edges, self.n = UPPER[raw], edges, np.diff(edges)
+
+    def hits(self, motif: str) -> np.ndarray:
+        """Whether a motif begins at a place; the last places of a text may need the next one."""
+        n, hit = len(self.raw), np.ones(len(self.raw), bool)
+        for k, c in enumerate(motif):
+            fits = BASES[c.upper()].encode()
+            same = self.raw[k:] == fits[0] if len(fits) == 1 else among(fits)[self.raw[k:]]
+            hit[: len(same)] &= same
+            hit[max(n - k, 0) :] = False
+        return hit
+
+    def places(self, motif: dict[bool, str], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place from 0) of the hits of a row's motif, by its side."""
+        hit = self.hits(motif[False])
+        if motif[True] != motif[False]:
+            hit = np.where(np.repeat(back, self.n), self.hits(motif[True]), hit)
+        at = np.flatnonzero(hit)
+        row = np.repeat(np.arange(len(self.n)), np.diff(np.searchsorted(at, self.edges)))
+        length = np.where(back, len(motif[True]), len(motif[False]))
+        whole = at + length[row] <= self.edges[row + 1]
+        row, at = row[whole], at[whole]
+        return row, at - self.edges[row]
+
+    def at(self, row: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, i, the letter there) of the places that a row has."""
+        there = (i >= 0) & (i < self.n[row])
+        row, i = row[there], i[there]
+        return row, i, self.raw[self.edges[row] + i]
+
+
+def by_row(hits: Callable, first: pa.Array, *more: pa.Array) -> pa.Array:
+    """For each row the sorted list of the numbers that hits gives, as (row, number); texts become Bases, rows of some TOGETHER bases go at a time."""
+    size = np.cumsum(pc.binary_length(first).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    made, a = [], 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + TOGETHER, "right")))
+        parts = (x.slice(a, b - a) for x in (first, *more))
+        row, number = hits(*(Bases(x) if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x.to_numpy(zero_copy_only=False) for x in parts))
+        if (np.diff(row * (1 << 32) + number) < 0).any():
+            order = np.lexsort((number, row))
+            row, number = row[order], number[order]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
+        made.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(number.astype(np.int32))))
+        a = b
+    return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+
+
 def motif_positions(seq: Column, motif: str, skip_others: bool = False) -> Column:
     """1-based starts of a motif, overlapping ones too, in any case; skip_others: characters that aren't bases don't break it."""
+    plain = not skip_others and bool(motif) and set(motif.upper()) <= set(BASES)
     pattern = re.compile(f"(?={('[^ACGTU]*' if skip_others else '').join(iub_pattern(c) for c in motif)})", re.I)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [m.start() + 1 for m in pattern.finditer(t or "")])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def found(texts: pa.Array) -> pa.Array:
+        def hits(x: Bases) -> tuple[np.ndarray, np.ndarray]:
+            row, i = x.places({False: motif, True: motif}, np.zeros(len(x.n), bool))
+            return row, i + 1
 
-    return found(seq)
+        return by_row(hits, texts) if plain else pa.array([[m.start() + 1 for m in pattern.finditer(t or "")] for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    # Marked so that explode's filter of empty lists doesn't have it worked out twice.
+    return found.asNondeterministic()(seq)
 
 
 def motif_hits(seq: Column, motifs: list[str], skip_others: bool = False) -> Column:

@@ -2,88 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import ship
-from ..functions.sequences import bisulphite_mismatches
+from ..functions.sequences import Bases, among, bisulphite_mismatches, by_row
 from .bins import region_sequences
 from .intervals import beside, point_in_interval
 
 #: The flag bit of reads on the reverse strand (fixed value).
 REVERSE = 16
-#: Bases that are looked at together, so that a batch of long reads takes no more memory than one of short ones.
-TOGETHER = 1 << 21
-
-
-#: a-z in upper case, other bytes as they are.
-UPPER = np.arange(256, dtype=np.uint8)
-UPPER[97:123] -= 32
-
-
-def among(letters: bytes) -> np.ndarray:
-    """For each byte whether it is one of the letters."""
-    return np.isin(np.arange(256), list(letters))
-
-
-class Bases:
-    """Texts of an Arrow array end to end in upper case, a byte a character: only letters of one byte are looked for."""
-
-    def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_string()).fill_null("")
-        _, offsets, data = texts.buffers()
-        edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
-        edges = edges - edges[0]
-        lead = (raw & 0xC0) != 0x80  # the first bytes of characters
-        if not lead.all():
-            edges = np.concatenate([[0], np.cumsum(lead)])[edges]
-            raw = raw[lead]
-        self.raw, self.edges, self.n = UPPER[raw], edges, np.diff(edges)
-
-    def places(self, motif: dict[bool, bytes], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place from 0) of the hits of a row's motif, by its strand."""
-        x, hit = self.raw, np.zeros(len(self.raw), bool)
-        strand = np.repeat(back, self.n)
-        for side, letters in motif.items():
-            here = strand == side
-            for k, c in enumerate(letters):
-                here[: len(x) - k] &= x[k:] == c
-                here[len(x) - k :] = False
-            hit |= here
-        at = np.flatnonzero(hit)
-        row = np.repeat(np.arange(len(self.n)), np.diff(np.searchsorted(at, self.edges)))
-        length = np.where(back, len(motif[True]), len(motif[False]))
-        whole = at + length[row] <= self.edges[row + 1]
-        row, at = row[whole], at[whole]
-        return row, at - self.edges[row]
-
-    def at(self, row: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, i, the letter there) of the places that a row has."""
-        there = (i >= 0) & (i < self.n[row])
-        row, i = row[there], i[there]
-        return row, i, self.raw[self.edges[row] + i]
-
-
-def by_row(hits: Callable, ref: pa.Array, read: pa.Array, *more: pa.Array) -> pa.Array:
-    """For each row the list of 2 i + meth of what hits gives, as rows of some TOGETHER bases at a time, by i."""
-    size = np.cumsum(pc.binary_length(ref).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-    made, a = [], 0
-    while a < len(ref):
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + TOGETHER, "right")))
-        part = [x.slice(a, b - a) for x in (ref, read)]
-        row, i, meth = hits(*map(Bases, part), *(x.slice(a, b - a).to_numpy(zero_copy_only=False) for x in more))
-        if (np.diff(row * (1 << 32) + i) < 0).any():
-            order = np.lexsort((i, row))
-            row, i, meth = row[order], i[order], meth[order]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-        made.append(pa.ListArray.from_arrays(pa.array(edges), pa.array((2 * i + meth).astype(np.int32))))
-        a = b
-    return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
 
 def read_calls(reads: DataFrame, chunks: DataFrame, every_c: bool = False, exact_flag: bool = False, all_c_compat: bool = False) -> DataFrame:
@@ -100,18 +29,18 @@ def read_calls(reads: DataFrame, chunks: DataFrame, every_c: bool = False, exact
     ship(reads.sparkSession)
     both = region_sequences(keyed, chunks).where("_reverse is not null")
     if every_c:
-        motif, offset, pair = {False: b"C", True: b"C" if all_c_compat else b"G"}, 0, {False: b"CT", True: b"GA"}
+        motif, offset, pair = {False: "C", True: "C" if all_c_compat else "G"}, 0, {False: b"CT", True: b"GA"}
     else:
         # A reverse read's base stands behind the C that begins the motif.
-        motif, offset, pair = {False: b"CG", True: b"CG"}, 1, {False: b"CT", True: b"GA"}
+        motif, offset, pair = {False: "CG", True: "CG"}, 1, {False: b"CT", True: b"GA"}
 
     @F.arrow_udf("array<int>")
     def found(ref: pa.Array, read: pa.Array, off: pa.Array, back: pa.Array) -> pa.Array:
-        def hits(g: Bases, r: Bases, off: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def hits(g: Bases, r: Bases, off: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             row, i = g.places(motif, back)
             row, i, base = r.at(row, i - off[row] + np.where(back[row], offset, 0))
             fits = np.where(back[row], among(pair[True])[base], among(pair[False])[base])
-            return row[fits], i[fits], among(b"CG")[base[fits]]
+            return row[fits], 2 * i[fits] + among(b"CG")[base[fits]]
 
         return by_row(hits, ref, read, off, back)
 
@@ -135,11 +64,11 @@ def slice_calls(rows: DataFrame, one_based: bool = True) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def found(genome: pa.Array, read: pa.Array, minus: pa.Array) -> pa.Array:
-        def hits(g: Bases, r: Bases, minus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            row, i = g.places({False: b"CG", True: b"CG"}, minus)
+        def hits(g: Bases, r: Bases, minus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            row, i = g.places({False: "CG", True: "CG"}, minus)
             # A CpG of the reverse complement is one of the slice, counted from its other end.
             row, i, base = r.at(row, np.where(minus[row], g.n[row] - 2 - i, i))
-            return row, i, base == ord("C")
+            return row, 2 * i + (base == ord("C"))
 
         return by_row(hits, genome, read, minus)
 

@@ -319,3 +319,13 @@ def test_pieces_are_cut_in_blocks(spark):
     made = bins.chunked(spark.createDataFrame([("T", text), ("E", ""), ("S", "ACG")], "chrom string, seq string"), 4, 2)
     assert rows(made) == sorted([("T", i + 1, text[i : i + 6], 4) for i in range(0, 5000, 4)] + [("E", 1, "", 4), ("S", 1, "ACG", 4)])
     assert _plan(made).count("Generate explode") == 3
+
+
+def test_motifs_are_looked_for_once(spark):
+    """explode's filter of empty lists has no second search; any letters, against a plain search."""
+    texts = ["".join(random.Random(i).choice("ACGTacgtNuU é世") for _ in range(i % 37)) for i in range(200)]
+    df = bins.chunked(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chrom string, seq string"), 7, 6)
+    up = [t.replace("c", "C").replace("g", "G").replace("a", "A").replace("t", "T") for t in texts]
+    assert rows(bins.motif_table(df)) == sorted((str(i), k + 1) for i, t in enumerate(up) for k in range(len(t)) if t[k : k + 2] == "CG")
+    assert rows(bins.motif_table(df, "GAY")) == sorted((str(i), k + 1) for i, t in enumerate(up) for k in range(len(t)) if t[k : k + 3] in ("GAC", "GAT"))
+    assert _plan(bins.motif_table(df)).count("EvalPython") == 1
