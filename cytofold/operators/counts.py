@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import proportion
 from ..functions.stats import fixed
-from .intervals import point_in_interval
+from .intervals import apart, beside, point_in_interval
 from .sizes import small
 
 
@@ -33,8 +33,22 @@ def bin_counts(calls: DataFrame, bins: DataFrame, n: str = "", first_hit_back: b
         calls = calls.join(starts, (calls.chrom == F.col("_c")) & (calls.pos == F.col("_s")), "left")
         calls = calls.withColumn("pos", F.when(F.col("first_3p") & F.col("_s").isNotNull(), F.col("pos") - 1).otherwise(F.col("pos"))).drop("_c", "_s")
     sums = calls.groupBy("chrom", "pos", "sample_no", "group_no").agg(*methylated(n))
-    places = point_in_interval(sums.select("chrom", "pos").distinct(), bins.select("chrom", "bin_id", "start", "end")).groupBy("chrom", "pos").agg(F.min("bin_id").alias("bin_id"))
-    return sums.join(places, ["chrom", "pos"]).groupBy("chrom", "bin_id", "sample_no", "group_no").agg(F.sum("meth").alias("meth"), F.sum("unmeth").alias("unmeth"))
+    found = point_in_interval(sums, first_bins(bins), known_apart=True)
+    return found.groupBy("chrom", "bin_id", "sample_no", "group_no").agg(F.sum("meth").alias("meth"), F.sum("unmeth").alias("unmeth"))
+
+
+def first_bins(bins: DataFrame) -> DataFrame:
+    """(chrom, bin_id, start, end): the stretches of which a bin is the first (by bin_id) that holds them; they share no place.
+
+    Bins are fewer than calls, so they are cut, not the calls joined with each of them.
+    """
+    real = bins.where("start <= end").select("chrom", "bin_id", "start", "end")
+    if apart(real):
+        return real
+    edges = real.select("chrom", F.col("start").alias("_cut")).union(real.select("chrom", F.col("end") + 1)).distinct()
+    until = beside(edges.withColumn("_cut_end", F.col("_cut")), "_cut", "_next", True, start="_cut", end="_cut_end").where("_next is not null").select("chrom", "_cut", "_next")
+    held = point_in_interval(until, real, pos="_cut").groupBy("chrom", "_cut", "_next").agg(F.min("bin_id").alias("bin_id"))
+    return held.select("chrom", "bin_id", F.col("_cut").alias("start"), (F.col("_next") - 1).alias("end"))
 
 
 def dense(counts: DataFrame, bins: DataFrame, samples: DataFrame) -> DataFrame:
@@ -62,11 +76,14 @@ def cpg_counts(calls: DataFrame, bin_cpgs: DataFrame, bins: DataFrame, merge_str
     slots = point_in_interval(bin_cpgs.select("chrom", "pos"), bins.select("chrom", "bin_id", "start", "end")).withColumn("slot", F.row_number().over(order)).select(F.col("chrom").alias("_c"), F.col("bin_id").alias("_b"), F.col("pos").alias("_p"), "slot")
     sums = calls.groupBy("chrom", "pos", "sample_no").agg(*methylated(n))
     placed = point_in_interval(sums, bins.select("chrom", "bin_id", "start", "end")).drop("start", "end")
-    hit = placed.join(slots, (placed.chrom == F.col("_c")) & (placed.bin_id == F.col("_b")) & (placed.pos == F.col("_p")), "left").drop("_c", "_b")
     if merge_strands:
-        more = slots.withColumnsRenamed({"_p": "_p2", "slot": "slot2"})
-        hit = hit.join(more, (hit.chrom == F.col("_c")) & (hit.bin_id == F.col("_b")) & (hit.pos - 1 == F.col("_p2")), "left").drop("_c", "_b")
-        hit = hit.withColumn("_p", F.coalesce("_p", "_p2")).withColumn("slot", F.coalesce("slot", "slot2"))
+        # One table of the places at and behind CpGs, the CpG's own first, so that calls move once.
+        near = F.explode(F.array(*(F.struct(F.lit(k).alias("behind"), (F.col("_p") + k).alias("at")) for k in (0, 1)))).alias("_n")
+        best = slots.select("_c", "_b", "_p", "slot", near).groupBy("_c", "_b", F.col("_n.at").alias("_at")).agg(F.min(F.struct("_n.behind", "_p", "slot")).alias("_s"))
+        slots = best.select("_c", "_b", "_at", "_s._p", "_s.slot")
+    else:
+        slots = slots.withColumn("_at", F.col("_p"))
+    hit = placed.join(slots, (placed.chrom == F.col("_c")) & (placed.bin_id == F.col("_b")) & (placed.pos == F.col("_at")), "left").drop("_c", "_b", "_at")
     return hit.groupBy("chrom", "bin_id", "sample_no", F.coalesce("slot", F.lit(0)).alias("slot"), F.coalesce("_p", F.lit(0)).alias("pos")).agg(F.sum("meth").alias("meth"), F.sum("unmeth").alias("unmeth"))
 
 

@@ -5,6 +5,9 @@ of the level, are at least an eighth of its length, and into the at most 9 cells
 one cell on each level that occurs. Long intervals so cost no more than short ones and no cell gets them all.
 Levels that occur are at most eleven small numbers, which a subquery of the same plan finds.
 
+Intervals that share no place with each other need neither levels nor a join: points and intervals go by block, in one
+order, and a point belongs to the last interval that began.
+
 Nearest neighbours: the best feature beyond a point is found inside the point's block and, for blocks beyond, from one
 row for each block, so no task sees a whole chromosome.
 """
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Bases of a block; rows of a chromosome are ordered by block, and over its blocks goes one row for each.
 BLOCK = 1 << 16
+#: Bases of a block in which points meet intervals: the rows of one are held together.
+NEAR = 1 << 13
 
 
 def _level(length: Column) -> Column:
@@ -35,12 +40,35 @@ def levels(intervals: DataFrame, start: str = "start", end: str = "end") -> Colu
     return intervals.agg(F.collect_set(_level(F.col(end) - F.col(start) + 1)).alias("l")).scalar()
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, pos: str = "pos", by: str = "chrom", start: str = "start", end: str = "end", how: str = "inner") -> DataFrame:
+def apart(intervals: DataFrame, by: str = "chrom", start: str = "start", end: str = "end") -> bool:
+    """Whether no two intervals share a place; a job over the intervals."""
+    rows = intervals.where(F.col(start) <= F.col(end)).select(by, start, end)
+    return beside(rows, end, "_prev", False, by, start, end).where(F.col("_prev") >= F.col(start)).isEmpty()
+
+
+def _of_the_last(points: DataFrame, intervals: DataFrame, pos: str, by: str, start: str, end: str, block: int) -> DataFrame:
+    """point_in_interval's inner rows for intervals that are apart. An interval is put into each block that it touches."""
+    into = F.explode(F.sequence(F.floor(F.col(start) / block), F.floor(F.col(end) / block))).alias("_block")
+    kept = [c for c in intervals.columns if c != by]
+    i = intervals.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.struct(*kept).alias("_held"), start, into)
+    # A plain number orders both: an interval stands before the points at its start.
+    i = i.select("_by", "_block", (F.greatest(F.col(start).cast("bigint"), F.col("_block") * block) * 2).alias("_at"), "_held")
+    p = points.where(F.col(by).isNotNull() & F.col(pos).isNotNull())
+    p = p.select(F.col(by).alias("_by"), F.floor(F.col(pos) / block).alias("_block"), (F.col(pos).cast("bigint") * 2 + 1).alias("_at"), *(c for c in points.columns if c != by))
+    order = Window.partitionBy("_by", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = p.unionByName(i, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(order)).where((F.col("_at") % 2 != 0) & (F.col(pos) <= F.col(f"_held.{end}")))
+    return rows.select(*(F.col("_by").alias(by) if c == by else F.col(c) for c in points.columns), *(F.col(f"_held.{c}").alias(c) for c in kept))
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, pos: str = "pos", by: str = "chrom", start: str = "start", end: str = "end", how: str = "inner", known_apart: bool = False, block: int = NEAR) -> DataFrame:
     """points with the columns of each interval that holds them; how: inner, left, left_semi or left_anti.
 
     Intervals keep their columns but by. Names must not occur on both sides. Empty intervals (start > end) hold nothing.
+    known_apart: no two intervals share a place, which else is looked up.
     """
     real = intervals.where(F.col(start) <= F.col(end))
+    if how == "inner" and (known_apart or apart(real, by, start, end)):
+        return _of_the_last(points, real, pos, by, start, end, block)
     probe = points.withColumn("_at", F.explode(levels(real, start, end)))
     probe = probe.withColumn("_probe", F.struct(F.col("_at").alias("level"), F.floor(F.col(pos) / F.pow(F.lit(8.0), F.col("_at"))).alias("cell"))).drop("_at")
     cells = _cells(real, start, end).withColumnRenamed(by, "_by")

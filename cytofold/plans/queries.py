@@ -99,7 +99,7 @@ FISHER = "exp(lgamma(a.meth + a.unmeth + 1) - lgamma(a.meth + 1) - lgamma(a.unme
 
 def dense_counts_(spark: SparkSession, d: str) -> DataFrame:
     b = bins_.with_cpgs(v_bins(spark, d), v_cpgs(spark, d))
-    counts = counts_.dense(counts_.bin_counts(v_calls(spark, d), b), b, v_samples(spark))
+    counts = counts_.dense(counts_.bin_counts(v_calls(spark, d), v_bins(spark, d)), v_bins(spark, d), v_samples(spark))
     return counts.join(b.select("chrom", "bin_id", "n_cpg"), ["chrom", "bin_id"])
 
 

@@ -329,3 +329,49 @@ def test_motifs_are_looked_for_once(spark):
     assert rows(bins.motif_table(df)) == sorted((str(i), k + 1) for i, t in enumerate(up) for k in range(len(t)) if t[k : k + 2] == "CG")
     assert rows(bins.motif_table(df, "GAY")) == sorted((str(i), k + 1) for i, t in enumerate(up) for k in range(len(t)) if t[k : k + 3] in ("GAC", "GAT"))
     assert _plan(bins.motif_table(df)).count("EvalPython") == 1
+
+
+@pytest.mark.parametrize("block", [4, 1 << 13])
+def test_points_in_intervals_that_are_apart(spark, block):
+    """Each point goes once, to one sort: no probe for each level, no join."""
+    rng = random.Random(block)
+    spans, at = [], -40
+    for i in range(60):
+        at += rng.choice([1, 1, 2, 9])
+        spans.append(("a", at, at + rng.choice([0, 1, 5, 30, 200]), i))
+        at = spans[-1][2]
+    spans += [("b", -5, 3000, 99), ("c", 9, 3, 98), (None, 1, 9, 97)]
+    points = [(rng.choice(["a", "a", "b", "c", None]), rng.randint(-50, 1200), k % 7) for k in range(300)] + [("a", None, 0)] * 2
+    p, b = spark.createDataFrame(points, "chrom string, pos int, k int"), spark.createDataFrame(spans, "chrom string, start int, end int, i int")
+    assert intervals.apart(b) and not intervals.apart(b.union(b.where("i = 5")))
+    made = intervals.point_in_interval(p, b, block=block)
+    assert made.columns == ["chrom", "pos", "k", "start", "end", "i"]
+    assert rows(made) == sorted((c, x, k, s, e, i) for c, x, k in points for d, s, e, i in spans if c is not None and x is not None and c == d and s <= x <= e)
+    assert "Join" not in _plan(made) and _plan(made).count("Generate explode") == 1
+
+
+def test_calls_go_to_the_first_bin(spark):
+    """Bins that overlap are cut into stretches, calls aren't joined with each bin that holds them."""
+    rng = random.Random(9)
+    spans = [(rng.choice("ab"), i, s, s + rng.choice([-1, 0, 3, 40, 300])) for i, s in enumerate(rng.randint(-10, 500) for _ in range(80))]
+    calls = [(rng.choice("ab"), rng.randint(-20, 800), rng.randint(0, 2), 1, rng.random() < 0.5) for _ in range(500)]
+    b, c = spark.createDataFrame(spans, "chrom string, bin_id int, start int, end int"), spark.createDataFrame(calls, "chrom string, pos int, sample_no int, group_no int, meth boolean")
+    want = {}
+    for d, x, s, g, m in calls:
+        held = [i for e, i, lo, hi in spans if d == e and lo <= x <= hi]
+        if held:
+            n = want.setdefault((d, min(held), s, g), [0, 0])
+            n[not m] += 1
+    assert rows(counts.bin_counts(c, b)) == sorted((*k, *v) for k, v in want.items())
+    stretches = counts.first_bins(b)
+    assert intervals.apart(stretches)
+    assert "Join" not in _plan(counts.bin_counts(c, b.where("bin_id < 0")))
+
+
+def test_only_what_is_found_comes_back_from_python(spark):
+    reads = spark.createDataFrame([(i, "ACGT" * (i % 9) + "agATCGé" * (i % 3), "IIII" * i) for i in range(600)], "read_no int, seq string, qual string")
+    made = clean.cleaned(reads, ["AGATCG"], clean.Trim(shortest_prefix=6, identity=100.0, repeats=-1))
+    finder = clean.Finder(["AGATCG"], clean.Trim(shortest_prefix=6, identity=100.0, repeats=-1))
+    assert rows(made, "read_no", "trim_start", "trim_end", "valid") == sorted((r.read_no, *finder.span(r.seq, None)) for r in reads.collect())
+    assert sum(len(r.hits) for r in made.collect()) == sum(len(finder.hits(r.seq)) for r in reads.collect())
+    assert "InPandas" not in _plan(made) and "qual" not in made.select("trim_end")._jdf.queryExecution().optimizedPlan().output().toString()
